@@ -35,9 +35,12 @@ from . import common
 LENGTH = 400
 #: Bytes of an anchor.
 K = 64
-#: Occurrences of an anchor that may meet in one task; beyond it they are dealt
-#: out by the window itself, which needs no suffixes to be compared.
-GROUP = 20_000
+#: Occurrences of an anchor that may meet in one task.  Larger groups are dealt out
+#: by what all windows of a segment share, and those that are still larger by the
+#: window itself, where no suffixes are left to compare.
+GROUP = 1_000
+#: Windows of a segment, for the groups beyond GROUP.
+SEGMENT = 64
 #: Window starts hashed at once (fits the cache).
 _SEGMENT = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -185,9 +188,9 @@ def _anchors(length: int, k: int):
     return run
 
 
-def _cut(length: int, by_window: bool):
-    """The bytes around each anchor asked for; or, for the anchors of very large
-    groups, a hash of each of their windows."""
+def _cut(length: int, segments: bool):
+    """The bytes around each anchor asked for.  With ``segments`` the windows of an
+    anchor are cut into runs of SEGMENT, each under a hash of what they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,14 +200,15 @@ def _cut(length: int, by_window: bool):
             for i, asked in enumerate(batch.column(3).to_pylist()):
                 did, tk, at = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), int(offsets[i])
                 for x in asked:
-                    low, high = x["pos"] - x["lft"], x["pos"] + x["rgt"]
-                    if by_window:
-                        rows += [
-                            (x["anchor"], did, tk, p, x["pos"] - p, x["solo"], xxhash.xxh3_128_digest(view[at + p : at + p + length]))
-                            for p in range(low, high - length + 1)
-                        ]
-                    else:
-                        rows.append((x["anchor"], did, tk, x["pos"], x["lft"], x["solo"], bytes(view[at + low : at + high])))
+                    pos, left, least = at + x["pos"], x["lft"], length - x["rgt"]
+                    if not segments:
+                        rows.append((x["anchor"], did, tk, x["pos"], left, x["solo"], bytes(view[pos - left : pos + x["rgt"]])))
+                        continue
+                    for s in range(least // SEGMENT, left // SEGMENT + 1):
+                        a, b = max(least, s * SEGMENT), min(left, s * SEGMENT + SEGMENT - 1)
+                        shared = view[pos - s * SEGMENT : pos - (s + 1) * SEGMENT + 1 + length]
+                        key = xxhash.xxh3_64_intdigest(shared, s) - (1 << 63)
+                        rows.append((key, did, tk, x["pos"], b, x["solo"], bytes(view[pos - b : pos - a + length])))
                 if len(rows) > 8192:
                     yield common.to_batch(_CONTEXTS, list(zip(*rows)))
                     rows = []
@@ -214,6 +218,22 @@ def _cut(length: int, by_window: bool):
     return run
 
 
+def _each_window(length: int):
+    """A row, with a hash, for every window of the contexts of very large groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.to_pylist():
+                w = x["window"]
+                rows = [
+                    (x["anchor"], x["did"], x["tk"], x["pos"] - x["lft"] + p, x["lft"] - p, x["solo"], xxhash.xxh3_128_digest(w[p : p + length]))
+                    for p in range(len(w) - length + 1)
+                ]
+                yield common.to_batch(_CONTEXTS, list(zip(*rows)))
+
+    return run
+
+
 def _prefix_lengths(rows: list[bytes], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each pair of rows."""
     out = np.empty(len(left), np.int64)
@@ -360,15 +380,21 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, group: in
         by_text = rows.select("rep.did", "rep.tk", x.alias("x")).groupBy("did", "tk").agg(F.collect_list("x").alias("asked"))
         return keyed.join(by_text, ["did", "tk"]).select("did", "tk", "text", "asked")
 
-    contexts = asked(windows.where("not hot")).mapInArrow(_cut(length, False), CONTEXTS)
-    near = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats(length), SPANS)
-    spans = spans.unionByName(near)
+    def scanned(contexts: DataFrame) -> DataFrame:
+        return contexts.select(*_CONTEXTS.names).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats(length), SPANS)
+
+    spans = spans.unionByName(scanned(asked(windows.where("not hot")).mapInArrow(_cut(length, False), CONTEXTS)))
     if not windows.where("hot").isEmpty():
-        by_window = common.stored(asked(windows.where("hot")).mapInArrow(_cut(length, True), CONTEXTS), "by-window")
-        shared = by_window.groupBy("anchor", "lft", "window").agg(F.count("*").alias("c")).where("c > 1")
-        again = by_window.where("solo").join(shared, ["anchor", "lft", "window"], "left_semi")
-        start = F.col("pos").cast("long")
-        spans = spans.unionByName(again.select("did", "tk", F.unhex(F.concat(little(start), little(start + length))).alias("cover")))
+        cut = common.stored(asked(windows.where("hot")).mapInArrow(_cut(length, True), CONTEXTS), "segments")
+        sizes = cut.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+        spans = spans.unionByName(scanned(cut.join(sizes.where(F.col("c") <= group), "anchor")))
+        large = sizes.where(F.col("c") > group)
+        if not large.isEmpty():
+            each = common.stored(cut.join(large, "anchor").select(*_CONTEXTS.names).mapInArrow(_each_window(length), CONTEXTS), "by-window")
+            shared = each.groupBy("anchor", "lft", "window").agg(F.count("*").alias("c")).where("c > 1")
+            again = each.where("solo").join(shared, ["anchor", "lft", "window"], "left_semi")
+            start = F.col("pos").cast("long")
+            spans = spans.unionByName(again.select("did", "tk", F.unhex(F.concat(little(start), little(start + length))).alias("cover")))
     return spans
 
 
