@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash_dedup, suffix_dedup, token_files
+from . import exact_dedup, packing, quality_rules, simhash_dedup, suffix_dedup, token_files
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_token_files": token_files.op3_token_files,
     "op6_packing": packing.op6_packing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
