@@ -25,6 +25,19 @@ SQL: dict[str, str] = {}
 TODAY = datetime.date(2024, 1, 31)
 
 
+def _whole_counts(sql: str) -> str:
+    """``count_if`` as a 64-bit number, as Spark has it."""
+    out, at = [], 0
+    while (i := sql.find("count_if(", at)) >= 0:
+        depth, j = 1, i + len("count_if(")
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += [sql[at:i], "CAST(", sql[i:j], " AS BIGINT)"]
+        at = j
+    return "".join([*out, sql[at:]])
+
+
 def query(name: str, sql: str | None = None):
     """Registers a query under the session's UTC time."""
 
@@ -35,7 +48,7 @@ def query(name: str, sql: str | None = None):
 
         QUERIES[name] = run
         if sql:
-            SQL[name] = sql
+            SQL[name] = _whole_counts(sql)
         return f
 
     return add

@@ -316,36 +316,37 @@ def _(spark, sf):
 
 
 def _vectors(spark, sf):
-    train, test = _split(spark, sf)
-    return modelling.preprocess(train, [test], ["value"], ["k"], [], {"event_type": ["click", "view", "error"]})
+    """Train and test vectors; labels are taken before features are scaled."""
+    labelled = [df.withColumns({"y": F.col("value") + F.col("k"), "label": (F.col("value") > 30).cast("double")}) for df in _split(spark, sf)]
+    return modelling.preprocess(labelled[0], labelled[1:], ["value"], ["k"], [], {"event_type": ["click", "view", "error"]})
 
 
 @query("l11_l13_linear_grid_search")
 def _(spark, sf):
     train, test = _vectors(spark, sf)
-    chunks = modelling.forward_chaining_folds(train.withColumn("y", F.col("value") + F.col("k")), 3)
+    chunks = modelling.forward_chaining_folds(train, 3)
     fitted, best, _scores = modelling.grid_search(chunks, 3, modelling.fit_linear, modelling.LINEAR_GRID, "y")
-    said = modelling.regression_metrics(fitted.transform(test.withColumn("y", F.col("value") + F.col("k"))), "y")
+    said = modelling.regression_metrics(fitted.transform(test), "y")
     return rounded(said.select("n", F.lit(best["fitIntercept"]).alias("intercept"), F.round("mae", 3).alias("mae")))
 
 
 @query("l12_forest")
 def _(spark, sf):
     train, test = _vectors(spark, sf)
-    fitted = modelling.fit_forest(train.withColumn("y", F.col("value") + F.col("k")), "y", 5, 4)
-    return rounded(modelling.regression_metrics(fitted.transform(test.withColumn("y", F.col("value") + F.col("k"))), "y"))
+    fitted = modelling.fit_forest(train, "y", 5, 4)
+    return rounded(modelling.regression_metrics(fitted.transform(test), "y"))
 
 
 @query("l17_mixed_forest")
 def _(spark, sf):
     train, test = _vectors(spark, sf)
-    fitted = modelling.fit_mixed_forest(train.withColumn("y", F.col("value") + F.col("k")), "y", 2, numTrees=5, maxDepth=3)
-    return rounded(modelling.regression_metrics(modelling.predict_mixed_forest(fitted, test.withColumn("y", F.col("value") + F.col("k"))), "y"))
+    fitted = modelling.fit_mixed_forest(train, "y", 2, numTrees=5, maxDepth=3)
+    return rounded(modelling.regression_metrics(modelling.predict_mixed_forest(fitted, test), "y"))
 
 
 @query("l18_affect_classifier")
 def _(spark, sf):
     train, test = _vectors(spark, sf)
-    model, _metrics = modelling.fit_affect_classifier(train.withColumn("label", (F.col("value") > 8).cast("double")), "label", numTrees=5, maxDepth=3)
+    model, _metrics = modelling.fit_affect_classifier(train, "label", numTrees=5, maxDepth=3)
     return model.transform(test).groupBy("prediction").agg(F.count("*").alias("n"))
 
