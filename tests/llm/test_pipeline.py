@@ -1,0 +1,46 @@
+"""The pipeline's stages against plain Python, one after the other."""
+
+from __future__ import annotations
+
+import collections
+
+import corpus_pipeline
+from pulsegrid.llm import common, secret_scan
+
+from . import data
+from .test_operators import brute_fingerprint, brute_quality
+
+
+def test_stages(spark, tmp_path, monkeypatch):
+    rows = data.rows(7, 80)
+    table = spark.createDataFrame(rows, data.SCHEMA)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, sf = table, str(tmp_path)
+    outs = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf), name)
+        assert docs.columns == table.columns
+        outs.append([tuple(r) for r in docs.collect()])
+    sound = [r for r in rows if not brute_quality(r[1])[-1]]
+    assert sorted(outs[0], key=repr) == sorted(sound, key=repr)
+    by_text = collections.defaultdict(list)
+    for r in sound:
+        by_text[r[1]].append(r[0])
+    exact = [r for r in sound if r[0] == max((i for i in by_text[r[1]] if i is not None), default=None)]
+    assert sorted(outs[1], key=repr) == sorted(exact, key=repr)
+    fps = [brute_fingerprint(r[1]) for r in exact]
+    root = list(range(len(exact)))
+    for i in range(len(exact)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2 and root[i] != root[j]:
+                root = [root[j] if x == root[i] else x for x in root]
+    least = collections.defaultdict(list)
+    for i, r in enumerate(exact):
+        least[root[i]].append(r[0])
+    near = [r for i, r in enumerate(exact) if r[0] == min((x for x in least[root[i]] if x is not None), default=None)]
+    assert sorted(outs[2], key=repr) == sorted(near, key=repr)
+    assert [r[0] for r in sorted(outs[3], key=repr)] == [r[0] for r in sorted(outs[2], key=repr)]
+    assert all(not secret_scan.scan(r[1])[0] for r in outs[3])
+    final = corpus_pipeline.run(spark, sf)
+    assert {r[0] for r in final.select("doc_id").distinct().collect()} == {r[0] for r in near}
