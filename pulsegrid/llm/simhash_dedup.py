@@ -24,7 +24,7 @@ from .components import components
 SEED = 42
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_FP = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 #: Shingles whose bits are counted at once.
 _CHUNK = 1 << 14
 
@@ -51,19 +51,25 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 def _fingerprints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], schema=_FP)
+            fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], schema=_FP)
 
     return run
 
 
+def text_hash(column: str):
+    """Tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit(""))).alias("text_hash")
+
+
 def simhash(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, fp: the fingerprint of every whole text as a signed long.
+    """doc_id, text_hash, fp: the fingerprint of every whole text as a signed long.
 
     A-Z are lower-cased; words are runs without white space; fewer words than a
     shingle are one shingle; none, or a null text, is fingerprint 0.
     """
-    return common.texts(docs).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    rows = common.texts(docs).select("doc_id", text_hash("text"), "text")
+    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, text_hash long, fp long")
 
 
 def _distance(a: str, b: str):
@@ -95,7 +101,8 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id,
+    and text_hash.
 
     component_id is the smallest doc_id among the documents reachable over links
     of at most ``radius`` differing bits, itself included (null ids are passed
@@ -110,7 +117,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(smallest, "root").select("node", "component")
     ids = least.join(linked, least["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return held.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return held.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
