@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .registry import TODAY, _hav, av, codes, ema, fx, gps, intervals, monitoring, quality, query, r6, relational, rounded, sensors, stamp, with_tables
+from .registry import SQL, TODAY, _hav, av, codes, ema, fx, gps, intervals, monitoring, quality, query, r6, relational, rounded, sensors, stamp, with_tables
 
 _SECS = "(epoch_us({1}) - epoch_us({0})) / 1e6"
 _OVER = "JOIN blocks b ON b.customer = s.customer AND s.start <= b.b1 AND s.stop >= b.b0"
@@ -128,7 +128,10 @@ def _block_table(spark, sf):
     return block_features(fx.sensor(spark, sf), fx.blocks(spark, sf), _flagged(spark, sf))
 
 
-@query("flagship_block_features")
+_PARTS = [SQL[n] for n in ("a19_heart_rate_blocks", "a20_step_blocks", "a21_activity_blocks", "a22_gps_blocks")]
+
+
+@query("flagship_block_features", f"SELECT * FROM ({_PARTS[0]})" + "".join(f" JOIN ({p}) USING (customer, unique_blocks)" for p in _PARTS[1:]))
 def _(spark, sf):
     return rounded(_block_table(spark, sf).drop("sensor_block_start", "sensor_block_end"))
 
@@ -241,10 +244,18 @@ def _(spark, sf):
     return rounded(df.withColumns({"total_distance": F.round("total_distance", 3), "normalized_entropy": F.round("normalized_entropy", 4)}))
 
 
-@query("a17_j13_daily_and_total")
+def _moved(name: str, keys: str) -> str:
+    rows = f"(SELECT customer, day, cluster, coalesce({_hav('lat', 'lon', 'lead(lat) OVER w', 'lead(lon) OVER w')}, 0) AS m FROM h WINDOW w AS (PARTITION BY {keys} ORDER BY ts))"
+    return f"{name} AS (SELECT {keys}, u, CASE WHEN u > 0 THEN dist ELSE 0 END AS dist FROM (SELECT {keys}, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS u, sum(m) AS dist FROM {rows} GROUP BY ALL))"
+
+
+_BOTH = f"h AS (SELECT *, CAST(ts AS DATE) AS day FROM places), {_moved('dd', 'customer, day')}, {_moved('tt', 'customer')} "
+
+
+@query("a17_j13_daily_and_total", with_tables(_BOTH + "SELECT customer, strftime(day, '%Y-%m-%d') AS day, round(dd.dist, 3) AS total_distance_daily, round(tt.dist, 3) AS total_distance_total, dd.u AS num_unique_clusters_daily, tt.u AS num_unique_clusters_total FROM dd JOIN tt USING (customer)", "places"))
 def _(spark, sf):
     df = gps.daily_and_total(fx.places(spark, sf).withColumn("home", F.lit(0)))
-    return df.select("customer", "day", F.round("total_distance_daily", 3).alias("total_distance_daily"), F.round("total_distance_total", 3).alias("total_distance_total"), "num_unique_clusters_daily", "num_unique_clusters_total")
+    return df.select("customer", F.col("day").cast("string").alias("day"), F.round("total_distance_daily", 3).alias("total_distance_daily"), F.round("total_distance_total", 3).alias("total_distance_total"), "num_unique_clusters_daily", "num_unique_clusters_total")
 
 
 @query("a18_raw_location_entropy", with_tables("""s AS (SELECT customer, min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1 FROM places GROUP BY 1),
