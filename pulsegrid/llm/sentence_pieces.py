@@ -35,7 +35,9 @@ MARK = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words times length that advance at once, length beyond which a word is merged
 #: by a heap, and words that a worker keeps.
-_CELLS, _LONG, _KEPT = 400_000, 512, 400_000
+_CELLS, _LONG, _KEPT = 400_000, 512, 450_000
+#: Characters of texts whose new words are encoded together.
+_TOGETHER = 2_000_000
 #: Below the worst score of a piece: a character that is no piece.
 _UNKNOWN = 10.0
 
@@ -70,6 +72,7 @@ class Pieces:
         self.ids = {pieces[i]: i for i in own}
         self.longest = max((len(pieces[i]) for i in own), default=1)
         self.apart = not any(MARK in pieces[i].lstrip(MARK) for i in own)
+        self.lines = not any("\n" in pieces[i] for i in own)  # then no piece reaches over a newline
         keys = np.array([self._hash(pieces[i]) for i in own], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(own, np.int64)[order]
@@ -257,18 +260,14 @@ def pieces(model: str) -> Pieces:
     return Pieces(names, scores, [not k for k in kinds], {i: int(names[i][3:5], 16) for i in range(n) if sp.is_byte(i)}, bpe, sp.unk_id())
 
 
-def words_of(text: str, apart: bool = True) -> list[str]:
-    """Words with the space mark before them; spaces of a run after the first word
-    start one word.  Whole texts where pieces may reach over a space."""
-    if not text:
-        return []
-    marked = MARK + text.replace(" ", MARK)
-    if not apart:
-        return [marked]
-    if MARK + MARK not in marked and marked[-1] != MARK:
-        return [MARK + w for w in marked[1:].split(MARK)]
-    out, held = [], ""
-    for part in marked[1:].split(MARK):
+def _line_words(line: str) -> list[str]:
+    """Words of a line whose spaces are marks; a run of marks starts one word."""
+    head, *rest = line.split(MARK)
+    out = [head] if head else []
+    if MARK + MARK not in line and line[-1:] != MARK:
+        return out + [MARK + w for w in rest]
+    held = ""
+    for part in rest:
         held += MARK
         if part:
             out.append(held + part)
@@ -276,30 +275,62 @@ def words_of(text: str, apart: bool = True) -> list[str]:
     return [*out, held] if held else out
 
 
+def words_of(text: str, apart: bool = True, lines: bool = False) -> list[str]:
+    """Words with the space mark before them, or whole texts where pieces may reach
+    over a space; with ``lines``, newlines are words of their own."""
+    if not text:
+        return []
+    marked = MARK + text.replace(" ", MARK)
+    if not apart:
+        return [marked]
+    if not lines or "\n" not in marked:
+        return _line_words(marked)
+    first, *rest = marked.split("\n")
+    out = _line_words(first)
+    for line in rest:
+        out.append("\n")
+        out += _line_words(line)
+    return out
+
+
 class Encoder:
-    """Texts -> ids; keeps the words that it has met (bounded)."""
+    """Texts -> ids by one or more methods; keeps the words that it has met lately, in
+    two generations of a bounded size, so that frequent words are never lost."""
 
-    def __init__(self, model: str, method: str | None = None):
+    def __init__(self, model: str, methods: tuple[str | None, ...] = (None,)):
         self.pieces = pieces(model)
-        self.method = method or ("merges" if self.pieces.bpe else "viterbi")
-        self.known: dict[str, bytes] = {}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        for low in range(0, len(texts), 256):
-            words = [words_of(t, self.pieces.apart) for t in texts[low : low + 256]]
-            if len(self.known) > _KEPT:
-                self.known.clear()
-            new = {w for own in words for w in own if w not in self.known}
-            self.known.update(self.pieces.segment(list(new), self.method))
-            out += [b"".join(map(self.known.__getitem__, own)) for own in words]
+        own = "merges" if self.pieces.bpe else "viterbi"  # what the library does
+        self.methods = [m or own for m in methods]
+        self.known: dict[str, tuple[bytes, ...]] = {}
+        self.before: dict[str, tuple[bytes, ...]] = {}
+
+    def _learn(self, words: list[list[str]]) -> None:
+        if len(self.known) > _KEPT:
+            self.before, self.known = self.known, {}
+        new = {w for own in words for w in own if w not in self.known}
+        again = {w: self.before[w] for w in new if w in self.before}
+        self.known.update(again)
+        fresh = [w for w in new if w not in again]
+        by_method = {m: self.pieces.segment(fresh, m) for m in set(self.methods)}
+        self.known.update((w, tuple(by_method[m][w] for m in self.methods)) for w in fresh)
+
+    def batch(self, texts: list[str]) -> list[tuple[bytes, ...]]:
+        """Ids of each text by each method, as little-endian unsigned 32-bit integers."""
+        out: list[tuple[bytes, ...]] = []
+        ends = np.cumsum([len(t) for t in texts]) // _TOGETHER if texts else np.zeros(0)
+        edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+        for low, high in zip(edges, edges[1:]):
+            words = [words_of(t, self.pieces.apart, self.pieces.lines) for t in texts[low:high]]
+            self._learn(words)
+            for own in words:
+                found = [self.known[w] for w in own]
+                out.append(tuple(b"".join([f[i] for f in found]) for i in range(len(self.methods))))
         return out
 
 
-@functools.lru_cache(maxsize=4)
-def _encoder(model: str, method: str | None) -> Encoder:
-    return Encoder(model, method)
+@functools.lru_cache(maxsize=2)
+def _encoder(model: str, methods: tuple[str | None, ...]) -> Encoder:
+    return Encoder(model, methods)
 
 
 def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_ids: bool = False) -> DataFrame:
@@ -313,13 +344,13 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, best = _encoder(model, None), _encoder(model, "viterbi")
+        encoder = _encoder(model, (None, "viterbi"))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             rows = []
-            for doc_id, text, a, b in zip(batch.column(0).to_pylist(), texts, exact.batch(texts), best.batch(texts)):
+            for doc_id, text, (a, b) in zip(batch.column(0).to_pylist(), texts, encoder.batch(texts)):
                 want = text.replace(MARK, " ")
-                same = all(exact.pieces.decode(np.frombuffer(x, "<u4")) == want for x in {a, b})
+                same = all(encoder.pieces.decode(np.frombuffer(x, "<u4")) == want for x in {a, b})
                 rows.append((doc_id, len(a) // 4, zlib.crc32(a), len(b) // 4, zlib.crc32(b), same, *((a, b) if keep_ids else (None, None))))
             yield common.to_batch(_ENCODED, list(zip(*rows)) or [[]] * len(_ENCODED))
 
