@@ -15,8 +15,8 @@ import re
 import struct
 from collections.abc import Callable
 
-#: Entries that a worker keeps before it starts anew.
-CACHE_WORDS = 1_000_000
+#: Words of a generation; a worker keeps two, so that frequent words are never lost.
+CACHE_WORDS = 400_000
 
 #: Bytes as the byte-level pre-tokenizer writes them: printable ones as they are,
 #: the rest in order from U+0100 on.
@@ -65,10 +65,15 @@ class WordIds(dict):
         self.before, self.lower, self.merge = before, lower, tokenizer.model.tokenize
         self.whole = lambda text: _packed(tokenizer.encode(text, add_special_tokens=False).ids)
         self.marks: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.before = dict(self)
             self.clear()
+        if (ids := self.before.get(word)) is not None:
+            self[word] = ids
+            return ids
         if not (plain := _PLAIN.fullmatch(word)):
             ids = self.whole(" " + word if self.before else word)
         else:
