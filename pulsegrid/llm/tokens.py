@@ -65,13 +65,13 @@ class WordIds(dict):
         self.before, self.lower, self.merge = before, lower, tokenizer.model.tokenize
         self.whole = lambda text: _packed(tokenizer.encode(text, add_special_tokens=False).ids)
         self.marks: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
-            self.before = dict(self)
+            self.earlier = dict(self)
             self.clear()
-        if (ids := self.before.get(word)) is not None:
+        if (ids := self.earlier.get(word)) is not None:
             self[word] = ids
             return ids
         if not (plain := _PLAIN.fullmatch(word)):
