@@ -28,8 +28,8 @@ def test_epochs_to_store(spark, tmp_path):
 
 
 def test_other_readers(spark, tmp_path):
-    (tmp_path / "tiki_backup_2024-01-05_3.csv").write_text(EPOCH + "abcd,Steps,2024-01-05T12:00:00+00:00,oops,,1.0,,,,,,,,,,\n")
-    row = readers.read_backups(spark, f"{tmp_path}/tiki_backup_*.csv").first()
+    (tmp_path / "sensor_backup_2024-01-05_3.csv").write_text(EPOCH + "abcd,Steps,2024-01-05T12:00:00+00:00,oops,,1.0,,,,,,,,,,\n")
+    row = readers.read_backups(spark, f"{tmp_path}/sensor_backup_*.csv").first()
     assert (row.date, row["index"], row.endTimestamp) == (datetime.date(2024, 1, 5), 3, None) and row.startTimestamp.hour == 12
     (tmp_path / "roster.csv").write_text("FOR_ID,EMA_ID,Pseudonym,Studienversion,Status,Start EMA Baseline,Ende EMA Baseline\n FOR1 ,e1,abcdXY,Lang,Dropout,\"Mo, 01.02.2024\",15.02.2024\n")
     row = readers.read_roster(spark, f"{tmp_path}/roster.csv").first()
