@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import common, exact_dedup, packing, quality_rules, secret_scan, simhash_dedup
+from pulsegrid.llm import common, exact_dedup, packing, quality_rules, secret_scan, shingle_dedup, simhash_dedup
 
 
 def _keep(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
@@ -36,9 +36,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component, the document with the smallest doc_id."""
-    roots = simhash_dedup.near_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _keep(docs, roots.select("doc_id", "text_hash"), simhash_dedup.text_hash("text"))
+    """Of each component of texts that share 80 % of their five-word shingles, the
+    document with the smallest doc_id."""
+    return _keep(docs, shingle_dedup.representatives(docs), simhash_dedup.text_hash("text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("secrets", secrets), ("pack", pack)]
 
-#: Hashed weights, SimHash and the randomness battery are not SQL: tests compare
+#: Hashed weights, min-hashes and the randomness battery are not SQL: tests compare
 #: the stages with plain Python instead.
 ORACLE_SQL = None
 
