@@ -1,7 +1,9 @@
 """Secrets: base patterns and a randomness test battery (operator 5).
 
-A candidate is a run of 20 or more characters of an encoding's alphabet.  Its
-encoding is the smallest alphabet that holds it.  Three tests look at its symbols:
+A candidate is a run of 20 or more characters of an encoding's alphabet; '=' only
+closes it.  Its encoding is the smallest alphabet that holds it.  Where none does (a
+path with a key, say), the candidates are the longest parts that base64 or base64url
+holds, and the parts between separators.  Three tests look at the symbols:
 
 * chi-squared against a uniform alphabet.  Ordinary words have uneven letters, so
   their statistic is large; the p-value is the chance that ``n`` letters of
@@ -35,7 +37,9 @@ _ACCESS, _HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{32,}")
 
 #: Least characters of a candidate, level of the two order tests, share of false discoveries.
 LEAST, LEVEL, FALSE_SHARE = 20, 0.001, 0.01
-_CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{%d,}" % LEAST)
+_CANDIDATE = re.compile("[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % LEAST)
+#: Parts of a run that no alphabet holds: of base64, of base64url, and between separators.
+_PARTS = tuple(re.compile("[A-Za-z0-9%s]{%d,}=*" % (more, LEAST)) for more in ("+/", "_-", "+"))
 #: Alphabets from small to large; decimal runs are ordinary numbers and no secrets.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -102,6 +106,13 @@ def battery(s: str, encoding: str) -> tuple[float, float, float]:
     return even, p_runs, p_serial
 
 
+def _parts(m: re.Match) -> list[tuple[int, int]]:
+    """Where the candidates of a run lie: the run itself, if an alphabet holds it."""
+    if infer_encoding(m[0]) or m[0].rstrip("=").isdigit():
+        return [m.span()]
+    return sorted({(m.start() + x.start(), m.start() + x.end()) for part in _PARTS for x in part.finditer(m[0])})
+
+
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
     """Base spans (start, kind's number, end) and candidates (start, end, p)."""
     spans: list[tuple[int, int, int]] = []
@@ -115,11 +126,12 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, fl
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     found = []
     for m in _CANDIDATE.finditer(text):
-        if any(a <= m.start() and m.end() <= b for a, _, b in spans) or not (encoding := infer_encoding(m[0])):
-            continue
-        even, runs, serial = battery(m[0], encoding)
-        if len(m[0].rstrip("=")) >= LEAST and runs >= LEVEL and serial >= LEVEL:
-            found.append((m.start(), m.end(), even))
+        for start, end in _parts(m):
+            if any(a <= start and end <= b for a, _, b in spans) or not (encoding := infer_encoding(text[start:end])):
+                continue
+            even, runs, serial = battery(text[start:end], encoding)
+            if runs >= LEVEL and serial >= LEVEL:
+                found.append((start, end, even))
     return sorted(spans), found
 
 
