@@ -15,12 +15,15 @@ from pulsegrid.llm import common, exact_dedup, packing, quality_rules, secret_sc
 
 
 def _keep(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
-    """Rows of ``docs`` whose id (null: as a value) and text digest are in ``kept``
-    (doc_id, digest): ids that are null or shared by several texts are told apart."""
-    wanted = kept.toDF("_id", "_digest").withColumn("_id", F.coalesce("_id", F.lit(common.NO_ID))).distinct()
+    """One row of ``docs`` for each id (null: as a value) and text digest in ``kept``
+    (doc_id, digest, number of rows): of rows that share both, the least by its columns."""
+    wanted = kept.toDF("_id", "_digest", "_rows").withColumn("_id", F.coalesce("_id", F.lit(common.NO_ID)))
     own = docs.withColumns({"_own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), "_own_digest": digest})
-    found = own.join(wanted, (F.col("_own_id") == F.col("_id")) & (F.col("_own_digest") == F.col("_digest")), "left_semi")
-    return found.select(*docs.columns)
+    met = (F.col("_own_id") == F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
+    single = own.join(wanted.where("_rows = 1"), met, "left_semi").select(*docs.columns)
+    shared = own.join(wanted.where("_rows > 1"), met, "left_semi")
+    least = shared.groupBy("_own_id", "_own_digest").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return single.unionByName(least.select("_row.*"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
-    kept = exact_dedup.exact_groups(docs).where("kept").select("doc_id", "text_sha256")
+    kept = exact_dedup.exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
     return _keep(docs, kept, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 

@@ -142,12 +142,14 @@ def links(rows: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash: of every component over near pairs, the smallest doc_id (null
-    only where there is no other) and of several texts under it that of the least hash."""
+    """doc_id, text_hash, rows: of every component over near pairs, the smallest doc_id
+    (null only where there is no other), of several texts under it that of the least
+    hash, and how many rows have both."""
     rows = common.texts(docs).select("doc_id", text_hash("text"), "text")
     signed = common.stored(rows.mapInArrow(_signatures, "doc_id long, text_hash long, n long, bands array<long>"), "shingles")
     roots = components(links(rows.select("text_hash", "text"), signed.drop("doc_id")))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    least = signed.groupBy("text_hash").agg(F.min(first).alias("least")).join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")
+    counted = signed.groupBy("text_hash", "doc_id").agg(F.count("*").alias("rows"))
+    least = counted.groupBy("text_hash").agg(F.min(first).alias("least")).join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
     best = F.min(F.struct("least", "text_hash")).alias("best")
-    return least.groupBy(F.coalesce("root", "text_hash").alias("root")).agg(best).select("best.least.doc_id", "best.text_hash")
+    return least.groupBy(F.coalesce("root", "text_hash").alias("root")).agg(best).select("best.least.doc_id", "best.text_hash", "best.least.rows")
