@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from . import common
 
 MARK = "▁"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+#: Top bits of a hash that lead to its place among the sorted keys.
+_TOP = 17
 #: Words times length that advance at once, length beyond which a word is merged
 #: by a heap, and words that a worker keeps.
-_CELLS, _LONG, _KEPT = 400_000, 512, 450_000
+_CELLS, _LONG, _KEPT = 100_000, 512, 450_000
 #: Characters of texts whose new words are encoded together.
 _TOGETHER = 2_000_000
 #: Below the worst score of a piece: a character that is no piece.
@@ -73,11 +75,15 @@ class Pieces:
         self.longest = max((len(pieces[i]) for i in own), default=1)
         self.apart = not any(MARK in pieces[i].lstrip(MARK) for i in own)
         self.lines = not any("\n" in pieces[i] for i in own)  # then no piece reaches over a newline
-        keys = np.array([self._hash(pieces[i]) for i in own], np.uint64)
+        keys = np.array([self._hash(pieces[i]) for i in own], np.uint64) * _MIX
         order = np.argsort(keys)
-        self.keys, self.key_ids = keys[order], np.array(own, np.int64)[order]
         if len(np.unique(keys)) != len(keys):
             raise ValueError("two pieces share a hash")
+        # One key beyond the last ends every run.
+        self.keys, self.key_ids = np.append(keys[order], ~np.uint64(0)), np.append(np.array(own, np.int32)[order], np.int32(-1))
+        tops, starts, held = np.unique(self.keys[:-1] >> np.uint64(64 - _TOP), return_index=True, return_counts=True)
+        self.first = np.full(1 << _TOP, -1, np.int64)
+        self.first[tops], self.deepest = starts, int(held.max(initial=0))
         self.raw = [bytes([byte_of[i]]) if i in byte_of else (p.replace(MARK, " ").encode() if ordinary[i] else b"") for i, p in enumerate(pieces)]
         if not bytes_covered(self.bytes):
             self.raw[unknown] = " ⁇ ".encode()  # as the library writes it
@@ -85,6 +91,8 @@ class Pieces:
         self.raw_sizes, self.raw_starts = sizes, np.cumsum(sizes) - sizes
         self.raw_data = np.frombuffer(b"".join(self.raw), np.uint8)
         self.worst = (self.scores[own].min() if own else 0.0) - _UNKNOWN
+        self.score_of = np.append(self.scores, -np.inf)  # of -1, which is no piece
+        self.rank_of = np.unique(-self.scores, return_inverse=True)[1].astype(np.int64)
 
     @staticmethod
     def _hash(piece: str) -> np.uint64:
@@ -95,87 +103,114 @@ class Pieces:
         return h
 
     def look_up(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of the pieces with these hashes; -1 where there is none."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[at] == hashes, self.key_ids[at], -1)
+        """Ids of the pieces with these hashes; -1 where there is none.  The keys are
+        sorted; the top bits of a hash say where its run of keys begins."""
+        asked = (hashes * _MIX).ravel()
+        at = self.first[asked >> np.uint64(64 - _TOP)]
+        ids = np.full(len(asked), -1, np.int32)
+        some = np.flatnonzero(at >= 0)
+        asked, at = asked[some], at[some]
+        for _ in range(self.deepest):
+            met = self.keys[at] == asked
+            ids[some[met]] = self.key_ids[at[met]]
+            more = self.keys[at] < asked
+            some, asked, at = some[more], asked[more], at[more] + 1
+        return ids.reshape(hashes.shape)
 
     # -- equal-length words ------------------------------------------------
 
-    def _prefixes(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = points.shape[1]
-        hashes, powers = np.zeros((len(points), n + 1), np.uint64), np.ones(n + 1, np.uint64)
+    def _substrings(self, words: list[str]) -> np.ndarray:
+        """(end - 1, length - 1, word): the piece that is that substring, or -1."""
+        points = np.ascontiguousarray(_points(words).T).astype(np.uint64)
+        n, count = points.shape
+        hashes = np.zeros((n + 1, count), np.uint64)
         for i in range(n):
-            hashes[:, i + 1] = hashes[:, i] * _BASE + points[:, i] + np.uint64(1)
-            powers[i + 1 :] *= _BASE
-        return hashes, powers
-
-    def viterbi(self, words: list[str]) -> list[list[int]]:
+            hashes[i + 1] = hashes[i] * _BASE + points[i] + np.uint64(1)
+        ids = np.full((n, min(n, self.longest), count), -1, np.int32)
+        power = np.uint64(1)
+        for size in range(1, ids.shape[1] + 1):
+            with np.errstate(over="ignore"):
+                power = power * _BASE
+            ids[size - 1 :, size - 1] = self.look_up(hashes[size:] - hashes[:-size] * power)
+        return ids
+
+    def viterbi(self, words: list[str], ids: np.ndarray | None = None) -> list[bytes]:
         """Best-scoring pieces of words of one length (ties: the longer last piece)."""
-        points = _points(words).astype(np.uint64)
-        count, n = points.shape
-        hashes, powers = self._prefixes(points)
-        best = np.full((count, n + 1), -np.inf)
-        best[:, 0] = 0
-        size, piece = np.zeros((count, n + 1), np.int64), np.full((count, n + 1), -1, np.int64)
+        ids = self._substrings(words) if ids is None else ids
+        n, longest, count = ids.shape
+        best, size = np.zeros((n + 1, count)), np.zeros((n + 1, count), np.int64)
+        columns = np.arange(count)
         for end in range(1, n + 1):
-            low = max(0, end - self.longest)
-            starts = np.arange(low, end)
-            ids = self.look_up(hashes[:, end : end + 1] - hashes[:, low:end] * powers[end - starts])
-            score = np.where(ids >= 0, self.scores[ids], -np.inf)
-            score[:, -1] = np.where(ids[:, -1] >= 0, score[:, -1], self.worst)
-            total = best[:, low:end] + score
-            chosen = np.argmax(total, axis=1)  # the first of equals: the longest
-            rows = np.arange(count)
-            best[:, end], size[:, end], piece[:, end] = total[rows, chosen], end - low - chosen, ids[rows, chosen]
-        found: list[list[tuple[int, int]]] = [[] for _ in words]
-        at, rows = np.full(count, n), np.arange(count)
-        while len(rows):  # all words walk their backpointers together
-            for w, e, s, p in zip(rows.tolist(), at[rows].tolist(), size[rows, at[rows]].tolist(), piece[rows, at[rows]].tolist()):
-                found[w].append((p, e - s))
-            at[rows] -= size[rows, at[rows]]
-            rows = rows[at[rows] > 0]
-        return [self._with_bytes(word, [(p, s) for p, s in reversed(f)]) for word, f in zip(words, found)]
-
-    def merges(self, words: list[str]) -> list[list[int]]:
-        """Pieces of words of one length by best merge first, leftmost of equals."""
-        points = _points(words).astype(np.uint64)
-        count, n = points.shape
-        hashes, powers = self._prefixes(points)
-        starts = np.tile(np.arange(n + 1), (count, 1))  # symbol j: starts[j] to starts[j + 1]
-        used = np.full(count, n)
-
-        def pair_scores(rows, j):
-            a, b = starts[rows, j], starts[rows, j + 2]
-            ids = self.look_up(hashes[rows, b] - hashes[rows, a] * powers[b - a])
-            return np.where(ids >= 0, self.scores[ids], -np.inf)
-
-        scores = np.full((count, max(n, 1)), -np.inf)
-        for j in range(n - 1):
-            scores[:, j] = pair_scores(np.arange(count), np.full(count, j))
-        places = np.arange(n)
-        rows = np.arange(count)
-        while len(rows):
-            j = np.argmax(scores[rows], axis=1)
-            ok = scores[rows, j] > -np.inf
-            rows, j = rows[ok], j[ok]
-            if not len(rows):
+            k = min(end, longest)
+            score = self.score_of[ids[end - 1, :k][::-1]]
+            np.maximum(score[-1], self.worst, out=score[-1])  # no worse than an unknown character
+            total = best[end - k : end] + score
+            chosen = np.argmax(total, axis=0)  # the first of equals: the longest
+            best[end], size[end] = total[chosen, columns], k - chosen
+        found, begins = np.full((n, count), -1, np.int32), np.zeros((n, count), bool)
+        at = np.full(count, n)
+        while len(columns):  # all words walk their backpointers together
+            step = size[at, columns]
+            begins[at - step, columns] = True
+            found[at - step, columns] = ids[at - 1, step - 1, columns]
+            at = at - step
+            columns, at = columns[at > 0], at[at > 0]
+        return self._gathered(words, begins, found)
+
+    def merges(self, words: list[str], ids: np.ndarray | None = None) -> list[bytes]:
+        """Pieces of words of one length by best merge first, leftmost of equals.
+        Each step gives every word its next merge; pairs carry one key, rank and place."""
+        ids = self._substrings(words) if ids is None else ids
+        n, longest, count = ids.shape
+        never, wide = np.iinfo(np.int64).max, n + 1
+
+        def key(start, end, column):
+            ok = (end <= n) & (end - start <= longest)
+            piece = np.where(ok, ids[np.minimum(end, n) - 1, np.minimum(end - start, longest) - 1, column], -1)
+            return np.where(piece >= 0, self.rank_of[piece] * wide + start, never)
+
+        after = np.tile(np.arange(1, n + 2)[:, None], (1, count))  # symbol: start to after[start]
+        after[n] = n + 1
+        before = after - 2
+        begins = np.ones((n, count), bool)
+        columns = np.arange(count)
+        keys = np.stack([key(np.full(count, j), np.full(count, j + 2), columns) for j in range(n)])
+        while len(columns):
+            least = keys.min(axis=0)
+            held = np.flatnonzero(least < never)
+            if not len(held):
                 break
-            # Symbols after the merged pair move up by one.
-            shift = np.minimum(places[None, :] + (places[None, :] > j[:, None]), n)
-            starts[rows, :n] = np.take_along_axis(starts[rows], shift, axis=1)
-            moved = np.minimum(places[None, :] + (places[None, :] > j[:, None]), n - 1)
-            scores[rows] = np.take_along_axis(scores[rows], moved, axis=1)
-            used[rows] -= 1
-            scores[rows, used[rows] - 1] = -np.inf
-            right = j < used[rows] - 1
-            scores[rows, j] = -np.inf
-            scores[rows[right], j[right]] = pair_scores(rows[right], j[right])
-            left = j > 0
-            scores[rows[left], j[left] - 1] = pair_scores(rows[left], j[left] - 1)
-        ends = starts.tolist()
-        return [self._spelled(word, ends[i][: used[i]] + [n]) for i, word in enumerate(words)]
-
-    def merge_long(self, word: str) -> list[int]:
+            if 2 * len(held) < len(columns):
+                keys, columns, least = np.ascontiguousarray(keys[:, held]), columns[held], least[held]
+                held = np.arange(len(columns))
+            a, column = least[held] % wide, columns[held]
+            b = after[a, column]
+            e = after[b, column]
+            after[a, column], before[e, column], begins[b, column] = e, a, False
+            keys[b, held] = never
+            keys[a, held] = key(a, after[e, column], column)
+            left = np.flatnonzero(before[a, column] >= 0)
+            p = before[a[left], column[left]]
+            keys[p, held[left]] = key(p, e[left], column[left])
+        ends = np.minimum(after[:n], n)
+        sizes = ends - np.arange(n)[:, None]
+        found = ids[ends - 1, np.minimum(sizes, longest) - 1, np.arange(count)]
+        return self._gathered(words, begins, np.where(sizes <= longest, found, -1))
+
+    def _gathered(self, words: list[str], begins: np.ndarray, found: np.ndarray) -> list[bytes]:
+        """Ids of each word (packed 32-bit) from where its pieces begin."""
+        chosen = begins.T
+        flat = found.T[chosen]
+        ends = np.cumsum(chosen.sum(1))
+        starts = ends - chosen.sum(1)
+        data = flat.astype("<u4").tobytes()
+        out = [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist())]
+        for i in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), "right")).tolist():
+            at = np.flatnonzero(chosen[i]).tolist()
+            out[i] = self._with_bytes(words[i], list(zip(flat[starts[i] : ends[i]].tolist(), at)))
+        return out
+
+    def merge_long(self, word: str) -> bytes:
         """As ``merges`` for one long word, in n log n."""
         n = len(word)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -201,10 +236,10 @@ class Pieces:
                 offer(before[a])
         return self._spelled(word, [a for a in range(n) if live[a]] + [n])
 
-    def _spelled(self, word: str, edges: list[int]) -> list[int]:
+    def _spelled(self, word: str, edges: list[int]) -> bytes:
         return self._with_bytes(word, [(self.ids.get(word[a:b], -1), a) for a, b in zip(edges, edges[1:])])
 
-    def _with_bytes(self, word: str, found: list[tuple[int, int]]) -> list[int]:
+    def _with_bytes(self, word: str, found: list[tuple[int, int]]) -> bytes:
         """Ids, with the bytes of a character that is no piece (or the unknown id)."""
         out: list[int] = []
         for piece, start in found:
@@ -214,10 +249,11 @@ class Pieces:
                 out += [self.bytes[b] for b in word[start].encode()]
             else:
                 out.append(self.unknown)
-        return out
+        return np.array(out, "<u4").tobytes()
 
-    def segment(self, words: list[str], method: str) -> dict[str, bytes]:
-        """Word -> ids (packed 32-bit), words of one length together."""
+    def segment(self, words: list[str], methods: tuple[str, ...]) -> dict[str, tuple[bytes, ...]]:
+        """Word -> ids (packed 32-bit) by each method, words of one length together.
+        The pieces that their substrings are serve all methods."""
         by_length: dict[int, list[str]] = {}
         for word in words:
             by_length.setdefault(len(word), []).append(word)
@@ -226,18 +262,31 @@ class Pieces:
             step = max(1, _CELLS // n)
             for i in range(0, len(group), step):
                 some = group[i : i + step]
-                if method == "merges" and n > _LONG:
-                    ids = [self.merge_long(w) for w in some]
-                else:
-                    ids = self.merges(some) if method == "merges" else self.viterbi(some)
-                out.update(zip(some, (np.array(x, "<u4").tobytes() for x in ids)))
+                ids = self._substrings(some)
+                said = {m: self.viterbi(some, ids) if m == "viterbi" else self.merges(some, ids) if n <= _LONG else [self.merge_long(w) for w in some] for m in set(methods)}
+                out.update(zip(some, zip(*(said[m] for m in methods))))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of the ids: pieces' and bytes' raw bytes gathered at once."""
+    def restored(self, words: list[str], ids: list[bytes]) -> np.ndarray:
+        """Which words their ids decode to, byte for byte (the space mark: a space)."""
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = self.raw_sizes[flat]
+        got = np.add.reduceat(np.append(sizes, 0), np.cumsum([0, *map(len, ids)])[:-1] // 4) if words else np.zeros(0, np.int64)
+        want = [w.replace(MARK, " ").encode() for w in words]
+        lengths = np.fromiter(map(len, want), np.int64, len(want))
+        if (got == lengths).all() and self._raw(flat) == b"".join(want):
+            return np.ones(len(words), bool)
+        return np.array([self._raw(np.frombuffer(x, "<u4")) == w for x, w in zip(ids, want)], bool)
+
+    def _raw(self, ids: np.ndarray) -> bytes:
+        """Pieces' and bytes' raw bytes, gathered at once."""
         sizes, starts = self.raw_sizes[ids], self.raw_starts[ids]
         within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        text = self.raw_data[np.repeat(starts, sizes) + within].tobytes().decode("utf-8", "replace")
+        return self.raw_data[np.repeat(starts, sizes) + within].tobytes()
+
+    def decode(self, ids: np.ndarray) -> str:
+        """Text of the ids."""
+        text = self._raw(ids).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -295,36 +344,50 @@ def words_of(text: str, apart: bool = True, lines: bool = False) -> list[str]:
 
 class Encoder:
     """Texts -> ids by one or more methods; keeps the words that it has met lately, in
-    two generations of a bounded size, so that frequent words are never lost."""
+    two generations of a bounded size, so that frequent words are never lost.  A word
+    is decoded once, when it is met: a text is its words, and no byte of a character
+    crosses a word's end, so a text decodes to itself where all its words do."""
 
     def __init__(self, model: str, methods: tuple[str | None, ...] = (None,)):
         self.pieces = pieces(model)
         own = "merges" if self.pieces.bpe else "viterbi"  # what the library does
-        self.methods = [m or own for m in methods]
-        self.known: dict[str, tuple[bytes, ...]] = {}
-        self.before: dict[str, tuple[bytes, ...]] = {}
+        self.methods = tuple(m or own for m in methods)
+        self.empty = (*[b""] * len(self.methods), True)
+        self.known: dict[str, tuple] = {}
+        self.before: dict[str, tuple] = {}
+
+    def _words(self, text: str) -> list[str]:
+        p = self.pieces
+        if text[:1] in ("", " ") or not (p.apart and p.lines) or "  " in text or MARK in text:
+            return words_of(text, p.apart, p.lines)
+        # No runs of spaces: marks and newlines cut the text as ``words_of`` does (and leave empty words).
+        return (MARK + text.replace(" ", " " + MARK).replace("\n", " \n ")).split(" ")
 
     def _learn(self, words: list[list[str]]) -> None:
         if len(self.known) > _KEPT:
             self.before, self.known = self.known, {}
-        new = {w for own in words for w in own if w not in self.known}
+        self.known[""] = self.empty
+        new = set().union(*words) - self.known.keys()
         again = {w: self.before[w] for w in new if w in self.before}
         self.known.update(again)
         fresh = [w for w in new if w not in again]
-        by_method = {m: self.pieces.segment(fresh, m) for m in set(self.methods)}
-        self.known.update((w, tuple(by_method[m][w] for m in self.methods)) for w in fresh)
-
-    def batch(self, texts: list[str]) -> list[tuple[bytes, ...]]:
-        """Ids of each text by each method, as little-endian unsigned 32-bit integers."""
-        out: list[tuple[bytes, ...]] = []
+        ids = self.pieces.segment(fresh, self.methods)
+        columns = [[ids[w][i] for w in fresh] for i in range(len(self.methods))]
+        good = np.logical_and.reduce([self.pieces.restored(fresh, x) for x in columns]).tolist()
+        self.known.update(zip(fresh, zip(*columns, good)))
+
+    def batch(self, texts: list[str]) -> list[tuple]:
+        """Ids of each text by each method, as little-endian unsigned 32-bit integers,
+        and whether all of them decode to the text."""
+        out: list[tuple] = []
         ends = np.cumsum([len(t) for t in texts]) // _TOGETHER if texts else np.zeros(0)
         edges = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
         for low, high in zip(edges, edges[1:]):
-            words = [words_of(t, self.pieces.apart, self.pieces.lines) for t in texts[low:high]]
+            words = [self._words(t) for t in texts[low:high]]
             self._learn(words)
             for own in words:
-                found = [self.known[w] for w in own]
-                out.append(tuple(b"".join([f[i] for f in found]) for i in range(len(self.methods))))
+                found = list(zip(*map(self.known.__getitem__, own))) or [(x,) for x in self.empty]
+                out.append((*map(b"".join, found[:-1]), all(found[-1])))
         return out
 
 
@@ -346,11 +409,8 @@ def encode_documents(docs: DataFrame, model: str = "piece_bpe_32k.model", keep_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model, (None, "viterbi"))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
             rows = []
-            for doc_id, text, (a, b) in zip(batch.column(0).to_pylist(), texts, encoder.batch(texts)):
-                want = text.replace(MARK, " ")
-                same = all(encoder.pieces.decode(np.frombuffer(x, "<u4")) == want for x in {a, b})
+            for doc_id, (a, b, same) in zip(batch.column(0).to_pylist(), encoder.batch(batch.column(1).to_pylist())):
                 rows.append((doc_id, len(a) // 4, zlib.crc32(a), len(b) // 4, zlib.crc32(b), same, *((a, b) if keep_ids else (None, None))))
             yield common.to_batch(_ENCODED, list(zip(*rows)) or [[]] * len(_ENCODED))
 

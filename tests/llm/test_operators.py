@@ -461,6 +461,23 @@ def test_long_words_merge_alike():
         assert p.merges([word])[0] == p.merge_long(word)
 
 
+def test_words_decode_as_whole_texts_do():
+    """Word by word, with words kept from text to text, against the whole text's ids."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.model_path("piece_bpe_32k.model"))
+    rng = random.Random(4)
+    texts = [" a", "a ", "a\n b", " \n", "\n\na  b\n", "a▁b", "▁", "  ", "x\n\n\ny ", "é日👍\nü ñ", "word " * 3000 + "z" * 700]
+    texts += ["".join(rng.choice(["a", "th", "é", "👍", " ", " ", "\n", "▁", "q7", "..", "\t"]) for _ in range(rng.randrange(60))) for _ in range(300)]
+    encoder = sentence_pieces.Encoder("piece_bpe_32k.model", (None, "viterbi"))
+    for text, (a, b, good) in zip(texts, encoder.batch(texts)):
+        assert np.frombuffer(a, "<u4").tolist() == library.encode(text)
+        whole = [encoder.pieces.decode(np.frombuffer(x, "<u4")) == text.replace("▁", " ") for x in (a, b)]
+        assert good == all(whole) and good
+    p = encoder.pieces
+    assert p.restored(["▁a", "b"], [np.array([p.ids["▁a"]], "<u4").tobytes(), np.array([p.ids["c"]], "<u4").tobytes()]).tolist() == [True, False]
+
+
 def brute_viterbi(word, pieces, worst):
     best = [(0.0, [])] + [(-math.inf, [])] * len(word)
     for e in range(1, len(word) + 1):
@@ -480,5 +497,5 @@ def test_viterbi_is_the_best_segmentation():
     for n in (1, 2, 5, 9):
         words = ["".join(rng.choice(list("▁abcx"), n)) for _ in range(60)]
         for word, ids in zip(words, model.viterbi(words)):
-            got = sum(scores[i] if i else model.worst for i in ids)
+            got = sum(scores[i] if i else model.worst for i in np.frombuffer(ids, "<u4"))
             assert got == pytest.approx(brute_viterbi(word, dict(zip(names[1:], scores[1:])), model.worst)[0])
