@@ -16,12 +16,17 @@ anchors that occur twice get their suffixes sorted:
    occurrences.  Occurrences that can all be extended to the left alike, or that
    do not reach ``length``, are not output;
 4. spans are joined back to the documents.
+
+The same tree finds repeated passages of ``words`` words: a text is then the string
+of its words' 64-bit hashes, and a unit is eight bytes instead of one.  Both kinds go
+through the joins together.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,10 @@ from . import common
 LENGTH = 400
 #: Bytes of an anchor.
 K = 64
+#: Words of a passage, and of its anchors.
+PASSAGE, PASSAGE_K = 50, 10
+#: Bytes of a word's hash.
+_WORD = 8
 #: Occurrences of an anchor that may meet in one task.  Larger groups are dealt out
 #: by what all windows of a segment share, and those that are still larger by the
 #: window itself, where no suffixes are left to compare.
@@ -43,20 +52,27 @@ GROUP = 1_000
 SEGMENT = 64
 #: Window starts hashed at once (fits the cache).
 _SEGMENT = 1 << 18
+#: Bytes of texts whose words are hashed at once.
+_TOGETHER = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U64 = np.uint64
+#: Which bytes belong to words.
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
 
 _ANCHORS = pa.schema(
-    [("anchor", pa.int64()), ("ctx", pa.int64()), ("did", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()), ("lft", pa.int32()), ("rgt", pa.int32()), ("n", pa.int32()), ("cover", pa.binary())]
+    [("anchor", pa.int64()), ("ctx", pa.int64()), ("did", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()), ("lft", pa.int32()), ("rgt", pa.int32()), ("n", pa.int32()), ("cover", pa.binary()), ("words", pa.bool_())]
 )
-ANCHORS = "anchor long, ctx long, did long, tk long, pos int, lft int, rgt int, n int, cover binary"
+ANCHORS = "anchor long, ctx long, did long, tk long, pos int, lft int, rgt int, n int, cover binary, words boolean"
 _CONTEXTS = pa.schema(
-    [("anchor", pa.int64()), ("did", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()), ("lft", pa.int32()), ("solo", pa.bool_()), ("window", pa.binary())]
+    [("anchor", pa.int64()), ("did", pa.int64()), ("tk", pa.int64()), ("pos", pa.int32()), ("lft", pa.int32()), ("solo", pa.bool_()), ("words", pa.bool_()), ("window", pa.binary())]
+)
+CONTEXTS = "anchor long, did long, tk long, pos int, lft int, solo boolean, words boolean, window binary"
+_SPANS = pa.schema([("did", pa.int64()), ("tk", pa.int64()), ("words", pa.bool_()), ("cover", pa.binary())])
+SPANS = "did long, tk long, words boolean, cover binary"
+_RESULT = pa.schema(
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_passages", pa.int64()), ("n_passage_words", pa.int64()), ("spans", pa.binary()), ("passages", pa.binary())]
 )
-CONTEXTS = "anchor long, did long, tk long, pos int, lft int, solo boolean, window binary"
-_SPANS = pa.schema([("did", pa.int64()), ("tk", pa.int64()), ("cover", pa.binary())])
-SPANS = "did long, tk long, cover binary"
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.binary())])
 
 
 @functools.lru_cache(maxsize=1)
@@ -67,6 +83,46 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=_U64), np.cumprod(down, dtype=_U64)
 
 
+def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of texts laid end to end, and where each text's
+    words begin among them."""
+    found, counts = [np.zeros(0, _U64)], np.zeros(len(offsets), np.int64)
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _TOGETHER, "right")) - 1)
+        low, high = int(offsets[i]), int(offsets[j])
+        own = data[low:high]
+        inside = _INSIDE[own]
+        starts = inside.copy()
+        starts[1:] &= ~inside[:-1]
+        edges = offsets[i:j] - low
+        edges = edges[edges < high - low]
+        starts[edges] = inside[edges]
+        places = np.flatnonzero(inside)
+        first = np.flatnonzero(starts[places])
+        if len(first):
+            sizes = np.diff(np.append(first, len(places)))
+            powers = _powers(_SEGMENT + 4096)[0] if sizes.max() <= _SEGMENT else np.cumprod(np.append(_U64(1), np.full(int(sizes.max()), _BASE, _U64)))
+            within = np.arange(len(places)) - np.repeat(first, sizes)
+            h = np.add.reduceat((own[places].astype(_U64) + _U64(1)) * powers[within], first)
+            h ^= h >> _U64(32)
+            h *= _U64(0x94D049BB133111EB)
+            h ^= h >> _U64(29)
+            found.append(h)
+            counts[i + 1 : j + 1] = np.bincount(np.searchsorted(offsets[i : j + 1], places[first] + low, "right") - 1, minlength=j - i)
+        i = j
+    return np.concatenate(found), np.cumsum(counts)
+
+
+def _units(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of texts, or of the strings of their words' hashes."""
+    offsets, data = common.string_bytes(column)
+    if not words:
+        return offsets, data
+    hashes, starts = _word_hashes(data, offsets)
+    return starts * _WORD, hashes.view(np.uint8)
+
+
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of the ``k`` bytes from each place on (equal bytes, equal hash)."""
     up, down = _powers(_SEGMENT + 4096)
@@ -156,11 +212,15 @@ def _merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[first, 0], tops[np.append(first[1:], len(spans)) - 1]], axis=1)
 
 
-def _anchors(length: int, k: int):
+def _anchors(sizes: tuple[tuple[bool, int, int], ...]):
+    """``sizes``: (words, length, k) of each kind of repeat, both in bytes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = common.string_bytes(batch.column(2))
-            text, pos, first, last, h = _text_runs(data, offsets, length, k)
+        for batch, (words, length, k) in itertools.product(batches, sizes):
+            offsets, data = _units(batch.column(2), words)
+            unit = _WORD if words else 1
+            text, pos, first, last, h = _text_runs(data.view(_U64) if words else data, offsets // unit, length // unit, k // unit)
+            pos, first, last = pos * unit, first * unit, last * unit
             if not len(pos):
                 continue
             view, digest = memoryview(data), xxhash.xxh3_64_intdigest
@@ -182,33 +242,35 @@ def _anchors(length: int, k: int):
             place = pos[at] - start[at]
             yield common.to_batch(
                 _ANCHORS,
-                [h[at].view(np.int64), ctx[at].view(np.int64), *ids, place.astype(np.int32), (pos - first)[at].astype(np.int32), (last + length - pos)[at].astype(np.int32), n.astype(np.int32), covers],
+                [h[at].view(np.int64), ctx[at].view(np.int64), *ids, place.astype(np.int32), (pos - first)[at].astype(np.int32), (last + length - pos)[at].astype(np.int32), n.astype(np.int32), covers, [words] * len(at)],
             )
 
     return run
 
 
-def _cut(length: int, segments: bool):
+def _cut(length_of: dict[bool, int], segments: bool):
     """The bytes around each anchor asked for.  With ``segments`` the windows of an
-    anchor are cut into runs of SEGMENT, each under a hash of what they share."""
+    anchor are cut into runs of SEGMENT bytes, each under a hash of what they share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = common.string_bytes(batch.column(2))
-            view = memoryview(data)
+            held = {words: _units(batch.column(2), words) for words in length_of}
             rows: list[tuple] = []
             for i, asked in enumerate(batch.column(3).to_pylist()):
-                did, tk, at = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), int(offsets[i])
+                did, tk = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
                 for x in asked:
-                    pos, left, least = at + x["pos"], x["lft"], length - x["rgt"]
+                    words, left = x["words"], x["lft"]
+                    offsets, view = held[words][0], memoryview(held[words][1])
+                    length, unit, pos = length_of[words], _WORD if words else 1, int(offsets[i]) + x["pos"]
                     if not segments:
-                        rows.append((x["anchor"], did, tk, x["pos"], left, x["solo"], bytes(view[pos - left : pos + x["rgt"]])))
+                        rows.append((x["anchor"], did, tk, x["pos"], left, x["solo"], words, bytes(view[pos - left : pos + x["rgt"]])))
                         continue
+                    least = length - x["rgt"]
                     for s in range(least // SEGMENT, left // SEGMENT + 1):
-                        a, b = max(least, s * SEGMENT), min(left, s * SEGMENT + SEGMENT - 1)
-                        shared = view[pos - s * SEGMENT : pos - (s + 1) * SEGMENT + 1 + length]
-                        key = xxhash.xxh3_64_intdigest(shared, s) - (1 << 63)
-                        rows.append((key, did, tk, x["pos"], b, x["solo"], bytes(view[pos - b : pos - a + length])))
+                        a, b = max(least, s * SEGMENT), min(left, (s + 1) * SEGMENT - unit)
+                        shared = view[pos - s * SEGMENT : pos - (s + 1) * SEGMENT + unit + length]
+                        key = xxhash.xxh3_64_intdigest(shared, 2 * s + words) - (1 << 63)
+                        rows.append((key, did, tk, x["pos"], b, x["solo"], words, bytes(view[pos - b : pos - a + length])))
                 if len(rows) > 8192:
                     yield common.to_batch(_CONTEXTS, list(zip(*rows)))
                     rows = []
@@ -218,16 +280,16 @@ def _cut(length: int, segments: bool):
     return run
 
 
-def _each_window(length: int):
+def _each_window(length_of: dict[bool, int]):
     """A row, with a hash, for every window of the contexts of very large groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x in batch.to_pylist():
-                w = x["window"]
+                w, words, length = x["window"], x["words"], length_of[x["words"]]
                 rows = [
-                    (x["anchor"], x["did"], x["tk"], x["pos"] - x["lft"] + p, x["lft"] - p, x["solo"], xxhash.xxh3_128_digest(w[p : p + length]))
-                    for p in range(len(w) - length + 1)
+                    (x["anchor"], x["did"], x["tk"], x["pos"] - x["lft"] + p, x["lft"] - p, x["solo"], words, xxhash.xxh3_128_digest(w[p : p + length]))
+                    for p in range(0, len(w) - length + 1, _WORD if words else 1)
                 ]
                 yield common.to_batch(_CONTEXTS, list(zip(*rows)))
 
@@ -307,9 +369,16 @@ def maximal_repeats(anchors: np.ndarray, suffixes: list[bytes], lefts: list[byte
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _repeats(length: int):
+def _repeats(length_of: dict[bool, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def answer(table: pa.Table):
+            of_words = table.column("words").to_numpy()
+            for words, length in length_of.items():
+                own = table.filter(pa.array(of_words == words))
+                if own.num_rows:
+                    yield repeats(own, words, length)
+
+        def repeats(table: pa.Table, words: bool, length: int):
             windows, left = table.column("window").to_pylist(), table.column("lft").to_pylist()
             member, to_left, to_right = maximal_repeats(
                 table.column("anchor").to_numpy(), [w[n:] for w, n in zip(windows, left)], [w[:n][::-1] for w, n in zip(windows, left)], length
@@ -318,7 +387,7 @@ def _repeats(length: int):
             member, to_left, to_right = member[solo], to_left[solo], to_right[solo]
             pos = table.column("pos").to_numpy()[member]
             spans = np.stack([pos - to_left, pos + to_right], axis=1).astype("<i4")
-            yield common.to_batch(_SPANS, [table.column("did").to_numpy()[member], table.column("tk").to_numpy()[member], [s.tobytes() for s in spans]])
+            return common.to_batch(_SPANS, [table.column("did").to_numpy()[member], table.column("tk").to_numpy()[member], [words] * len(member), [s.tobytes() for s in spans]])
 
         held, size = [], 0
         for table in common.in_runs(batches, "anchor"):  # groups are taken together
@@ -333,24 +402,40 @@ def _repeats(length: int):
     return run
 
 
+def _passages(covers: list[bytes] | None) -> np.ndarray:
+    """Sorted disjoint passages (pairs of word offsets) of spans over words' hashes."""
+    if not covers:
+        return np.zeros((0, 2), np.int64)
+    spans = np.frombuffer(b"".join(covers), "<i4").reshape(-1, 2).astype(np.int64)
+    # Neighbouring hashes may agree in some of their bytes: whole words count.
+    return _merged(np.stack([-(-spans[:, 0] // _WORD), spans[:, 1] // _WORD], axis=1))
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for did, text, covers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+        for did, text, covers, passages in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             raw = text.as_py().encode()
             n, spans = len(raw), np.zeros((0, 2), np.int64)
             if covers:
                 spans = _merged(np.frombuffer(b"".join(covers), "<i4").reshape(-1, 2).astype(np.int64))
                 ends = [0, *spans.ravel().tolist(), n]
                 raw = b"".join(raw[a:b] for a, b in zip(ends[::2], ends[1::2]))
-            rows.append((None if did == common.NO_ID else did, n, n - len(raw), len(spans), hashlib.sha256(raw).hexdigest(), spans.astype("<i8").tobytes()))
+            said = _passages(passages)
+            counts = len(said), int((said[:, 1] - said[:, 0]).sum())
+            rows.append(
+                (None if did == common.NO_ID else did, n, n - len(raw), len(spans), hashlib.sha256(raw).hexdigest(), *counts, spans.astype("<i8").tobytes(), said.astype("<i8").tobytes())
+            )
         yield common.to_batch(_RESULT, list(zip(*rows)) or [[]] * len(_RESULT))
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
-    """did, tk, cover: spans (pairs of 32-bit offsets) whose bytes are covered by a
-    string of ``length`` bytes that starts elsewhere too; ``keyed`` has did, tk, text."""
-    anchors = common.stored(keyed.mapInArrow(_anchors(length, k), ANCHORS), "anchors")
+def repeated_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP, passage: int = PASSAGE, passage_k: int = PASSAGE_K) -> DataFrame:
+    """did, tk, words, cover: spans (pairs of 32-bit offsets) whose bytes are covered
+    by a string of ``length`` bytes that starts elsewhere too, or (``words``) whose
+    words are, by ``passage`` of them; ``keyed`` has did, tk, text."""
+    sizes = ((False, length, k), (True, passage * _WORD, passage_k * _WORD))
+    length_of = {words: n for words, n, _ in sizes}
+    anchors = common.stored(keyed.mapInArrow(_anchors(sizes), ANCHORS), "anchors")
     twice = (
         anchors.groupBy("anchor")
         .agg(F.sum("n").alias("c"), F.min("ctx").alias("least"), F.max("ctx").alias("most"))
@@ -359,64 +444,73 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, group: in
     found = common.stored(
         anchors.join(twice, "anchor").select(*anchors.columns, (F.col("least") != F.col("most")).alias("mixed"), (F.col("c") > group).alias("hot")), "repeated"
     )
-    whole = found.where("not mixed").select("did", "tk", "pos", "lft", "rgt", "cover")
+    columns = ["did", "tk", "words", "pos", "lft", "rgt", "cover"]
+    whole = found.where("not mixed").select(*columns)
     mixed = found.where("mixed")
     windows = mixed.groupBy("anchor", "ctx").agg(
-        F.sum("n").alias("n_same"), F.max("hot").alias("hot"), F.min(F.struct("did", "tk", "pos", "lft", "rgt")).alias("rep")
+        F.sum("n").alias("n_same"), F.max("hot").alias("hot"), F.min(F.struct("did", "tk", "pos", "lft", "rgt", "words")).alias("rep")
     )
     windows = common.stored(windows, "windows")
     same = mixed.join(windows.where("n_same > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi")
-    whole = whole.unionByName(same.select(*whole.columns))
+    whole = whole.unionByName(same.select(*columns))
     # An int pair in the layout of ``cover``, by hex digits: the low byte first.
     def little(c):
         digits = F.lpad(F.hex(c.cast("long")), 8, "0")
         return F.concat(F.substring(digits, 7, 2), F.substring(digits, 5, 2), F.substring(digits, 3, 2), F.substring(digits, 1, 2))
 
     pair = F.unhex(F.concat(little(F.col("pos") - F.col("lft")), little(F.col("pos") + F.col("rgt"))))
-    spans = whole.select("did", "tk", F.coalesce("cover", pair).alias("cover"))
+    spans = whole.select("did", "tk", "words", F.coalesce("cover", pair).alias("cover"))
 
     def asked(rows: DataFrame) -> DataFrame:
-        x = F.struct("anchor", "rep.pos", "rep.lft", "rep.rgt", (F.col("n_same") == 1).alias("solo"))
-        by_text = rows.select("rep.did", "rep.tk", x.alias("x")).groupBy("did", "tk").agg(F.collect_list("x").alias("asked"))
+        x = F.struct("anchor", "rep.pos", "rep.lft", "rep.rgt", "rep.words", (F.col("n_same") == 1).alias("solo"))
+        by_text = rows.select("rep.did", "rep.tk", x.alias("x")).groupBy("did", "tk").agg(F.collect_set("x").alias("asked"))
         return keyed.join(by_text, ["did", "tk"]).select("did", "tk", "text", "asked")
 
     def scanned(contexts: DataFrame) -> DataFrame:
-        return contexts.select(*_CONTEXTS.names).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats(length), SPANS)
+        return contexts.select(*_CONTEXTS.names).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_repeats(length_of), SPANS)
 
-    spans = spans.unionByName(scanned(asked(windows.where("not hot")).mapInArrow(_cut(length, False), CONTEXTS)))
+    spans = spans.unionByName(scanned(asked(windows.where("not hot")).mapInArrow(_cut(length_of, False), CONTEXTS)))
     if not windows.where("hot").isEmpty():
-        cut = common.stored(asked(windows.where("hot")).mapInArrow(_cut(length, True), CONTEXTS), "segments")
+        cut = common.stored(asked(windows.where("hot")).mapInArrow(_cut(length_of, True), CONTEXTS), "segments")
         sizes = cut.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
         spans = spans.unionByName(scanned(cut.join(sizes.where(F.col("c") <= group), "anchor")))
         large = sizes.where(F.col("c") > group)
         if not large.isEmpty():
-            each = common.stored(cut.join(large, "anchor").select(*_CONTEXTS.names).mapInArrow(_each_window(length), CONTEXTS), "by-window")
-            shared = each.groupBy("anchor", "lft", "window").agg(F.count("*").alias("c")).where("c > 1")
-            again = each.where("solo").join(shared, ["anchor", "lft", "window"], "left_semi")
+            each = common.stored(cut.join(large, "anchor").select(*_CONTEXTS.names).mapInArrow(_each_window(length_of), CONTEXTS), "by-window")
+            shared = each.groupBy("anchor", "lft", "words", "window").agg(F.count("*").alias("c")).where("c > 1")
+            again = each.where("solo").join(shared, ["anchor", "lft", "words", "window"], "left_semi")
             start = F.col("pos").cast("long")
-            spans = spans.unionByName(again.select("did", "tk", F.unhex(F.concat(little(start), little(start + length))).alias("cover")))
+            end = start + F.when(F.col("words"), length_of[True]).otherwise(length_of[False])
+            spans = spans.unionByName(again.select("did", "tk", "words", F.unhex(F.concat(little(start), little(end))).alias("cover")))
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and
-    the removed spans (pairs of little-endian 64-bit byte offsets).
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, group: int = GROUP, passage: int = PASSAGE, passage_k: int = PASSAGE_K) -> DataFrame:
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256,
+    n_passages and n_passage_words, the removed spans (pairs of little-endian 64-bit
+    byte offsets) and the passages (pairs of word offsets, likewise).
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else in
-    the corpus, the same text included.  Null or empty texts have no bytes; texts
-    under ``length`` bytes lose none; rows that repeat an id and text are documents
-    of their own and so repeat each other.  An empty table gives no rows; other
-    columns are not read.
+    the corpus, the same text included.  A word is of a passage if a string of
+    ``passage`` words over it also starts anywhere else; passages are told, not
+    removed, and n_passages counts their maximal runs.  Words are runs without white
+    space; what stands between them does not matter.  Null or empty texts have no
+    bytes; texts under ``length`` bytes lose none; rows that repeat an id and text are
+    documents of their own and so repeat each other.  An empty table gives no rows;
+    other columns are not read.
     """
-    if not 0 < k < length:
-        raise ValueError("k must be below length")
+    if not (0 < k < length and 0 < passage_k < passage):
+        raise ValueError("an anchor must be shorter than what it is an anchor of")
     keyed = common.with_row_key(docs)
-    covers = repeated_spans(keyed, length, k, group).groupBy("did", "tk").agg(F.collect_list("cover").alias("covers"))
-    return keyed.join(covers, ["did", "tk"], "left").select("did", "text", "covers").mapInArrow(
-        _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary"
+    of = lambda words: F.collect_set(F.when(F.col("words") == words, F.col("cover")))
+    # Sets: rows that repeat an id and text have the same spans.
+    covers = repeated_spans(keyed, length, k, group, passage, passage_k).groupBy("did", "tk").agg(of(False).alias("covers"), of(True).alias("passages"))
+    return keyed.join(covers, ["did", "tk"], "left").select("did", "text", "covers", "passages").mapInArrow(
+        _removed,
+        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long, spans binary, passages binary",
     )
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents without the bytes of 400-byte repeats."""
-    return remove_repeats(common.documents(spark, sf_dir)).drop("spans")
+    return remove_repeats(common.documents(spark, sf_dir)).drop("spans", "passages")

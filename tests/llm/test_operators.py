@@ -77,6 +77,40 @@ def test_suffix_dedup(docs, length, k, group):
     same(got, [(r[0], *x) for r, x in zip(ROWS, brute_repeats([r[1] for r in ROWS], length))])
 
 
+def brute_passages(texts, size):
+    words = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    counts = collections.Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    out = []
+    for w in words:
+        covered = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - size + 1):
+            if counts[tuple(w[i : i + size])] > 1:
+                covered[i : i + size] = True
+        out.append((int((np.diff(np.concatenate([[0], covered.astype(int)])) == 1).sum()), int(covered.sum())))
+    return out
+
+
+@pytest.mark.parametrize("passage,k,group", [(50, 10, 1000), (12, 3, 1000), (12, 3, 2), (30, 8, 3)])
+def test_repeated_passages(docs, passage, k, group):
+    got = pairs(suffix_dedup.remove_repeats(docs, 150, 64, group, passage, k), "doc_id", "n_passages", "n_passage_words")
+    same(got, [(r[0], *x) for r, x in zip(ROWS, brute_passages([r[1] for r in ROWS], passage))])
+
+
+def test_passages_of_short_words_and_other_white_space(spark):
+    """Passages under 400 bytes, set with other white space, among long texts."""
+    rng = random.Random(12)
+    shared = [rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(61)]
+    rows = [
+        (1, data.prose(rng, 70) + " " + " ".join(shared[:50]) + " end", None, None, 0),
+        (2, "\n".join(shared) + "\t\t" + data.prose(rng, 30), None, None, 0),
+        (3, " ".join(shared[11:60]), None, None, 0),  # one word short
+        (4, "w" * 300_000 + " " + "  ".join(shared[5:55]), None, None, 0),
+        (5, None, None, None, 0),
+    ]
+    got = pairs(suffix_dedup.remove_repeats(data.table(spark, rows)), "doc_id", "n_removed", "n_passages", "n_passage_words")
+    same(got, [(1, 0, 1, 50), (2, 0, 1, 55), (3, 0, 0, 0), (4, 0, 1, 50), (5, 0, 0, 0)])
+
+
 def test_suffix_dedup_long_text(spark):
     """A text beyond a segment, cut where an anchor's run crosses the edge."""
     unit = data.prose(__import__("random").Random(3), 60_000)
