@@ -304,7 +304,7 @@ def _prefix_lengths(rows: list[bytes], left: np.ndarray, right: np.ndarray) -> n
     for low in range(0, len(left), 4096):
         a, b = left[low : low + 4096], right[low : low + 4096]
         used, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        table = np.frombuffer(b"".join(rows[i].ljust(width, b"\0") for i in used.tolist()), np.uint8).reshape(-1, width)
+        table = np.frombuffer(b"".join(rows[i].ljust(width, b"\0") for i in used.tolist()), np.uint8).reshape(len(used), width)
         differ = table[where[: len(a)]] != table[where[len(a) :]]
         first = np.where(differ.any(1), differ.argmax(1), width) if width else np.zeros(len(a), np.int64)
         out[low : low + 4096] = np.minimum(first, np.minimum(sizes[a], sizes[b]))

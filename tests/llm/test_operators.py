@@ -534,3 +534,9 @@ def test_viterbi_is_the_best_segmentation():
         for word, ids in zip(words, model.viterbi(words)):
             got = sum(scores[i] if i else model.worst for i in np.frombuffer(ids, "<u4"))
             assert got == pytest.approx(brute_viterbi(word, dict(zip(names[1:], scores[1:])), model.worst)[0])
+
+
+def test_prefix_lengths_of_nothing():
+    none = np.zeros(0, np.int64)
+    assert suffix_dedup._prefix_lengths([b"", b""], np.array([0]), np.array([1])).tolist() == [0]
+    assert suffix_dedup._prefix_lengths([], none, none).tolist() == []
