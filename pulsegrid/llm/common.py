@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,12 +26,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder.
 
-    The folder is what ``spark.checkpoint.dir`` names; only where that is unset
-    (local tests) is a temporary folder set up and kept for the session.
+    The folder is what ``spark.checkpoint.dir`` names; only where that is unset and
+    all runs on one machine (local tests) is a temporary folder set up and kept for
+    the session.
     """
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = context.getCheckpointDir()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +48,49 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ``scratch`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def own_name(name: str) -> str:
+    """A column name that no table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
+#: A key with more than one in so many rows, and LIGHT rows at least, is heavy.
+HEAVY, LIGHT = 1_000, 1_000
+#: Tasks that the rows of a heavy key are dealt to.
+SALTS = 64
+#: Rows of a table that may be broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (stored, with narrow rows), broadcast if it has few rows by its count."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def joined(rows: DataFrame, values: DataFrame, keys: list[str], size: str, spread, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``values`` (stored; one row a key), by ``keys``.
+
+    ``size`` is the column of ``values`` with the number of rows that a key has, and
+    is dropped.  Heavy keys are fewer than HEAVY, so they are broadcast: their rows are dealt to
+    SALTS tasks each by a hash of ``spread``, and their values repeated for each.
+    """
+    total = values.agg(F.sum(size)).first()[0] or 0
+    heavy = values.where(F.col(size) > max(LIGHT, total // HEAVY)).select(*keys)
+    if heavy.isEmpty():
+        return rows.join(values.drop(size), keys, how)
+    salt, many = own_name("salt"), own_name("many")
+    marked = F.broadcast(heavy.withColumn(many, F.lit(SALTS)))
+    part = F.coalesce(F.pmod(F.xxhash64(spread), F.col(many)), F.lit(0)).cast("int")
+    left = rows.join(marked, keys, "left").withColumn(salt, part).drop(many)
+    parts = F.explode(F.sequence(F.lit(0), F.when(F.col(size) > max(LIGHT, total // HEAVY), SALTS - 1).otherwise(0)))
+    return left.join(values.withColumn(salt, parts).drop(size), [*keys, salt], how).drop(salt)
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, a null text as an empty one."""
     return docs.select(

@@ -30,10 +30,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node``, ``root`` (its smallest reachable node) for the nodes of ``edges``
     (columns u, v; long; both directions or one; loops are ignored)."""
-    current = common.stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    said = None
+    spark = edges.sparkSession
+    path = common.scratch(spark, "edges")
+    edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().write.parquet(path)
+    current, said = spark.read.schema("u long, v long").parquet(path), None
     for _ in range(rounds):
-        current = common.stored(_small_star(_large_star(current)), "edges")
+        before, path = path, common.scratch(spark, "edges")
+        _small_star(_large_star(current)).write.parquet(path)
+        common.forget(spark, before)
+        current = spark.read.schema("u long, v long").parquet(path)
         now = current.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") <= F.col("v"))).first()
         if now == said:
             break
