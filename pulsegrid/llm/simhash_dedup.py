@@ -110,14 +110,15 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     link like any other.  An empty table gives no rows; other columns are not read.
     """
     held = common.stored(simhash(docs, shingle), "fingerprints")
-    least = held.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    least = common.stored(held.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "fingerprints")
     roots = components(links(least.select("fp"), radius))
     named = least.join(roots, least["fp"] == roots["node"])
     # Few rows: only fingerprints that have a link.
     smallest = named.groupBy("root").agg(F.min("least").alias("component"))
     linked = roots.join(smallest, "root").select("node", "component")
-    ids = least.join(linked, least["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return held.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
+    ids = least.join(linked, least["fp"] == linked["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"), "rows")
+    named = common.joined(held, common.stored(ids, "components"), ["fp"], "rows", F.struct("doc_id", "text_hash"))
+    return named.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "text_hash")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
