@@ -113,14 +113,38 @@ class Model:
         return self.languages[best], score, len(self.languages) > 1 and score < AMBIGUOUS
 
 
+def _sample(docs: DataFrame, per_language: int) -> DataFrame:
+    """own_id, own_lang: of each language's rows that are not held out those whose ids
+    have the least hashes, ``per_language`` of them at most.
+
+    Hashes are spread evenly, so the least ones lie below a share of their range that
+    follows from a language's number of rows: only those are sorted, whatever the
+    size of a language.  Where too few lie below (ids that repeat), the share grows.
+    """
+    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    ids = ids.select(F.col("doc_id").alias("own_id"), F.col("lang").alias("own_lang"))
+    ids = ids.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.col("own_id").cast("string")), 2))
+    sizes = common.stored(ids.groupBy("own_lang").agg(F.count("*").alias("size")), "languages")
+    factor = 4.0
+    while True:  # hashes are 62 bits wide
+        share = F.least(F.lit(1.0), F.lit(factor * per_language) / F.col("size"))
+        limits = sizes.select("own_lang", "size", F.floor(share * float(1 << 62)).alias("limit"))
+        # A row per language.
+        below = ids.join(F.broadcast(limits), "own_lang").where(F.col("h") <= F.col("limit"))
+        rank = F.row_number().over(Window.partitionBy("own_lang").orderBy("h", "own_id"))
+        chosen = common.stored(below.withColumn("rank", rank).where(F.col("rank") <= per_language).select("own_id", "own_lang", "size"), "sample")
+        got = chosen.groupBy("own_lang").agg(F.count("*").alias("got"), F.min("size").alias("size"))
+        if got.agg(F.count("*")).first()[0] == sizes.count() and got.where(F.col("got") < F.least(F.lit(per_language), "size")).isEmpty():
+            return chosen.select("own_id", "own_lang").distinct()
+        factor *= 16
+
+
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Fits on at most ``per_language`` rows of each language that are not held out."""
-    h = F.xxhash64(F.col("doc_id").cast("string"))
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").alias("own_id"), F.col("lang").alias("own_lang"), h.alias("h"))
-    rank = F.row_number().over(Window.partitionBy("own_lang").orderBy("h", "own_id"))
-    chosen = ids.withColumn("rank", rank).where(F.col("rank") <= per_language).select("own_id", "own_lang").distinct()
+    rows = docs.select("doc_id", "lang", "text")
+    chosen = _sample(rows, per_language)
     # At most per_language rows of each language: bounded.
-    rows = docs.join(F.broadcast(chosen), (F.col("doc_id") == F.col("own_id")) & (F.col("lang") == F.col("own_lang")), "left_semi")
+    rows = rows.join(F.broadcast(chosen), (F.col("doc_id") == F.col("own_id")) & (F.col("lang") == F.col("own_lang")), "left_semi")
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     summed = rows.mapInArrow(_language_counts, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
