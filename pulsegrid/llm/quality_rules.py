@@ -6,8 +6,9 @@ hash buckets; a bucket's weight is the log of its share in trusted documents ove
 its share in the raw corpus (both smoothed); a text's score is the mean weight of
 its n-grams.  Counts of the raw corpus cover all documents.  The trusted side is a
 bounded sample of the rows labelled good: ``trusted`` of them, those with the least
-hashes, half to count and half to set the threshold, which is the score that all
-but ``miss`` of that second half reach.  Weights are whole numbers, so that sums
+hashes.  The threshold is the score that all but ``miss`` of the other sound rows
+labelled good reach, however many they are; where the sample would take more than
+half of the rows labelled good, it takes half.  Weights are whole numbers, so that sums
 do not depend on their order and every document is judged alike in every run.
 """
 
@@ -22,7 +23,7 @@ from . import common
 
 BUCKETS = 1 << 14
 #: Most labelled rows that the trusted side is fitted on.
-TRUSTED = 20_000
+TRUSTED = 10_000
 #: Share of trusted documents that the threshold may reject.
 MISS = 0.005
 #: Whole-number steps of a weight to one nat.
@@ -65,8 +66,8 @@ def _with_repeats(df: DataFrame, window: int = 3) -> DataFrame:
     """Adds n_repeat_words: words in windows of three words found twice or more.
 
     Windows are sorted as (hash, place) packed into longs; equal neighbours repeat.
-    Should two different windows of a text share a hash, that text is counted by
-    comparing its windows themselves.
+    Should two different windows of a text share a hash, or a text have more words
+    than places fit, its windows are sorted by their words instead.
     """
     w, mask = F.col("words"), (1 << _PLACE) - 1
     places = F.when(F.size(w) < window, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), F.size(w) - window))
@@ -87,8 +88,12 @@ def _with_repeats(df: DataFrame, window: int = 3) -> DataFrame:
     text_of = lambda i: F.array(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     mixed = F.exists(t, lambda x: text_of(x["a"]) != text_of(x["b"]))
     covered = lambda starts: F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.array(i, i + 1, i + 2)))))
-    compared = F.filter(places, lambda i: F.size(F.filter(places, lambda j: text_of(i) == text_of(j))) > 1)
-    repeats = F.when(F.size(t) == 0, F.lit(0)).when(mixed, covered(compared)).otherwise(covered(F.concat(t["a"], t["b"])))
+    by_words = F.sort_array(F.transform(places, lambda i: F.struct(text_of(i).alias("of"), i.alias("at"))))
+    next_too = lambda v: F.filter(F.sequence(F.lit(0), F.size(v) - 2), lambda j: F.get(v, j)["of"] == F.get(v, j + 1)["of"])
+    # One element each, so that what the lambda is given is computed once.
+    compared = F.flatten(F.transform(F.array(by_words), lambda v: F.flatten(F.transform(next_too(v), lambda j: F.array(F.get(v, j)["at"], F.get(v, j + 1)["at"])))))
+    too_long = F.size(w) > mask
+    repeats = F.when((F.size(t) == 0) & ~too_long, F.lit(0)).when(too_long | mixed, covered(compared)).otherwise(covered(F.concat(t["a"], t["b"])))
     return df.withColumn("n_repeat_words", repeats.cast("long")).drop("twice")
 
 
@@ -108,19 +113,24 @@ def _gram_buckets(w: Column, buckets: int) -> Column:
     return F.concat(single, F.transform(w, lambda x, i: F.when(i > 0, _bucket(F.xxhash64(F.get(w, i - 1), x), buckets))))
 
 
-def trusted_ids(labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
-    """doc_id, held: at most ``trusted`` ids labelled good (quality 1), those with
-    the least hashes; held (half of them) set the threshold."""
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    chosen = good.withColumn("h", F.xxhash64(F.col("trusted_id").cast("string"))).orderBy("h", "trusted_id").limit(trusted)
-    return chosen.select("trusted_id", (F.pmod(F.shiftright("h", 20), F.lit(2)) == 1).alias("held"))
+def trusted_ids(labels: DataFrame, trusted: int = TRUSTED) -> tuple[DataFrame, DataFrame]:
+    """(good_id of the sample to count, good_id of the others): rows labelled good
+    (quality 1).  The sample are the ids with the least hashes, ``trusted`` of them
+    or half of all."""
+    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("good_id")).distinct()
+    good = common.stored(good.withColumn("h", F.xxhash64(F.col("good_id").cast("string"))), "good")
+    sample = common.stored(good.orderBy("h", "good_id").limit(min(trusted, -(-good.count() // 2))), "trusted")
+    last = sample.agg(F.max(F.struct("h", "good_id")).alias("last")).first().last
+    rest = good if last is None else good.where(F.struct("h", "good_id") > F.struct(F.lit(last.h).alias("h"), F.lit(last.good_id).alias("good_id")))
+    return sample.select("good_id"), rest.select("good_id")
 
 
-def fit_weights(docs: DataFrame, chosen: DataFrame, buckets: int = BUCKETS) -> list[int]:
+def fit_weights(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> list[int]:
     """A weight per bucket, as whole numbers of 1 / SCALE nats.  One pass over all
     documents; what reaches the driver is one row per bucket."""
-    rows = common.texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("trusted_id"), "left")
-    rows = rows.select(words_of(F.col("text")).alias("words"), F.coalesce(~F.col("held"), F.lit(False)).alias("good"))
+    # The sample is bounded by ``trusted``.
+    rows = common.texts(docs).join(F.broadcast(sample.withColumn("good", F.lit(True))), F.col("doc_id") == F.col("good_id"), "left")
+    rows = rows.select(words_of(F.col("text")).alias("words"), F.coalesce("good", F.lit(False)).alias("good"))
     found = _counts(rows, buckets).collect()
     raw_all, good_all = sum(r.raw for r in found), sum(r.good for r in found)
     raw, good = {r.bucket: r.raw for r in found}, {r.bucket: r.good for r in found}
@@ -149,24 +159,26 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, tr
     any trusted row only the base rules judge.  Rows that repeat are judged alike;
     an empty table gives no rows; other columns are not read.
     """
-    chosen = common.stored(trusted_ids(labels, trusted), "trusted")
-    weights = fit_weights(docs, chosen, buckets)
-    held = docs.join(F.broadcast(chosen.where("held").select("trusted_id")), F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    # No filter on the measures: it would be pushed below them and compute them anew for each element.
-    measured = _scored(_with_repeats(_measured(held)), weights)
-    sound = F.when(~_fails(F.col("n_words"), F.col("n_repeat_words")), F.col("llr"))
-    threshold = measured.agg(F.percentile(sound, F.lit(miss))).first()[0]
-    judged = _scored(_with_repeats(_measured(docs)), weights).withColumn("base_failed", _fails(F.col("n_words"), F.col("n_repeat_words")))
-    passes = F.col("llr") >= F.lit(threshold) if threshold is not None else F.lit(True)
+    sample, rest = trusted_ids(labels, trusted)
+    weights = fit_weights(docs, sample, buckets)
     columns = [
         "doc_id", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words", "base_failed", (~F.col("base_failed") & passes).alias("kept"),
-        (F.col("llr") / SCALE).alias("llr"), F.lit(None if threshold is None else threshold / SCALE).cast("double").alias("threshold"),
+        "n_repeat_words", _fails(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"), "llr",
         *(["row"] if carry else []),
     ]
-    # One struct a row: a caller's filter on the result stops here and is not pushed into the measures.
-    return judged.select(F.explode(F.array(F.struct(*columns))).alias("_")).select("_.*")
+    # One struct a row, so that no filter is pushed into the measures; written once, as
+    # the threshold is read from all of them.
+    measured = _scored(_with_repeats(_measured(docs)), weights).select(F.explode(F.array(F.struct(*columns))).alias("_")).select("_.*")
+    measured = common.stored(measured, "measured")
+    sound = measured.where("NOT base_failed").select("doc_id", "llr").join(rest, F.col("doc_id") == F.col("good_id"), "left_semi")
+    # Exact, over whole numbers of 1 / SCALE: what is held are the distinct ones.
+    threshold = sound.agg(F.percentile("llr", F.lit(miss))).first()[0]
+    passes = F.col("llr") >= F.lit(threshold) if threshold is not None else F.lit(True)
+    return measured.select(
+        *measured.columns[:7], (~F.col("base_failed") & passes).alias("kept"), (F.col("llr") / SCALE).alias("llr"),
+        F.lit(None if threshold is None else threshold / SCALE).cast("double").alias("threshold"), *(["row"] if carry else []),
+    )
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

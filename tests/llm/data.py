@@ -8,6 +8,10 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and alpha beta gamma delta river stone cloud lamp forest garden window paper ember quiet north".split()
 
 
+#: Further names that operators use inside.
+CLASHES = ["own_id", "own_lang", "trusted_id", "good_id", "good", "held", "_id", "_digest", "_rows", "_own_id", "_own_digest", "_row", "h", "size", "file", "at", "chunk", "salt", "digest", "spans", "candidates"]
+
+
 def prose(rng: random.Random, n: int) -> str:
     return " ".join(rng.choice(WORDS) + rng.choice(["", "", "", ".", ",", ".\n"]).replace("\n", "") for _ in range(n))
 
@@ -41,4 +45,5 @@ def rows(seed: int = 1, n: int = 60) -> list[tuple]:
 def table(spark, data=None):
     """With a column whose name clashes with names the operators use."""
     df = spark.createDataFrame(rows() if data is None else data, SCHEMA)
-    return df.selectExpr("*", "1 AS fp", "'x' AS words", "2 AS kept", "3 AS text_sha256", "4 AS start", "5 AS did", "6 AS row")
+    return df.selectExpr("*", "1 AS fp", "'x' AS words", "2 AS kept", "3 AS text_sha256", "4 AS start", "5 AS did", "6 AS row",
+        *(f"7 AS {c}" for c in CLASHES))

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -171,8 +172,11 @@ def brute_weights(rows, chosen, buckets):
 def test_quality_rules(spark, docs):
     labels = spark.createDataFrame([(100 + i, i % 4 != 0) for i in range(60)] + [(None, True)], "doc_id long, quality boolean").selectExpr("doc_id", "cast(quality as int) quality", "0 toxic")
     buckets = 64
-    chosen = {r.trusted_id: r.held for r in quality_rules.trusted_ids(labels).collect()}
-    assert set(chosen.values()) == {True, False}
+    sample, rest = ({r.good_id for r in ids.collect()} for ids in quality_rules.trusted_ids(labels))
+    assert sample and rest and not sample & rest and sample | rest == {100 + i for i in range(60) if i % 4}
+    few, others = quality_rules.trusted_ids(labels, 7)
+    assert few.count() == 7 and others.count() == len(sample | rest) - 7
+    chosen = dict.fromkeys(sample, False) | dict.fromkeys(rest, True)
     got = quality_rules.quality_rules(docs, labels, buckets, miss=0.2)
     weight, grams = brute_weights(ROWS, chosen, buckets)
     score = [math.floor(sum(weight[b] for b in g) / len(g)) if g else None for g in grams.values()]
@@ -195,13 +199,24 @@ def test_quality_without_labels(spark, docs, empty):
     assert quality_rules.quality_rules(empty, none, 64).count() == 0
 
 
-def test_repeats_when_hashes_clash(docs, monkeypatch):
+def test_repeats_when_hashes_clash(spark, docs, monkeypatch):
     """Windows that share a hash are compared themselves."""
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(quality_rules.F, "xxhash64", lambda *c: F.lit(0).cast("long"))
     got = pairs(quality_rules._with_repeats(quality_rules._measured(docs.where("doc_id < 112"))), "doc_id", "n_repeat_words")
     same(got, [(r[0], brute_quality(r[1])[4]) for r in ROWS if r[0] and r[0] < 112])
+    rng = random.Random(4)
+    long = " ".join(rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(300_000))
+    began = time.monotonic()
+    table = spark.createDataFrame([(1, long)], "doc_id long, text string")
+    assert pairs(quality_rules._with_repeats(quality_rules._measured(table)), "n_repeat_words") == [(brute_quality(long)[4],)]
+    assert time.monotonic() - began < 60
+    # More words than places fit: likewise.
+    monkeypatch.undo()
+    monkeypatch.setattr(quality_rules, "_PLACE", 6)
+    got = pairs(quality_rules._with_repeats(quality_rules._measured(docs)), "doc_id", "n_repeat_words")
+    same(got, [(r[0], brute_quality(r[1])[4]) for r in ROWS])
 
 
 # -- 3 and 6 -----------------------------------------------------------------
@@ -429,6 +444,63 @@ def test_language_id(spark, sf, docs, empty):
     assert [r[0] for r in untaught] == ["und"]
 
 
+def brute_language(rows, chosen, text):
+    """The prediction in plain Python: log-odds per bit, loss-weighted decoding."""
+
+    def grams(t):
+        b = (" " + t.lower() + " ").encode()
+        out = collections.Counter()
+        for order in (1, 2, 3):
+            for i in range(len(b) - order + 1):
+                h = b[i]
+                for x in b[i + 1 : i + order]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ x
+                out[(order - 1) * 8192 + ((h * 0x9E3779B1 & 0xFFFFFFFF) >> 19)] += 1
+        return out
+
+    size, counts = 3 * 8192, {}
+    for r in rows:
+        if (r[0], r[2]) in chosen:
+            counts.setdefault(r[2], collections.Counter()).update(grams(r[1] or ""))
+    languages = sorted(counts)
+    share = {x: (lambda c, n: lambda f: (c[f] + 0.5) / (n + 0.5 * size))(counts[x], sum(counts[x].values())) for x in languages}
+    code = language_id.codewords(len(languages)).tolist()
+    own = grams(text)
+    margins = []
+    for bit in range(len(code[0])):
+        on, off = ([x for x, c in zip(languages, code) if c[bit] == v] for v in (1, 0))
+        odds = sum(n * (math.log(sum(share[x](f) for x in on) / len(on)) - math.log(sum(share[x](f) for x in off) / len(off))) for f, n in own.items())
+        margins.append(odds / math.sqrt(sum(own.values())))
+    loss = [sum((1 - math.exp(-abs(m))) * math.log1p(math.exp(-(2 * c[b] - 1) * m)) for b, m in enumerate(margins)) for c in code]
+    chance = [math.exp(min(loss) - x) for x in loss]
+    best = loss.index(min(loss))
+    return languages[best], chance[best] / sum(chance)
+
+
+@pytest.mark.parametrize("per_language", [3000, 4])
+def test_language_by_brute_force(spark, sf, per_language):
+    table = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 AS own_id", "2 AS own_lang", "3 AS h", "4 AS size")
+    rows = [(r.doc_id, r.text, r.lang) for r in table.collect()]
+    ranked = collections.defaultdict(list)
+    for i, _, lang in rows:
+        if lang is not None and i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            ranked[lang].append((xxhash.xxh64_intdigest(str(i).encode(), 42) >> 2, i))
+    chosen = {(i, lang) for lang, own in ranked.items() for _, i in sorted(own)[:per_language]}
+    assert chosen == {tuple(r) for r in language_id._sample(table, per_language).collect()}
+    said = {r.doc_id: r for r in language_id.identify(table, language_id.fit(table, per_language)).collect()}
+    texts = [r for r in rows if r[1] and any(map(str.isalpha, r[1])) and len(r[1]) < 4000][:25]
+    for i, text, _ in texts:
+        lang, score = brute_language(rows, chosen, text)
+        assert said[i].score == pytest.approx(score, abs=1e-3)
+        assert said[i].lang_pred == lang or score < 0.51
+
+
+def test_sample_where_ids_repeat(spark):
+    rows = [(1, "en", "x")] * 500 + [(i, "en", "y") for i in range(2, 400)] + [(3, "de", "z")]
+    got = language_id._sample(spark.createDataFrame(rows, "doc_id long, lang string, text string"), 20).collect()
+    assert {r.own_lang for r in got} == {"en", "de"} and 1 <= sum(r.own_lang == "en" for r in got) <= 20
+
+
 # -- 9 -----------------------------------------------------------------------
 
 
