@@ -9,17 +9,20 @@ holds, and the parts between separators.  Three tests look at the symbols:
   their statistic is large; the p-value is the chance that ``n`` letters of
   ordinary text come out as even as this (non-central, hence length-aware);
 * runs of symbols above and below the alphabet's middle, and
-* serial correlation of neighbours, which a random string must not fail.
+* serial correlation of neighbours, both two-sided p-values of a random string.
 
 False discoveries are held to a share of ``q`` of what is flagged over the whole
-corpus by a weighted step-up rule: p-values are divided by length over the mean
-length, so that longer strings, where the tests have more power, may claim more.
-The rule works on a histogram of fixed size.
+corpus by a weighted step-up rule.  The hypothesis is ordinary text, whose p-value is
+the chi-squared test's.  Its weight is the length, as the tests have more power over
+longer strings, times the order tests' say: the smaller of their p-values, doubled
+for being two, over ORDER; at most 1, and 0 below VETO.  A string that an order test
+doubts thus needs more evidence, and one that it rejects (the alphabet in order, say)
+is never flagged.  Every candidate counts as a hypothesis, weights are taken over
+their mean, and the rule works on a histogram of fixed size.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -27,6 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import common
 
@@ -35,8 +39,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _KEYWORDS = ("passw", "secret", "token", "api")
 _ACCESS, _HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]{32,}")
 
-#: Least characters of a candidate, level of the two order tests, share of false discoveries.
-LEAST, LEVEL, FALSE_SHARE = 20, 0.001, 0.01
+#: Least characters of a candidate, p-values of the order tests from which on they have
+#: no objection and below which they reject, share of false discoveries.
+LEAST, ORDER, VETO, FALSE_SHARE = 20, 0.01, 0.001, 0.01
 _CANDIDATE = re.compile("[A-Za-z0-9+/_-]{%d,}(?:=+(?![A-Za-z0-9+/_=-]))?" % LEAST)
 #: Parts of a run that no alphabet holds: of base64, of base64url, and between separators.
 _PARTS = tuple(re.compile("[A-Za-z0-9%s]{%d,}=*" % (more, LEAST)) for more in ("+/", "_-", "+"))
@@ -113,8 +118,8 @@ def _parts(m: re.Match) -> list[tuple[int, int]]:
     return sorted({(m.start() + x.start(), m.start() + x.end()) for part in _PARTS for x in part.finditer(m[0])})
 
 
-def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]:
-    """Base spans (start, kind's number, end) and candidates (start, end, p)."""
+def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, float, float]]]:
+    """Base spans (start, kind's number, end) and candidates (start, end, p, weight)."""
     spans: list[tuple[int, int, int]] = []
     low = text.lower() if text.isascii() else text.casefold()
     if any(k in low for k in _KEYWORDS):
@@ -130,45 +135,48 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, fl
             if any(a <= start and end <= b for a, _, b in spans) or not (encoding := infer_encoding(text[start:end])):
                 continue
             even, runs, serial = battery(text[start:end], encoding)
-            if runs >= LEVEL and serial >= LEVEL:
-                found.append((start, end, even))
+            order = min(1.0, 2 * min(runs, serial))
+            found.append((start, end, even, (end - start) * min(1.0, order / ORDER) * (order >= VETO)))
     return sorted(spans), found
 
 
-def _bin(p: float, n: int, mean: float) -> int:
-    return min(LAST, max(0, int(-math.log10(max(p * mean / n, 1e-300)) * STEPS)))
-
-
-_FOUND = "doc_id long, spans array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,p:double>>"
-_FOUND_ARROW = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("spans", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
-        ("candidates", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))),
-    ]
-)
+_FOUND = "spans array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,p:double,weight:double>>"
+_FOUND_ARROW = [
+    ("spans", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
+    ("candidates", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64()), ("weight", pa.float64())]))),
+]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds spans and candidates to a first column; the second is the text."""
     for batch in batches:
-        found = [scan(t.as_py()) for t in batch.column(1)]
+        found = [scan(t.as_py() or "") for t in batch.column(1)]
         spans = [[{"start": a, "kind": k, "end": b} for a, k, b in s] for s, _ in found]
-        candidates = [[{"start": a, "end": b, "p": p} for a, b, p in c] for _, c in found]
-        yield common.to_batch(_FOUND_ARROW, [batch.column(0), spans, candidates])
+        candidates = [[{"start": a, "end": b, "p": p, "weight": w} for a, b, p, w in c] for _, c in found]
+        schema = pa.schema([batch.schema.field(0), *_FOUND_ARROW])
+        yield common.to_batch(schema, [batch.column(0), spans, candidates])
+
 
+def found_spans(rows: DataFrame) -> DataFrame:
+    """The first column of ``rows`` (which it and the text are), with base spans and
+    candidates, in the shared folder."""
+    first = rows.schema[0]
+    return common.stored(rows.mapInArrow(_scan, StructType([first, *StructType.fromDDL(_FOUND).fields])), "secrets")
 
-def found_spans(docs: DataFrame) -> DataFrame:
-    """Base spans and candidates of every document, in the shared folder."""
-    return common.stored(common.texts(docs).mapInArrow(_scan, _FOUND), "secrets")
+
+def _bin(p, weight, mean: float):
+    """Bin of a candidate's weighted p-value; without weight it is 1."""
+    weighted = F.coalesce(F.try_divide(p * mean, weight), F.lit(1.0))
+    return F.greatest(F.lit(0), F.least(F.lit(LAST), F.floor(-F.log10(F.greatest(weighted, F.lit(1e-300))) * STEPS)))
 
 
 def cutoff(found: DataFrame, q: float = FALSE_SHARE) -> tuple[int, float]:
-    """(least bin that counts as a discovery, mean length) over the whole corpus."""
-    each = found.select(F.explode("candidates").alias("c")).select((F.col("c.end") - F.col("c.start")).alias("n"), "c.p")
-    total = each.agg(F.count("*").alias("m"), F.avg("n").alias("mean")).first()
-    if not total.m:
+    """(least bin that counts as a discovery, mean weight) over the whole corpus."""
+    each = found.select(F.explode("candidates").alias("c")).select("c.*")
+    total = each.agg(F.count("*").alias("m"), F.avg("weight").alias("mean")).first()
+    if not total.mean:
         return LAST + 1, 1.0
-    bins = each.groupBy(_bin_column(total.mean).alias("bin")).agg(F.count("*").alias("n")).collect()  # LAST + 1 rows at most
+    bins = each.groupBy(_bin(F.col("p"), F.col("weight"), total.mean).alias("bin")).agg(F.count("*").alias("n")).collect()  # LAST + 1 rows at most
     above, best = 0, LAST + 1
     for row in sorted(bins, key=lambda r: -r.bin):
         above += row.n
@@ -177,9 +185,11 @@ def cutoff(found: DataFrame, q: float = FALSE_SHARE) -> tuple[int, float]:
     return best, total.mean
 
 
-def _bin_column(mean: float, p: str = "p", n: str = "n"):
-    weighted = F.greatest(F.col(p) * mean / F.col(n), F.lit(1e-300))
-    return F.greatest(F.lit(0), F.least(F.lit(LAST), F.floor(-F.log10(weighted) * STEPS)))
+def discoveries(found: DataFrame, q: float = FALSE_SHARE):
+    """Column of the candidates that the rule flags, as spans."""
+    least, mean = cutoff(found, q)
+    kept = F.filter("candidates", lambda c: _bin(c["p"], c["weight"], mean) >= least)
+    return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
 
 
 def scan_secrets(docs: DataFrame, q: float = FALSE_SHARE) -> DataFrame:
@@ -190,12 +200,8 @@ def scan_secrets(docs: DataFrame, q: float = FALSE_SHARE) -> DataFrame:
     repeat are scanned alike, and count alike for false discoveries; an empty
     table gives no rows; other columns are not read.
     """
-    found = found_spans(docs)
-    least, mean = cutoff(found, q)
-    p, n = F.lit(mean), lambda c: c["end"] - c["start"]
-    bin_of = lambda c: F.floor(-F.log10(F.greatest(c["p"] * p / n(c), F.lit(1e-300))) * STEPS)
-    kept = F.filter("candidates", lambda c: F.least(F.lit(LAST), bin_of(c)) >= least)
-    more = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+    found = found_spans(common.texts(docs))
+    more = discoveries(found, q)
     names = F.array(*map(F.lit, KINDS))
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
@@ -205,11 +211,9 @@ def scan_secrets(docs: DataFrame, q: float = FALSE_SHARE) -> DataFrame:
     )
 
 
-def redact_text(text: str, least: int, mean: float, mark: str) -> str:
-    spans, candidates = scan(text)
-    cut = sorted([(a, b) for a, _, b in spans] + [(a, b) for a, b, p in candidates if _bin(p, b - a, mean) >= least])
+def redact_text(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     out, at = [], 0
-    for a, b in cut:
+    for a, b in sorted(spans):
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
@@ -218,25 +222,29 @@ def redact_text(text: str, least: int, mean: float, mark: str) -> str:
 
 def redact_secrets(docs: DataFrame, q: float = FALSE_SHARE, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret's span replaced by ``mark``, and n_chars (if there)
-    counted anew for the texts that change.  Null texts stay null; the schema stays."""
-    least, mean = cutoff(found_spans(docs), q)
+    counted anew for the texts that change.  Null texts stay null; the schema stays.
+
+    Texts are scanned once: rows wait with their spans in the shared folder until the
+    rule is settled over all of them."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    found = found_spans(rows)
+    cut = found.select("row", F.concat("spans", discoveries(found, q)).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            old = columns["text"].to_pylist()
-            new = [None if t is None else redact_text(t, least, mean, mark) for t in old]
-            columns["text"] = pa.array(new, batch.schema.field("text").type)
-            if "n_chars" in columns:
-                counts = [c if a == b else len(b) for a, b, c in zip(old, new, columns["n_chars"].to_pylist())]
-                columns["n_chars"] = pa.array(counts, batch.schema.field("n_chars").type)
-            yield pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+            texts, spans = batch.column(0), batch.column(1).to_pylist()
+            new = [t.as_py() if not s else redact_text(t.as_py(), [(x["start"], x["end"]) for x in s], mark) for t, s in zip(texts, spans)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), batch.column(2)], ["text", "row"])
+
+    # Rows without secrets do not leave the JVM.
+    clean = cut.where(F.size("spans") == 0).select("row.*")
+    dirty = cut.where(F.size("spans") > 0).select("row.text", "spans", "row")
+    changed = dirty.mapInArrow(run, StructType([StructField("text", StringType()), found.schema["row"]]))
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
+    columns = [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    return clean.unionByName(changed.select(*columns))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,14 @@ never counts.  Each row of it is a block of whole documents:
 
 ``width`` is the least number of bits that holds every id of the vocabulary.  The
 i-th id starts at bit ``i * width`` of the payload, so any range can be unpacked
-alone (``unpack_ids``), and ``n_tokens`` gives the documents' offsets.
+alone (``unpack_ids``), and ``n_tokens`` gives the documents' offsets.  The folder
+``_offsets`` holds a row per block: start and end of its ids in the whole dataset.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import zlib
 from collections.abc import Iterator
 
@@ -104,6 +107,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     rows = common.texts(docs).withColumn("tie", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
     ordered.select("doc_id", "text").mapInArrow(_blocks(tokenizer, end_id, width, block_ids), BLOCKS).write.parquet(path)
+    _write_offsets(docs.sparkSession, path)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,22 +137,33 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def _write_offsets(spark: SparkSession, path: str) -> None:
+    """The place of every block in the whole dataset, in a small table beside the
+    shards (readers of the shards pass over names that begin with '_')."""
+    blocks = spark.read.schema(BLOCKS).parquet(path).select("shard", "block", "first", "n_ids")
+    start = F.col("shard_start") + F.col("first")
+    placed = blocks.join(_shard_starts(blocks), "shard").select(start.alias("start"), (start + F.col("n_ids")).alias("end"), "shard", "block")
+    placed.sortWithinPartitions("start").write.parquet(f"{path}/_offsets")
+
+
 def read_id_range(spark: SparkSession, path: str, start: int, count: int) -> np.ndarray:
-    """Ids ``start`` to ``start + count`` - 1 of the whole dataset: random access
-    that reads only the blocks which hold them.  ``count`` bounds the result."""
+    """Ids ``start`` to ``start + count`` - 1 of the whole dataset: random access by
+    the offsets, which reads only the blocks that hold them.  ``count`` bounds the
+    result, and so what is collected."""
+    offsets = spark.read.schema("start long, end long, shard int, block int").parquet(f"{path}/_offsets")
+    places = offsets.where((F.col("start") < start + count) & (F.col("end") > start)).collect()
+    if not places:
+        return np.zeros(0, "<u4")
+    begins = {(r.shard, r.block): r.start for r in places}
     blocks = spark.read.schema(BLOCKS).parquet(path)
-    at = F.col("shard_start") + F.col("first")
-    held = (
-        blocks.join(_shard_starts(blocks), "shard")
-        .where((at < start + count) & (at + F.col("n_ids") > start))
-        .select(at.alias("at"), "n_ids", "width", "payload")
-        .orderBy("at")
-    )
-    parts = [
-        unpack_ids(r.payload, r.width, max(0, start - r.at), min(r.n_ids, start + count - r.at) - max(0, start - r.at))
-        for r in held.collect()
-    ]
-    return np.concatenate(parts) if parts else np.zeros(0, "<u4")
+    of = {s: [r.block for r in places if r.shard == s] for s in {r.shard for r in places}}  # runs of blocks
+    wanted = functools.reduce(operator.or_, [(F.col("shard") == s) & F.col("block").between(min(own), max(own)) for s, own in of.items()])
+    parts = {}
+    for r in blocks.where(wanted).select("shard", "block", "n_ids", "width", "payload").toLocalIterator():
+        at = begins[r.shard, r.block]
+        low = max(0, start - at)
+        parts[at] = unpack_ids(r.payload, r.width, low, min(r.n_ids, start + count - at) - low)
+    return np.concatenate([parts[at] for at in sorted(parts)])
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

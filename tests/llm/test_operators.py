@@ -377,7 +377,7 @@ def test_battery_and_redaction(docs):
     assert secret_scan.infer_encoding("12345678901234567890") is None
     assert secret_scan.infer_encoding("deadbeef00") == "hex" and secret_scan.infer_encoding("ABCDEFG234567") == "base32"
     even, runs, serial = secret_scan.battery("abcdefghijklmnopqrstuvwxyz", "base64")
-    assert serial < secret_scan.LEVEL  # in order: not random
+    assert serial < secret_scan.ORDER  # in order: not random
     assert secret_scan.battery("thereisnothinginthehousethatthemothereatsinthemorning", "base64")[0] > 0.01
     assert secret_scan.battery("Zq8vN2xLw0RtYp4sKd7GhJ3mBc6FeUaX9TiVnO1Q", "base64")[0] < 1e-4
     out = {r.doc_id: r for r in secret_scan.redact_secrets(docs).collect()}
