@@ -1,14 +1,19 @@
-"""Near-duplicates by five-word shingles (the pipeline's near stage).
+"""Near-duplicates at a Jaccard similarity of 0.8 (the pipeline's near stage).
 
 Two texts are near when the Jaccard similarity of their sets of five-word shingles
-is at least 0.8.  Candidates share a band of 5 of 200 min-hashes: a pair at 0.8 is
-missed by all 40 bands with a chance of 0.672^40, about 1 in 8 million.  Candidates
-are verified on the whole texts; nothing is linked by its hashes alone.
+is at least 0.8.  Candidates are verified on the whole texts; nothing is linked by
+its hashes alone.  They come from operator 9's fingerprints, taken over five-word
+shingles, and, as texts at 0.8 differ in 4 to 20 of their 64 bits, which no small
+Hamming ball covers, from 40 bands of 5 min-hashes each: a pair at 0.8 misses all
+bands with a chance of 0.672^40, about 1 in 8 million.
 
 Components are the same whether all candidates are verified or only enough to
-connect them, so each band's members first meet its best connected member alone, and
-then only members of other components: a large group of near copies costs pairs in
-proportion to its size.
+connect them, so each band's members first meet its best connected member alone: a
+large group of near copies costs pairs in proportion to its size.  Only members that
+are still in different components are compared with each other.  In a band of more
+than GROUP such members (a passage that many texts share) only those are that share
+a second band of this kind, since a pair at 0.8 shares a single band with a chance
+of 1 in 400,000.
 """
 
 from __future__ import annotations
@@ -22,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash_dedup
 from .components import components
 from .simhash_dedup import text_hash
 
 #: Words of a shingle, least similarity as a fraction, bands and min-hashes of a band.
 SHINGLE, LEAST, BANDS, ROWS = 5, (4, 5), 40, 5
+#: Members of a band that are compared with each other outright.
+GROUP = 100
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RNG = np.random.default_rng(42)
@@ -37,7 +44,7 @@ _ODD = _RNG.integers(0, 1 << 63, max(SHINGLE, ROWS), np.uint64) * 2 + 1
 _BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
 #: Shingles that are min-hashed at once.
 _CHUNK = 512
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -57,33 +64,35 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def signature(text: str) -> tuple[int, np.ndarray]:
-    """Number of distinct shingles, and the bands' keys."""
+def signature(text: str) -> tuple[int, int, np.ndarray]:
+    """Number of distinct shingles, SimHash fingerprint, and the bands' keys."""
     words = _words(text)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - SHINGLE + 1)
     sums = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(words))):
         sums += hashes[i : i + n] * _ODD[i]
-    own = np.unique(_mixed(sums))
+    sums = _mixed(sums)
+    own, fp = np.unique(sums), simhash_dedup.majority(sums) if words else 0
     high = (own >> np.uint64(32)).astype(np.uint32)
     least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(high), _CHUNK):
         np.minimum(least, (high[at : at + _CHUNK] * _A + _B).min(1), out=least)
     keys = (least.reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(1, dtype=np.uint64)
-    return len(own), _mixed(_mixed(keys) + _BAND).view(np.int64)
+    return len(own), fp - (fp >> 63 << 64), _mixed(_mixed(keys) + _BAND).view(np.int64)
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, keys = [], []
+        counts, fps, keys = [], [], []
         for text in batch.column(2):
-            n, bands = signature(text.as_py())
+            n, fp, bands = signature(text.as_py())
             counts.append(n)
+            fps.append(fp)
             keys.append(bands)
         flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
         offsets = pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS)
-        yield common.to_batch(_SIGNED, [batch.column(0), batch.column(1), counts, pa.ListArray.from_arrays(offsets, flat)])
+        yield common.to_batch(_SIGNED, [batch.column(0), batch.column(1), counts, fps, pa.ListArray.from_arrays(offsets, flat)])
 
 
 def near(a: set[bytes], b: set[bytes]) -> bool:
@@ -107,6 +116,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """u, v: those of ``pairs`` (a, b) whose whole texts are near."""
     asked = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
+    asked = common.small(common.stored(asked, "near-asked"))
     held = common.stored(rows.join(asked, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")), "near-texts")
     one, two = held.toDF("a", "text_a"), held.toDF("b", "text_b")
     return common.stored(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verified, "u long, v long"), "near-links")
@@ -117,39 +127,70 @@ def _similar_sizes(n: str, m: str):
     return (F.least(n, m) * LEAST[1] >= F.greatest(n, m) * LEAST[0])
 
 
-def links(rows: DataFrame, signed: DataFrame) -> DataFrame:
+def _by_fingerprint(signed: DataFrame) -> DataFrame:
+    """a, b: texts whose SimHash fingerprints differ in at most 2 bits, by operator 9's
+    look-ups; of the texts with one fingerprint, each with the one of least hash."""
+    known = common.stored(signed.groupBy("fp").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")), "near-fingerprints")
+    several = known.where("low < high").select("fp", "low")
+    same = signed.join(several, "fp").where("text_hash != low").select(F.col("low").alias("a"), F.col("text_hash").alias("b"))
+    close = simhash_dedup.links(known.select("fp"))
+    u, v = (known.select(F.col("fp").alias(x), F.col("low").alias(y)) for x, y in (("u", "a"), ("v", "b")))
+    return same.unionByName(close.join(u, "u").join(v, "v").select("a", "b"))
+
+
+def _pairs(named: DataFrame) -> DataFrame:
+    """a, b: members of one key in different components and of similar sizes."""
+    other = named.select("key", F.col("text_hash").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
+    met = named.join(other, "key").where("text_hash < b AND root != other").where(_similar_sizes("n", "m"))
+    return met.select(F.col("text_hash").alias("a"), "b").distinct()
+
+
+def _mixed_keys(named: DataFrame) -> DataFrame:
+    """key, size: keys with members in different components."""
+    return named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+
+
+def links(rows: DataFrame, signed: DataFrame, group: int = GROUP) -> DataFrame:
     """u, v: near pairs that connect all texts that near pairs connect.
 
-    ``rows``: text_hash, text.  ``signed``: text_hash, n, bands."""
-    each = signed.select(F.explode("bands").alias("band"), "text_hash", "n")
-    shared = each.groupBy("band").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high")).where("low < high").select("band")
-    members = common.stored(each.join(shared, "band").distinct(), "near-members")
-    sizes = members.groupBy("band").agg(F.count("*").alias("size"))
-    degrees = members.join(sizes, "band").groupBy("text_hash").agg(F.sum("size").alias("degree"))
-    hubs = members.join(degrees, "text_hash").groupBy("band").agg(F.max(F.struct("degree", "text_hash", "n")).alias("hub"))
-    first = members.join(hubs, "band").where(F.col("text_hash") != F.col("hub.text_hash")).where(_similar_sizes("n", "hub.n"))
-    first = common.stored(first.select(F.col("hub.text_hash").alias("a"), F.col("text_hash").alias("b")).distinct(), "near-pairs")
+    ``rows``: text_hash, text.  ``signed``: text_hash, n, fp, bands; one row a text."""
+    each = signed.select(F.explode("bands").alias("key"), "text_hash", "n")
+    shared = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = common.stored(each.join(shared, "key"), "near-members")
+    degrees = members.groupBy("text_hash").agg(F.sum("size").alias("degree"))
+    hubs = members.join(degrees, "text_hash").groupBy("key").agg(F.max(F.struct("degree", "text_hash", "n")).alias("hub"))
+    first = members.join(hubs, "key").where(F.col("text_hash") != F.col("hub.text_hash")).where(_similar_sizes("n", "hub.n"))
+    first = first.select(F.col("hub.text_hash").alias("a"), F.col("text_hash").alias("b")).unionByName(_by_fingerprint(signed))
+    first = common.stored(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     found = _verify(first, rows)
     roots = components(found).select(F.col("node").alias("text_hash"), "root")
-    named = common.stored(members.join(roots, "text_hash", "left").select("band", "text_hash", "n", F.coalesce("root", "text_hash").alias("root")), "near-members")
-    mixed = named.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    named = named.join(mixed, "band")
-    other = named.toDF("band", "b", "m", "other")
-    rest = named.join(other, "band").where("text_hash < b AND root != other").where(_similar_sizes("n", "m")).select(F.col("text_hash").alias("a"), "b").distinct()
-    tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = common.stored(rest.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+    named = members.drop("size").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    named = common.stored(named, "near-members")
+    named = common.stored(named.join(_mixed_keys(named), "key"), "near-mixed")
+    rest = _pairs(named.where(F.col("size") <= group))
+    large = named.where(F.col("size") > group).drop("size")
+    if not large.isEmpty():
+        again = large.select(F.col("key").alias("second"), "text_hash")
+        double = large.join(again, "text_hash").where("key < second").select(F.xxhash64("key", "second").alias("key"), "text_hash", "n", "root")
+        double = common.stored(double, "near-doubles")
+        rest = rest.unionByName(_pairs(double.join(_mixed_keys(double), "key"))).distinct()
+    rest = common.stored(rest.join(first, ["a", "b"], "left_anti"), "near-pairs")
     return found.unionByName(_verify(rest, rows))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, rows: of every component over near pairs, the smallest doc_id
-    (null only where there is no other), of several texts under it that of the least
-    hash, and how many rows have both."""
+def near_rows(docs: DataFrame, group: int = GROUP) -> DataFrame:
+    """doc_id, text_hash, rows, kept: every id and text hash, how many rows have both,
+    and whether it stands for its component over near pairs: the one of the smallest
+    doc_id (null only where there is no other), of several texts under it that of the
+    least hash."""
     rows = common.texts(docs).select("doc_id", text_hash("text"), "text")
-    signed = common.stored(rows.mapInArrow(_signatures, "doc_id long, text_hash long, n long, bands array<long>"), "shingles")
-    roots = components(links(rows.select("text_hash", "text"), signed.drop("doc_id")))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rows")
-    counted = signed.groupBy("text_hash", "doc_id").agg(F.count("*").alias("rows"))
-    least = counted.groupBy("text_hash").agg(F.min(first).alias("least")).join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left")
-    best = F.min(F.struct("least", "text_hash")).alias("best")
-    return least.groupBy(F.coalesce("root", "text_hash").alias("root")).agg(best).select("best.least.doc_id", "best.text_hash", "best.least.rows")
+    signed = common.stored(rows.mapInArrow(_signatures, "doc_id long, text_hash long, n long, fp long, bands array<long>"), "shingles")
+    counted = common.stored(signed.groupBy("text_hash", "doc_id").agg(F.count("*").alias("rows")), "near-rows")
+    texts = signed.groupBy("text_hash").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    roots = components(links(rows.select("text_hash", "text"), common.stored(texts, "near-texts"), group))
+    named = counted.join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
+    named = common.stored(named, "near-named")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    best = common.stored(named.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("size")), "near-best")
+    met = common.joined(named, best, ["root"], "size", F.struct("doc_id", "text_hash"))
+    return met.select("doc_id", "text_hash", "rows", (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))).alias("kept"))

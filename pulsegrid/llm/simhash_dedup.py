@@ -29,6 +29,14 @@ _FP = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.in
 _CHUNK = 1 << 14
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bits that more than half of the 64-bit hashes have."""
+    ones = np.zeros(64, np.int64)
+    for low in range(0, len(hashes), _CHUNK):
+        ones += np.unpackbits(hashes[low : low + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str, shingle: int = 3) -> int:
     """64-bit SimHash of the shingles of ``shingle`` words, repeats included."""
     words = _WORD.findall(text.encode().translate(_LOWER))
@@ -39,13 +47,8 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
     ends, n = ends.tolist(), max(1, len(words) - shingle + 1)
     tops, digest = ends[min(shingle, len(words)) - 1 :], xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
-    for low in range(0, n, _CHUNK):
-        high = min(n, low + _CHUNK)
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[low:high], tops[low:high])), np.uint64, high - low)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > n, bitorder="little")
-    return int(bits.view("<u8")[0])
+    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, tops)), np.uint64, n)
+    return majority(hashes)
 
 
 def _fingerprints(shingle: int):

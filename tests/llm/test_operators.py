@@ -288,7 +288,27 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty).count() == 0
 
 
+def spf_packs(histogram, size):
+    """Lengths of all packs, placing one piece after the other, longest first; what of
+    a length finds no room opens packs of its own."""
+    packs = []
+    for length in sorted(histogram, reverse=True):
+        for left in range(histogram[length], 0, -1):
+            at = min(range(len(packs)), key=packs.__getitem__, default=None)
+            if at is None or packs[at] + length > size:
+                packs += [length] * left
+                break
+            packs[at] += length
+    return sorted(packs)
+
+
 def test_shortest_pack_first():
+    rng = random.Random(3)
+    for _ in range(30):
+        histogram = collections.Counter(rng.choices(range(1, 51), k=rng.randint(0, 300)))
+        patterns = packing.shortest_pack_first(histogram, 50)
+        assert sorted(sum(p) for c, p in patterns for _ in range(c)) == spf_packs(histogram, 50)
+        assert sum((collections.Counter({n: c * k for n, k in collections.Counter(p).items()}) for c, p in patterns), collections.Counter()) == histogram
     patterns = packing.shortest_pack_first({5: 3, 3: 2, 2: 4, 10: 1}, 10)
     assert sum(c * len(p) for c, p in patterns) == 10 and all(sum(p) <= 10 for _, p in patterns)
     assert packing.shortest_pack_first({}, 10) == []
