@@ -14,16 +14,22 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import common, exact_dedup, packing, quality_rules, secret_scan, shingle_dedup, simhash_dedup
 
 
-def _keep(docs: DataFrame, kept: DataFrame, digest: Column) -> DataFrame:
-    """One row of ``docs`` for each id (null: as a value) and text digest in ``kept``
-    (doc_id, digest, number of rows): of rows that share both, the least by its columns."""
-    wanted = kept.toDF("_id", "_digest", "_rows").withColumn("_id", F.coalesce("_id", F.lit(common.NO_ID)))
-    own = docs.withColumns({"_own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), "_own_digest": digest})
-    met = (F.col("_own_id") == F.col("_id")) & (F.col("_own_digest") == F.col("_digest"))
-    single = own.join(wanted.where("_rows = 1"), met, "left_semi").select(*docs.columns)
-    shared = own.join(wanted.where("_rows > 1"), met, "left_semi")
-    least = shared.groupBy("_own_id", "_own_digest").agg(F.min(F.struct(*docs.columns)).alias("_row"))
-    return single.unionByName(least.select("_row.*"))
+def _keep(docs: DataFrame, judged: DataFrame, digest: Column) -> DataFrame:
+    """One row of ``docs`` for each id (null: as a value) and text digest that ``judged``
+    (doc_id, digest, rows, kept) keeps: of rows that share both, the least by its columns.
+
+    What goes or is there more than once is less than what stays as it is, so only that
+    meets the rows; it is broadcast if it is small by its count."""
+    i, d, row, mark = (common.own_name(x) for x in ("id", "digest", "row", "shared"))
+    marks = judged.toDF(i, d, "rows", "kept").withColumn(i, F.coalesce(i, F.lit(common.NO_ID))).where("NOT kept OR rows > 1")
+    marks = common.stored(marks.select(i, d, F.col("kept").alias(mark)), "marks")
+    own = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), d: digest})
+    met = own.join(common.small(marks), [i, d], "left")
+    single = met.where(F.col(mark).isNull()).select(*docs.columns)
+    if marks.where(mark).isEmpty():
+        return single
+    least = met.where(mark).groupBy(i, d).agg(F.min(F.struct(*docs.columns)).alias(row))
+    return single.unionByName(least.select(f"{row}.*"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,14 +40,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest doc_id."""
-    kept = exact_dedup.exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
-    return _keep(docs, kept, F.sha2(F.coalesce("text", F.lit("")), 256))
+    groups = exact_dedup.exact_groups(docs).where("group_size > 1")
+    judged = groups.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"), F.first("kept").alias("kept"))
+    return _keep(docs, judged, F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts that share 80 % of their five-word shingles, the
     document with the smallest doc_id."""
-    return _keep(docs, shingle_dedup.representatives(docs), simhash_dedup.text_hash("text"))
+    return _keep(docs, shingle_dedup.near_rows(docs), simhash_dedup.text_hash("text"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
