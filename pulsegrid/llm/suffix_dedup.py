@@ -436,14 +436,10 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, group: in
     sizes = ((False, length, k), (True, passage * _WORD, passage_k * _WORD))
     length_of = {words: n for words, n, _ in sizes}
     anchors = common.stored(keyed.mapInArrow(_anchors(sizes), ANCHORS), "anchors")
-    twice = (
-        anchors.groupBy("anchor")
-        .agg(F.sum("n").alias("c"), F.min("ctx").alias("least"), F.max("ctx").alias("most"))
-        .where("c > 1")
-    )
-    found = common.stored(
-        anchors.join(twice, "anchor").select(*anchors.columns, (F.col("least") != F.col("most")).alias("mixed"), (F.col("c") > group).alias("hot")), "repeated"
-    )
+    twice = anchors.groupBy("anchor").agg(F.sum("n").alias("c"), F.min("ctx") != F.max("ctx"), F.count("*")).toDF("anchor", "c", "mixed", "size")
+    twice = common.stored(twice.where("c > 1").select("anchor", "mixed", (F.col("c") > group).alias("hot"), "size"), "twice")
+    place = F.struct("did", "tk", "pos")
+    found = common.stored(common.joined(anchors, twice, ["anchor"], "size", place), "repeated")
     columns = ["did", "tk", "words", "pos", "lft", "rgt", "cover"]
     whole = found.where("not mixed").select(*columns)
     mixed = found.where("mixed")
@@ -451,7 +447,7 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, group: in
         F.sum("n").alias("n_same"), F.max("hot").alias("hot"), F.min(F.struct("did", "tk", "pos", "lft", "rgt", "words")).alias("rep")
     )
     windows = common.stored(windows, "windows")
-    same = mixed.join(windows.where("n_same > 1").select("anchor", "ctx"), ["anchor", "ctx"], "left_semi")
+    same = common.joined(mixed, windows.where("n_same > 1").select("anchor", "ctx", "n_same"), ["anchor", "ctx"], "n_same", place)
     whole = whole.unionByName(same.select(*columns))
     # An int pair in the layout of ``cover``, by hex digits: the low byte first.
     def little(c):
@@ -476,9 +472,11 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, k: int = K, group: in
         spans = spans.unionByName(scanned(cut.join(sizes.where(F.col("c") <= group), "anchor")))
         large = sizes.where(F.col("c") > group)
         if not large.isEmpty():
-            each = common.stored(cut.join(large, "anchor").select(*_CONTEXTS.names).mapInArrow(_each_window(length_of), CONTEXTS), "by-window")
-            shared = each.groupBy("anchor", "lft", "words", "window").agg(F.count("*").alias("c")).where("c > 1")
-            again = each.where("solo").join(shared, ["anchor", "lft", "words", "window"], "left_semi")
+            large = common.joined(cut, common.stored(large, "large"), ["anchor"], "c", place)
+            each = common.stored(large.select(*_CONTEXTS.names).mapInArrow(_each_window(length_of), CONTEXTS), "by-window")
+            window = ["anchor", "lft", "words", "window"]
+            shared = common.stored(each.groupBy(*window).agg(F.count("*").alias("c")).where("c > 1"), "shared")
+            again = common.joined(each.where("solo"), shared, window, "c", place)
             start = F.col("pos").cast("long")
             end = start + F.when(F.col("words"), length_of[True]).otherwise(length_of[False])
             spans = spans.unionByName(again.select("did", "tk", "words", F.unhex(F.concat(little(start), little(end))).alias("cover")))
