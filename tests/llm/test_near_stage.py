@@ -83,6 +83,16 @@ def test_large_bands(spark):
     assert sorted(r.doc_id for r in near.where("kept").collect()) == wanted(rows)
 
 
+def test_agreement_of_sketches(spark):
+    rng = random.Random(2)
+    longs = shingle_dedup.LONGS
+    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(2 * longs)] for _ in range(20)] + [[5] * (2 * longs)]
+    names = [[f"{x}{i}" for i in range(longs)] for x in "st"]
+    got = [r[0] for r in spark.createDataFrame(rows, ", ".join(f"{c} long" for c in sum(names, []))).select(shingle_dedup._agree(*names)).collect()]
+    nibbles = lambda xs: [x >> i & 15 for x in xs for i in range(0, 64, 4)]
+    assert got == [200 - sum(a != b for a, b in zip(nibbles(r[:longs]), nibbles(r[longs:]))) for r in rows]
+
+
 def test_near_of_nothing(spark):
     assert corpus_pipeline.near(spark, spark.createDataFrame([], data.SCHEMA), "").count() == 0
 
@@ -95,4 +105,6 @@ def test_bands_meet_at_the_limit():
             copy = [str(rng.random()) for _ in range(n // 9)] + words[n // 9 :]
             assert similarity(" ".join(words), " ".join(copy)) >= 0.8
             a, b = (shingle_dedup.signature(" ".join(x)) for x in (words, copy))
-            assert a[0] == b[0] == n and (a[2] == b[2]).any()
+            assert a[0] == b[0] == n and (a[3] == b[3]).any()
+            nibbles = [[x >> i & 15 for x in map(int, s[2]) for i in range(0, 64, 4)][:200] for s in (a, b)]
+            assert sum(x == y for x, y in zip(*nibbles)) >= shingle_dedup.AGREE

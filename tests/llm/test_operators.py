@@ -110,7 +110,8 @@ def test_passages_of_short_words_and_other_white_space(spark):
         (5, None, None, None, 0),
     ]
     got = pairs(suffix_dedup.remove_repeats(data.table(spark, rows)), "doc_id", "n_removed", "n_passages", "n_passage_words")
-    same(got, [(1, 0, 1, 50), (2, 0, 1, 55), (3, 0, 0, 0), (4, 0, 1, 50), (5, 0, 0, 0)])
+    # The long word repeats itself: every 400 bytes of it start elsewhere in it, too.
+    same(got, [(1, 0, 1, 50), (2, 0, 1, 55), (3, 0, 0, 0), (4, 300_000, 1, 50), (5, 0, 0, 0)])
 
 
 def test_suffix_dedup_long_text(spark):
