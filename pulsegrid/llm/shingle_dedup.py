@@ -38,8 +38,9 @@ from .simhash_dedup import text_hash
 SHINGLE, LEAST, BANDS, ROWS = 5, (4, 5), 40, 5
 #: Min-hashes in which sketches of candidates agree, and longs of a sketch.
 AGREE, LONGS = 137, -(-BANDS * ROWS // 16)
-#: Members of a band that are compared with each other outright.
-GROUP = 100
+#: Members of a band that are compared with each other outright: at some 10 ns a
+#: comparison, a member costs no more than a twentieth of its min-hashes.
+GROUP = 2_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RNG = np.random.default_rng(42)
@@ -163,13 +164,19 @@ def _agree(one: list[str], other: list[str]):
     return F.lit(BANDS * ROWS) - differ
 
 
-def _pairs(named: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: members of one key in different components, of similar sizes and sketches."""
+def _pairs(named: DataFrame, sketches: DataFrame, once: bool = True) -> DataFrame:
+    """a, b: members of one key in different components, of similar sizes and sketches;
+    with ``once`` members of several keys (BANDS at most) meet in one of them alone."""
     one, two = ([f"{x}{i}" for i in range(LONGS)] for x in ("s", "t"))
-    held = common.stored(named.join(sketches, "text_hash").select("key", "text_hash", "n", "root", *[F.col("sketch")[i].alias(c) for i, c in enumerate(one)]), "near-sketches")
-    other = held.toDF("key", "b", "m", "other", *two)
+    short = F.shiftright("key", 32).cast("int")
+    keys = named.groupBy("text_hash").agg(F.collect_set(short if once else F.lit(None).cast("int")).alias("keys"))
+    held = named.join(keys, "text_hash").join(sketches, "text_hash")
+    held = common.stored(held.select("key", "text_hash", "n", "root", "keys", *[F.col("sketch")[i].alias(c) for i, c in enumerate(one)]), "near-sketches")
+    other = held.toDF("key", "b", "m", "other", "others", *two)
     apart = (F.col("text_hash") < F.col("b")) & (F.col("root") != F.col("other"))
-    met = held.join(other, (held["key"] == other["key"]) & apart & _similar_sizes("n", "m") & (_agree(one, two) >= AGREE))
+    here = F.array_min(F.array_intersect("keys", "others")) == F.shiftright(held["key"], 32).cast("int")
+    close = apart & _similar_sizes("n", "m") & (_agree(one, two) >= AGREE)
+    met = held.join(other, (held["key"] == other["key"]) & (close & here if once else close))
     return met.select(F.col("text_hash").alias("a"), "b").distinct()
 
 
@@ -202,7 +209,7 @@ def links(rows: DataFrame, signed: DataFrame, group: int = GROUP) -> DataFrame:
         again = large.select(F.col("key").alias("second"), "text_hash")
         double = large.join(again, "text_hash").where("key < second").select(F.xxhash64("key", "second").alias("key"), "text_hash", "n", "root")
         double = common.stored(double, "near-doubles")
-        rest = rest.unionByName(_pairs(double.join(_mixed_keys(double), "key"), sketches)).distinct()
+        rest = rest.unionByName(_pairs(double.join(_mixed_keys(double), "key"), sketches, once=False)).distinct()
     rest = common.stored(rest.join(first, ["a", "b"], "left_anti"), "near-pairs")
     return found.unionByName(_verify(rest, rows))
 
