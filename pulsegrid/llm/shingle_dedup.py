@@ -12,11 +12,13 @@ connect them, so each band's members first meet its best connected member alone:
 large group of near copies costs pairs in proportion to its size.  Only members that
 are still in different components are compared with each other, by sketches of 4
 bits of every min-hash: a pair at 0.8 agrees in 162 of 200 with a deviation of 5.5,
-so fewer than AGREE are no candidates (1 pair in 300,000 at 0.8 exactly).  In a band of
+so fewer than AGREE are no candidates (1 pair in 300,000 at 0.8 exactly).  Texts with
+such members have finer sketches of 1,024 min-hashes, where a pair at 0.8 agrees in 832
+with a deviation of 12.5, and one at 0.7 passes in 1 of 400 cases.  In a band of
 more than GROUP such members (a passage that many texts share) only those are compared
 that share a second band of this kind, as a pair at 0.8 shares a single band with a
 chance of 1 in 400,000.  What is left grows with the square of a group only where many
-texts are all about 0.7 alike and none is near.
+texts are all nearly 0.8 alike and none is near.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ from .simhash_dedup import text_hash
 SHINGLE, LEAST, BANDS, ROWS = 5, (4, 5), 40, 5
 #: Min-hashes in which sketches of candidates agree, and longs of a sketch.
 AGREE, LONGS = 137, -(-BANDS * ROWS // 16)
+#: The same of the finer sketches.
+FINE, FINE_AGREE = 1024, 776
 #: Members of a band that are compared with each other outright: at some 10 ns a
 #: comparison, a member costs no more than a twentieth of its min-hashes.
 GROUP = 2_000
@@ -48,6 +52,8 @@ _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | 1).astype(np.uint32)[
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, None]
 _ODD = _RNG.integers(0, 1 << 63, max(SHINGLE, ROWS), np.uint64) * 2 + 1
 _BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
+_FINE_A = (_RNG.integers(0, 1 << 32, FINE, np.uint64) | 1).astype(np.uint32)[:, None]
+_FINE_B = _RNG.integers(0, 1 << 32, FINE, np.uint64).astype(np.uint32)[:, None]
 #: Shingles that are min-hashed at once.
 _CHUNK = 512
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
@@ -70,27 +76,50 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def signature(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Number of distinct shingles, SimHash fingerprint, the sketch (4 bits of every
-    min-hash), and the bands' keys."""
-    words = _words(text)
+def _shingle_hashes(words: list[bytes]) -> np.ndarray:
+    """A hash of every shingle, repeats included."""
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - SHINGLE + 1)
     sums = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(words))):
         sums += hashes[i : i + n] * _ODD[i]
-    sums = _mixed(sums)
-    own, fp = np.unique(sums), simhash_dedup.majority(sums) if words else 0
+    return _mixed(sums)
+
+
+def _least(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Min-hashes of a set of hashes."""
     high = (own >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(high), _CHUNK):
-        np.minimum(least, (high[at : at + _CHUNK] * _A + _B).min(1), out=least)
-    # Well mixed bits: the least values themselves have uneven ones.
-    nibbles = np.zeros(16 * LONGS, np.uint64)
+    least, chunk = np.full(len(a), 0xFFFFFFFF, np.uint32), _CHUNK * BANDS * ROWS // len(a)
+    for at in range(0, len(high), chunk):
+        np.minimum(least, (high[at : at + chunk] * a + b).min(1), out=least)
+    return least
+
+
+def _sketch(least: np.ndarray) -> np.ndarray:
+    """4 bits of every min-hash, well mixed (the least values have uneven ones)."""
+    nibbles = np.zeros(-(-len(least) // 16) * 16, np.uint64)
     nibbles[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(28)
-    sketch = (nibbles.reshape(LONGS, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64)
+    return (nibbles.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def signature(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Number of distinct shingles, SimHash fingerprint, the sketch, and the bands' keys."""
+    words = _words(text)
+    hashes = _shingle_hashes(words)
+    own, fp = np.unique(hashes), simhash_dedup.majority(hashes) if words else 0
+    least = _least(own, _A, _B)
     keys = (least.reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(1, dtype=np.uint64)
-    return len(own), fp - (fp >> 63 << 64), sketch.view(np.int64), _mixed(_mixed(keys) + _BAND).view(np.int64)
+    return len(own), fp - (fp >> 63 << 64), _sketch(least), _mixed(_mixed(keys) + _BAND).view(np.int64)
+
+
+def fine_sketch(text: str) -> np.ndarray:
+    return _sketch(_least(np.unique(_shingle_hashes(_words(text))), _FINE_A, _FINE_B))
+
+
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fine = _lists([fine_sketch(t.as_py()) for t in batch.column(1)], FINE // 16)
+        yield pa.RecordBatch.from_arrays([batch.column(0), fine], ["text_hash", "fine"])
 
 
 def _lists(rows: list[np.ndarray], width: int) -> pa.Array:
@@ -153,17 +182,25 @@ def _by_fingerprint(signed: DataFrame) -> DataFrame:
     return same.unionByName(close.join(u, "u").join(v, "v").select("a", "b"))
 
 
+def _differ(a, b):
+    """Groups of 4 bits that differ."""
+    x = a.bitwiseXOR(b)
+    x = x.bitwiseOR(F.shiftright(x, 1))
+    return F.bit_count(x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def _agree(one: list[str], other: list[str]):
     """Min-hashes whose bits in two sketches are equal."""
-    nibble = F.lit(0x1111111111111111)
     differ = F.lit(0)
     for a, b in zip(one, other):
-        x = F.col(a).bitwiseXOR(F.col(b))
-        x = x.bitwiseOR(F.shiftright(x, 1))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(nibble))
+        differ = differ + _differ(F.col(a), F.col(b))
     return F.lit(BANDS * ROWS) - differ
 
 
+def _agree_finely(one: str, other: str):
+    return F.lit(FINE) - F.aggregate(F.zip_with(one, other, _differ), F.lit(0), lambda a, x: a + x)
+
+
 def _pairs(named: DataFrame, sketches: DataFrame, once: bool = True) -> DataFrame:
     """a, b: members of one key in different components, of similar sizes and sketches;
     with ``once`` members of several keys (BANDS at most) meet in one of them alone."""
@@ -171,12 +208,13 @@ def _pairs(named: DataFrame, sketches: DataFrame, once: bool = True) -> DataFram
     short = F.shiftright("key", 32).cast("int")
     keys = named.groupBy("text_hash").agg(F.collect_set(short if once else F.lit(None).cast("int")).alias("keys"))
     held = named.join(keys, "text_hash").join(sketches, "text_hash")
-    held = common.stored(held.select("key", "text_hash", "n", "root", "keys", *[F.col("sketch")[i].alias(c) for i, c in enumerate(one)]), "near-sketches")
-    other = held.toDF("key", "b", "m", "other", "others", *two)
+    held = common.stored(held.select("key", "text_hash", "n", "root", "keys", "fine", *[F.col("sketch")[i].alias(c) for i, c in enumerate(one)]), "near-sketches")
+    other = held.toDF("key", "b", "m", "other", "others", "finer", *two)
     apart = (F.col("text_hash") < F.col("b")) & (F.col("root") != F.col("other"))
     here = F.array_min(F.array_intersect("keys", "others")) == F.shiftright(held["key"], 32).cast("int")
     close = apart & _similar_sizes("n", "m") & (_agree(one, two) >= AGREE)
-    met = held.join(other, (held["key"] == other["key"]) & (close & here if once else close))
+    finely = _agree_finely("fine", "finer") >= FINE_AGREE  # the dearest comes last
+    met = held.join(other, (held["key"] == other["key"]) & (close & here & finely if once else close & finely))
     return met.select(F.col("text_hash").alias("a"), "b").distinct()
 
 
@@ -202,7 +240,10 @@ def links(rows: DataFrame, signed: DataFrame, group: int = GROUP) -> DataFrame:
     named = members.drop("size").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     named = common.stored(named, "near-members")
     named = common.stored(named.join(_mixed_keys(named), "key"), "near-mixed")
-    sketches = signed.select("text_hash", "sketch")
+    asked = common.small(common.stored(named.select("text_hash").distinct(), "near-asked"))
+    texts = rows.join(asked, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
+    fine = common.stored(texts.mapInArrow(_fine, "text_hash long, fine array<long>"), "near-fine")
+    sketches = signed.select("text_hash", "sketch").join(fine, "text_hash")
     rest = _pairs(named.where(F.col("size") <= group), sketches)
     large = named.where(F.col("size") > group).drop("size")
     if not large.isEmpty():

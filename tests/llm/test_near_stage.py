@@ -108,3 +108,6 @@ def test_bands_meet_at_the_limit():
             assert a[0] == b[0] == n and (a[3] == b[3]).any()
             nibbles = [[x >> i & 15 for x in map(int, s[2]) for i in range(0, 64, 4)][:200] for s in (a, b)]
             assert sum(x == y for x, y in zip(*nibbles)) >= shingle_dedup.AGREE
+            fine = (shingle_dedup.fine_sketch(" ".join(x)) for x in (words, copy))
+            nibbles = [[x >> i & 15 for x in map(int, f) for i in range(0, 64, 4)] for f in fine]
+            assert sum(x == y for x, y in zip(*nibbles)) >= shingle_dedup.FINE_AGREE
