@@ -230,11 +230,11 @@ def _(spark, sf):
     return rounded(relational.week_pair_join(pick(1), pick(2)))
 
 
-@query("j16_attach_choice_sets", with_tables("i AS (SELECT customer, CAST(id AS VARCHAR) AS unique_day_id, choice_id AS item FROM ema WHERE id % 2 = 0), s AS (SELECT customer, CAST(id AS VARCHAR) AS unique_day_id, quest_title AS situation FROM ema WHERE id % 3 = 0) SELECT s.unique_day_id, item, situation FROM i RIGHT JOIN s ON i.customer = s.customer AND i.unique_day_id = s.unique_day_id", "ema"))
+@query("j16_attach_choice_sets", with_tables("i AS (SELECT customer, strftime(quest_create, '%Y-%m-%d') AS unique_day_id, count(*) AS item FROM ema GROUP BY 1, 2), s AS (SELECT customer, strftime(ts, '%Y-%m-%d') AS unique_day_id, event_type AS situation FROM ev) SELECT s.unique_day_id, item, situation FROM i RIGHT JOIN s ON i.customer = s.customer AND i.unique_day_id = s.unique_day_id", "ema"))
 def _(spark, sf):
-    e = fx.ema_long(spark, sf).withColumn("unique_day_id", F.col("id").cast("string"))
-    items = e.where("id % 2 = 0").select("customer", "unique_day_id", F.col("choice_id").alias("item"))
-    sets = e.where("id % 3 = 0").select("customer", "unique_day_id", F.col("quest_title").alias("situation"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias("unique_day_id")
+    items = fx.ema_long(spark, sf).groupBy("customer", day("quest_create")).agg(F.count("*").alias("item"))
+    sets = fx.events(spark, sf).select("customer", day("ts"), F.col("event_type").alias("situation"))
     return relational.attach_choice_sets(items, sets).drop("customer")
 
 
@@ -267,10 +267,10 @@ def _(spark, sf):
     return relational.union_parts([o, fx.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("part"))])
 
 
-@query("u2_incremental_append", with_tables("SELECT id FROM ev WHERE id % 2 = 0 UNION ALL SELECT id FROM ev WHERE id % 2 = 1 AND ts > (SELECT max(ts) FROM ev WHERE id % 2 = 0)"))
+@query("u2_incremental_append", with_tables("SELECT id FROM ev WHERE event_type <> 'error' UNION ALL SELECT id FROM ev WHERE event_type = 'error' AND ts > (SELECT max(ts) FROM ev WHERE event_type <> 'error')"))
 def _(spark, sf):
     e = fx.events(spark, sf)
-    return relational.incremental_append(e.where("id % 2 = 0"), e.where("id % 2 = 1"), "ts").select("id")
+    return relational.incremental_append(e.where("event_type <> 'error'"), e.where("event_type = 'error'"), "ts").select("id")
 
 
 @query("u3_distinct_rows", "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem")

@@ -165,18 +165,34 @@ def _(spark, sf):
     return df.groupBy("customer").agg(F.sum("stationary").alias("stationary"), F.sum("transition").alias("transition"), F.count("*").alias("n"))
 
 
-@query("g3_dbscan_summary")
+# Places lie 2 km apart and their points within 50 m, so clusters are the places with enough points.
+_PLACE = "round((lat - 52.5) / 0.02 - 0.003)"
+
+
+@query("g3_dbscan_summary", with_tables(f"n AS (SELECT customer, count(*) OVER (PARTITION BY customer) >= 3 AND count(*) OVER (PARTITION BY customer, {_PLACE}) >= 2 AS placed, {_PLACE} AS place FROM places) SELECT customer, count_if(NOT placed) AS n_noise, count_if(placed) AS n_clustered, count(DISTINCT CASE WHEN placed THEN place END) AS n_clusters FROM n GROUP BY 1", "places"))
 def _(spark, sf):
     return gps.cluster_summary(gps.dbscan(fx.places(spark, sf).drop("cluster"), min_samples=2, min_data_points=3))
 
 
-@query("g6_extract_home")
+_EXTRACT = _SPEED + f""", gate AS (SELECT customer FROM places GROUP BY 1 HAVING count(*) >= 5),
+    moved AS (SELECT customer, ts, {_PLACE} AS place FROM sq JOIN gate USING (customer) WHERE speed IS NOT NULL AND speed * 3.6 <= 220),
+    m AS (SELECT *, count(*) OVER (PARTITION BY customer) >= 5 AND count(*) OVER (PARTITION BY customer, place) >= 2 AS placed, min(ts) OVER (PARTITION BY customer, place) AS begun FROM moved),
+    d AS (SELECT customer, place, row_number() OVER (PARTITION BY customer ORDER BY begun) - 1 AS number FROM (SELECT DISTINCT customer, place, begun FROM m WHERE placed)),
+    l AS (SELECT customer, ts, CASE WHEN placed THEN number ELSE -1 END AS cluster, hour(ts) >= 20 OR hour(ts) <= 6 AS night FROM m LEFT JOIN d USING (customer, place)),
+    n AS (SELECT customer, cluster, count(*) AS n_all, count_if(night) AS n_night FROM l WHERE cluster <> -1 GROUP BY 1, 2),
+    obs AS (SELECT customer, sum(n_night) AS obs FROM n GROUP BY 1),
+    top AS (SELECT customer, cluster AS c1, n_night FROM n WHERE n_night > 0 QUALIFY row_number() OVER (PARTITION BY customer ORDER BY n_night DESC, cluster) = 1),
+    big AS (SELECT customer, cluster AS c2 FROM n QUALIFY row_number() OVER (PARTITION BY customer ORDER BY n_all DESC, cluster) = 1),
+    h AS (SELECT customer, CASE WHEN n_night * 1.0 / obs >= 0.5 THEN c1 ELSE c2 END AS home FROM big LEFT JOIN top USING (customer) LEFT JOIN obs USING (customer)) """
+
+
+@query("g6_extract_home", with_tables(_EXTRACT + "SELECT customer, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CAST(cluster AS INT) AS cluster, CAST(home AS INT) AS home, CASE WHEN cluster = -1 THEN -1 WHEN cluster = home THEN 1 ELSE 0 END AS at_home, CASE WHEN cluster <> -1 THEN customer || '00' || cluster END AS \"clusterID\", customer || '00' || home AS \"homeID\" FROM l LEFT JOIN h USING (customer)", "places"))
 def _(spark, sf):
     df = gps.extract_home(fx.places(spark, sf).drop("cluster"), min_data_points=5, min_samples=2, min_nights_obs=1)
     return df.select("customer", stamp("startTimestamp").alias("at"), "cluster", "home", "at_home", "clusterID", "homeID")
 
 
-@query("g8_adaptive_kmeans")
+@query("g8_adaptive_kmeans", with_tables(f"SELECT customer, count(DISTINCT {_PLACE}) AS n_clusters, count(*) AS n FROM places GROUP BY 1", "places"))
 def _(spark, sf):
     df = gps.adaptive_kmeans(fx.places(spark, sf).drop("cluster"))
     return df.groupBy("customer").agg(F.countDistinct("cluster").alias("n_clusters"), F.count("*").alias("n"))

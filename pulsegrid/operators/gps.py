@@ -52,52 +52,128 @@ def _metres(lat1, lon1, lat2, lon2):
     return 2 * EARTH_RADIUS_M * np.arctan2(np.sqrt(a), np.sqrt(1 - a))
 
 
+class _Grid:
+    """Points in cells whose points all lie within ``eps_m`` of each other.
+
+    A row's cells are as wide as that at its latitude nearest the equator; both bounds
+    follow from the haversine formula and hold everywhere on the globe.
+    """
+
+    def __init__(self, points: np.ndarray, eps_m: float):
+        self.arc = np.sin(min(np.pi / 2, eps_m / (2 * EARTH_RADIUS_M)))
+        self.step = np.degrees(2 * self.arc) / np.sqrt(2) * (1 - 1e-9)
+        row = np.floor(points[:, 0] / self.step).astype(np.int64)
+        col = np.floor(points[:, 1] / self._width(row)).astype(np.int64)
+        order = np.lexsort((col, row))
+        row, col = row[order], col[order]
+        new = np.ones(len(points), bool)
+        new[1:] = (row[1:] != row[:-1]) | (col[1:] != col[:-1])
+        self.starts = np.flatnonzero(new)
+        self.row, self.col, self.order = row[self.starts], col[self.starts], order
+        self.members = np.split(order, self.starts[1:])
+        self.of = np.empty(len(points), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        ends = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1], True]) if len(self.row) else [0]
+        self.spans = {int(self.row[i]): (i, j) for i, j in zip(ends[:-1], ends[1:])}
+
+    def _width(self, row):
+        low = np.where(row >= 0, row, -row - 1) * self.step
+        return self.step / np.cos(np.radians(np.minimum(low, 89.999)))
+
+    def around(self, cell: int) -> list[int]:
+        """Other cells that may hold a point within ``eps_m`` of one of this."""
+        row, own = int(self.row[cell]), float(self._width(self.row[cell]))
+        found: list[int] = []
+        for r in range(row - 2, row + 3):
+            if r not in self.spans:
+                continue
+            i, j = self.spans[r]
+            high = min(90.0, max(abs(r), abs(r + 1), abs(row), abs(row + 1)) * self.step)
+            reach = self.arc / max(1e-12, np.cos(np.radians(high)))
+            reach = 360.0 if reach >= 1 else 2 * np.degrees(np.arcsin(reach)) * (1 + 1e-9)
+            west, east, width = self.col[cell] * own - reach, (self.col[cell] + 1) * own + reach, float(self._width(np.int64(r)))
+            for turn in (-360.0, 0.0, 360.0):
+                low, high_ = np.searchsorted(self.col[i:j], [np.floor((west + turn) / width) - 1, np.floor((east + turn) / width) + 2])
+                found.extend(range(i + low, i + high_))
+        return sorted(set(found) - {cell})
+
+
+def _reaching(a: np.ndarray, b: np.ndarray, eps_m: float) -> np.ndarray:
+    """Those of ``a`` that may lie within ``eps_m`` of a point in the bounds of ``b``."""
+    gap = np.maximum(0, np.maximum(b.min(0) - a, a - b.max(0)))
+    turned = np.where(gap[:, 1] > 180, 0, gap[:, 1])
+    narrow = np.cos(np.radians(max(np.abs(a[:, 0]).max(), np.abs(b[:, 0]).max())))
+    h = np.sin(np.radians(gap[:, 0]) / 2) ** 2 + narrow**2 * np.sin(np.radians(turned) / 2) ** 2
+    return a[h <= np.sin(min(np.pi / 2, eps_m / (2 * EARTH_RADIUS_M))) ** 2 * (1 + 1e-9)]
+
+
+def _touch(a: np.ndarray, b: np.ndarray, eps_m: float) -> bool:
+    """Whether a point of ``a`` lies within ``eps_m`` of one of ``b``."""
+    close = b[np.argmin(_metres(*a.mean(0), b[:, 0], b[:, 1]))]
+    if (_metres(*close, a[:, 0], a[:, 1]) <= eps_m).any():
+        return True
+    a = _reaching(a, b, eps_m)
+    b = _reaching(b, a, eps_m) if len(a) else b[:0]
+    few, many = (a, b) if len(a) < len(b) else (b, a)
+    return any((_metres(*p, many[:, 0], many[:, 1]) <= eps_m).any() for p in few)
+
+
 def density_labels(lat: np.ndarray, lon: np.ndarray, eps_m: float, min_samples: int) -> np.ndarray:
-    """DBSCAN labels, numbered by the earliest core point; noise -1.
+    """DBSCAN labels, numbered by the earliest core point; noise -1, and a point that
+    several clusters reach belongs to the first.
 
-    Equal points are taken once with their count; neighbours are sought in the grid
-    cells of side ``eps_m`` around, so that work follows the points per cell.
+    Equal points are taken once with their count.  Points of a cell with enough of
+    them are core at once, and the core points of a cell are one cluster, so that cells
+    are joined instead of points and no neighbours are kept: memory follows the points.
     """
     points, where, counts = np.unique(np.stack([lat, lon], 1), axis=0, return_inverse=True, return_counts=True)
+    labels = np.full(len(points), NOISE)
+    if not len(points):
+        return labels
     where = where.ravel()
-    row = np.floor(points[:, 0] / np.degrees(eps_m / EARTH_RADIUS_M)).astype(np.int64)
-    # A band's cells are as wide as eps at its narrowest latitude.
-    narrow = np.cos(np.radians(np.minimum(89.0, np.abs(points[:, 0]).max(initial=0) + 1)))
-    width = np.degrees(eps_m / (EARTH_RADIUS_M * narrow))
-    col = np.floor(points[:, 1] / width).astype(np.int64)
-    cells: dict[tuple[int, int], list[int]] = {}
-    for i, key in enumerate(zip(row.tolist(), col.tolist())):
-        cells.setdefault(key, []).append(i)
-    near: list[np.ndarray] = [None] * len(points)  # type: ignore[list-item]
-    for (r, c), own in cells.items():
-        around = np.array([j for dr in (-1, 0, 1) for dc in (-1, 0, 1) for j in cells.get((r + dr, c + dc), ())])
-        for i in own:
-            d = _metres(points[i, 0], points[i, 1], points[around, 0], points[around, 1])
-            near[i] = around[d <= eps_m]
-    core = np.array([counts[n].sum() >= min_samples for n in near], bool)
+    grid = _Grid(points, eps_m)
+    full = np.add.reduceat(counts[grid.order], grid.starts) >= min_samples
+    core = full[grid.of]
+    around = [grid.around(c) for c in range(len(full))]
+    within = lambda i, others: others[_metres(*points[i], points[others, 0], points[others, 1]) <= eps_m]
+    for c in np.flatnonzero(~full):
+        others = np.concatenate([grid.members[j] for j in [c, *around[c]]])
+        for i in grid.members[c]:
+            core[i] = counts[within(i, others)].sum() >= min_samples
+    cores = [own[core[own]] for own in grid.members]
+    parent = list(range(len(full)))
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = c = parent[parent[c]]
+        return c
+
+    for c, own in enumerate(cores):
+        for j in around[c] if len(own) else ():
+            if j > c and len(cores[j]) and root(c) != root(j) and _touch(points[own], points[cores[j]], eps_m):
+                parent[root(j)] = root(c)
     first = np.full(len(points), len(lat))
     np.minimum.at(first, where, np.arange(len(lat)))
-    labels = np.full(len(points), NOISE)
-    number = 0
-    for seed in sorted(np.flatnonzero(core).tolist(), key=lambda i: first[i]):
-        if labels[seed] != NOISE:
-            continue
-        labels[seed], todo = number, [seed]
-        while todo:
-            for j in near[todo.pop()].tolist():
-                if labels[j] == NOISE:
-                    labels[j] = number
-                    if core[j]:
-                        todo.append(j)
-        number += 1
+    numbers: dict[int, int] = {}
+    begun = {c: first[own].min() for c, own in enumerate(cores) if len(own)}
+    for c in sorted(begun, key=begun.__getitem__):
+        labels[cores[c]] = numbers.setdefault(root(c), len(numbers))
+    edge = {}
+    for c in np.flatnonzero(~full):
+        others = np.concatenate([cores[j] for j in [c, *around[c]]])
+        for i in grid.members[c][~core[grid.members[c]]] if len(others) else ():
+            edge[i] = labels[within(i, others)].min(initial=len(numbers))
+    for i, label in edge.items():
+        labels[i] = label if label < len(numbers) else NOISE
     return labels[where]
 
 
-def dbscan(gps: DataFrame, eps_m: float = 100, min_samples: int = 10, min_data_points: int = 50) -> DataFrame:
+def dbscan(gps: DataFrame, eps_m: float = 100, min_samples: int = 10, min_data_points: int = 50, min_share: float | None = None) -> DataFrame:
     """Adds ``cluster`` per customer; customers with too few points are all noise.
 
-    One customer's distinct points are held by one task: a year at a point a minute
-    is 500,000 rows, some 20 MB.
+    ``min_share``: instead of ``min_samples`` this share of the customer's points is
+    asked for (rounded down, 2 at least), for phones that send seldom.  One customer's
+    points are held by one task.
     """
     schema = f"{_schema(gps)}, cluster int"
 
@@ -106,7 +182,8 @@ def dbscan(gps: DataFrame, eps_m: float = 100, min_samples: int = 10, min_data_p
         known = pdf["Latitude"].notna().to_numpy() & pdf["Longitude"].notna().to_numpy()
         labels = np.full(len(pdf), NOISE)
         if known.sum() >= min_data_points:
-            labels[known] = density_labels(pdf["Latitude"].to_numpy()[known], pdf["Longitude"].to_numpy()[known], eps_m, min_samples)
+            least = min_samples if min_share is None else max(2, int(len(pdf) * min_share))
+            labels[known] = density_labels(pdf["Latitude"].to_numpy()[known], pdf["Longitude"].to_numpy()[known], eps_m, least)
         return pdf.assign(cluster=labels.astype("int32"))
 
     return gps.groupBy("customer").applyInPandas(label, schema)
@@ -163,8 +240,7 @@ def find_home_cluster(gps: DataFrame, min_nights_obs: int = 4, min_f_home: float
     ``literal_f_home``: the share counts as 1, as in the published pipeline.
     ``strict``: nights until 4 h, share above the limit, and no fallback.
     """
-    hour = F.hour("startTimestamp")
-    night = (hour >= 20) | ((hour < 4) if strict else (hour <= 6))
+    night = _night(strict)
     placed = gps.where(F.col("cluster") != NOISE)
     by_cluster = placed.groupBy("customer", "cluster").agg(F.count("*").alias("n_all"), F.count_if(night).alias("n_night"))
     nights = placed.where(night).groupBy("customer").agg(F.countDistinct(F.to_date("startTimestamp")).alias("nights"), F.count("*").alias("night_obs"))
@@ -172,11 +248,34 @@ def find_home_cluster(gps: DataFrame, min_nights_obs: int = 4, min_f_home: float
     picked = by_cluster.groupBy("customer").agg(
         F.when(F.max("n_night") > 0, best("n_night")).alias("at_night"), F.max("n_night").alias("n_home"), best("n_all").alias("largest")
     )
+    home = picked.join(nights, "customer", "left").select("customer", _home(min_nights_obs, min_f_home, literal_f_home, strict).alias("home"))
+    return gps.select("customer").distinct().join(home, "customer", "left")
+
+
+def _night(strict: bool):
+    hour = F.hour("startTimestamp")
+    return (hour >= 20) | ((hour < 4) if strict else (hour <= 6))
+
+
+def _home(min_nights_obs: int, min_f_home: float, literal_f_home: bool, strict: bool):
+    """Home from at_night, n_home, largest, nights and night_obs."""
     share = F.lit(1.0) if literal_f_home else F.try_divide(F.col("n_home"), F.col("night_obs"))
     enough = (F.col("nights") >= min_nights_obs) & ((share > min_f_home) if strict else (share >= min_f_home))
-    fallback = F.lit(None) if strict else F.col("largest")
-    home = picked.join(nights, "customer", "left").select("customer", F.when(enough, F.col("at_night")).otherwise(fallback).alias("home"))
-    return gps.select("customer").distinct().join(home, "customer", "left")
+    return F.when(enough, F.col("at_night")).otherwise(F.lit(None) if strict else F.col("largest"))
+
+
+def with_home(gps: DataFrame, min_nights_obs: int = 4, min_f_home: float = 0.5, literal_f_home: bool = False, strict: bool = False) -> DataFrame:
+    """``gps`` with ``find_home_cluster``'s home, by windows over its rows: they are read
+    once, which counts where they come from clustering."""
+    placed, night = F.col("cluster") != NOISE, _night(strict)
+    own, all_ = Window.partitionBy("customer", "cluster"), Window.partitionBy("customer")
+    best = lambda n: F.max_by("cluster", F.when(placed, F.struct(F.col(n), -F.col("cluster")))).over(all_)
+    counted = gps.repartition("customer").withColumns({"n_all": F.count("*").over(own), "n_night": F.count_if(night).over(own)})
+    judged = counted.withColumns({
+        "n_home": F.max(F.when(placed, F.col("n_night"))).over(all_), "largest": best("n_all"), "at_night": best("n_night"),
+        "nights": F.size(F.collect_set(F.when(placed & night, F.to_date("startTimestamp"))).over(all_)), "night_obs": F.count_if(placed & night).over(all_),
+    })
+    return judged.select(*gps.columns, _home(min_nights_obs, min_f_home, literal_f_home, strict).alias("home"))
 
 
 def determine_if_at_home(df: DataFrame) -> DataFrame:
@@ -185,17 +284,17 @@ def determine_if_at_home(df: DataFrame) -> DataFrame:
     return df.withColumn("at_home", at)
 
 
-def extract_home(gps: DataFrame, min_data_points: int = 50, eps_m: float = 100, min_samples: int = 10, speed_limit: float = 1.4, max_distance: float = 150, min_nights_obs: int = 4, min_f_home: float = 0.5) -> DataFrame:
-    """Quality gate, speeds, flags, clusters, home and at-home flag in turn.
-    Customers are partitioned once; windows and clustering reuse that."""
+def extract_home(gps: DataFrame, min_data_points: int = 50, eps_m: float = 100, min_samples: int = 10, speed_limit: float = 1.4, max_distance: float = 150, min_nights_obs: int = 4, min_f_home: float = 0.5, min_share: float | None = None) -> DataFrame:
+    """Quality gate, speeds, flags, clusters, home and at-home flag in turn; customers
+    are clustered once."""
     for name, value in (("min_data_points", min_data_points), ("eps_m", eps_m), ("min_samples", min_samples), ("speed_limit", speed_limit), ("max_distance", max_distance)):
         if value <= 0:
             raise ValueError(f"{name} must be positive")
     if not 0 <= min_f_home <= 1:
         raise ValueError("min_f_home must lie within 0 and 1")
     moved = calculate_stationary_and_transition(calculate_distances_and_speeds(data_quality_check(gps, min_data_points)), speed_limit, max_distance)
-    placed = dbscan(moved, eps_m, min_samples, min_data_points)
-    return compose_ids(determine_if_at_home(placed.join(find_home_cluster(placed, min_nights_obs, min_f_home), "customer", "left")))
+    placed = dbscan(moved, eps_m, min_samples, min_data_points, min_share)
+    return compose_ids(determine_if_at_home(with_home(placed, min_nights_obs, min_f_home)))
 
 
 def identify_home(df: DataFrame, cluster: str = "clusterID") -> DataFrame:

@@ -102,13 +102,29 @@ def test_density_labels_match_the_definition():
         lat = 52.5 + rng.normal(0, 0.003, 120)
         lon = 13.4 + rng.normal(0, 0.004, 120)
         lat[:20], lon[:20] = lat[0], lon[0]
-        want, core = brute_dbscan(lat, lon, 100, 4)
-        got = gps.density_labels(lat, lon, 100, 4)
-        assert [g for g, c in zip(got, core) if c] == [w for w, c in zip(want, core) if c]
-        assert [(g == -1) for g in got] == [(w == -1) for w in want]
+        for k in (2, 4, 9):
+            assert gps.density_labels(lat, lon, 100, k).tolist() == brute_dbscan(lat, lon, 100, k)[0]
+    for lat0, lon0, wide in ((0.0, 0.0, 0.004), (-52.5, 179.999, 0.006), (88.9, -120.0, 0.3)):  # equator, date line, near a pole
+        lat = lat0 + rng.normal(0, 0.003, 100)
+        lon = (lon0 + rng.normal(0, wide, 100) + 180) % 360 - 180
+        assert gps.density_labels(lat, lon, 100, 4).tolist() == brute_dbscan(lat, lon, 100, 4)[0]
     assert (gps.density_labels(np.array([1.0, 2.0]), np.array([1.0, 2.0]), 100, 2) == -1).all()
 
 
+def test_density_labels_of_many_close_points():
+    rng = np.random.default_rng(4)
+    lat, lon = 52.5 + rng.normal(0, 0.0003, 100_000), 13.4 + rng.normal(0, 0.0003, 100_000)
+    lat[50_000:] += 0.02
+    labels = gps.density_labels(lat, lon, 100, 10)
+    assert (labels[:50_000] == 0).all() and (labels[50_000:] == 1).all()
+
+
+def test_share_of_points_for_seldom_senders(spark):
+    g = track(spark, [("u", i, 52.5, 13.4) for i in range(4)] + [("u", 9, 53.5, 13.4)])
+    assert {r.cluster for r in gps.dbscan(g, min_data_points=5).collect()} == {-1}
+    assert sorted(r.cluster for r in gps.dbscan(g, min_data_points=5, min_share=0.03).collect()) == [-1, 0, 0, 0, 0]
+
+
 def test_home_ties_and_fallback(spark):
     night = lambda d, h: (d * 24 + h) * 60  # noqa: E731  minutes after noon: h 10 is 22 o'clock
     rows = [("u", night(d, 10), c) for d in range(4) for c in (1, 2)] + [("v", night(0, 1), 5), ("v", night(0, 2), 5), ("v", night(0, 10), 3), ("n", 0, -1)]
@@ -117,6 +133,9 @@ def test_home_ties_and_fallback(spark):
     assert home == {"u": 1, "v": 5, "n": None}
     assert {r.customer: r.home for r in gps.find_home_cluster(g, 4, 0.6).collect()}["u"] == 1  # share too small: largest, tie smallest
     assert {r.customer: r.home for r in gps.find_home_cluster(g, 4, 0.5, strict=True).collect()} == {"u": None, "v": None, "n": None}
+    for limits in ((4, 0.5), (4, 0.6), (4, 0.5, True), (4, 0.5, False, True)):
+        want = {r.customer: r.home for r in gps.find_home_cluster(g, *limits).collect()}
+        assert {r.customer: r.home for r in gps.with_home(g, *limits).collect()} == want
     flags = gps.determine_if_at_home(g.join(gps.find_home_cluster(g, 4, 0.5), "customer")).where("customer = 'n'").first()
     assert flags.at_home == -1
 
