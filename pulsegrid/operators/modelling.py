@@ -85,12 +85,24 @@ def fold(df: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
 def time_series_folds(df: DataFrame, n: int = 5, ts: str = "sensor_block_end") -> DataFrame:
     """Adds ``chunk`` 0 to n over all rows in time order, by exact quantiles of time:
     equal times stay together, and no global sort meets in one task."""
-    edges = [F.percentile(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(i / (n + 1))).alias(f"e{i}") for i in range(1, n + 1)]
-    row = df.agg(*edges).first()
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    micros, hour = F.unix_micros(F.col(ts).cast("timestamp")), F.date_trunc("hour", F.col(ts).cast("timestamp"))
+    known = df.where(F.col(ts).isNotNull()).select(F.unix_micros(hour).alias("hour"), micros.alias("at"))
+    before, total = {}, 0  # one row an hour of the calendar
+    for row in known.groupBy("hour").count().orderBy("hour").collect():
+        before[row["hour"]], total = total, total + row["count"]
+    places = [i * (total - 1) / (n + 1) for i in range(1, n + 1)] if total else []
+    ranks = sorted({r for p in places for r in (math.floor(p), math.ceil(p))})
+    holding = {r: max(h for h, at in before.items() if at <= r) for r in ranks}
+    times = known.where(F.col("hour").isin(*set(holding.values()))).groupBy("hour", "at").count()
+    upto = F.sum("count").over(Window.partitionBy("hour").orderBy("at"))
+    asked = F.array(*[F.struct(F.lit(h).alias("hour"), F.lit(r - before[h]).alias("place"), F.lit(r).alias("rank")) for r, h in holding.items()])
+    own = F.filter(asked, lambda x: (x["hour"] == F.col("hour")) & (x["place"] < F.col("upto")) & (x["place"] >= F.col("upto") - F.col("count")))
+    found = times.withColumn("upto", upto).select(F.explode(own["rank"]).alias("rank"), "at").collect() if ranks else []
+    value = {r.rank: r.at for r in found}
     chunk = F.lit(0)
-    for i in range(1, n + 1):
-        chunk = chunk + (micros > F.lit(row[f"e{i}"])).cast("int")
+    for p in places:
+        low, high = value[math.floor(p)], value[math.ceil(p)]
+        chunk = chunk + (micros > F.lit(low + (high - low) * (p - math.floor(p)))).cast("int")
     return df.withColumn("chunk", chunk)
 
 
@@ -174,7 +186,12 @@ def encode_users(train: DataFrame, test: DataFrame, user: str = "customer", ts:
     """user, user_index: train users by first appearance, then those seen in the test only."""
     first = lambda df, part: df.groupBy(user).agg(F.min(ts).alias("_at")).withColumn("_part", F.lit(part))
     both = first(train, 0).unionByName(first(test, 1).join(train.select(user).distinct(), user, "left_anti"))
-    return both.withColumn("user_index", F.row_number().over(Window.orderBy("_part", "_at", user)) - 1).drop("_at", "_part")
+    both = both.withColumn("_hour", F.coalesce(F.unix_micros(F.date_trunc("hour", F.col("_at").cast("timestamp"))), F.lit(-(1 << 62))))
+    # One task adds up one row for an hour of the calendar; users are ranked within theirs.
+    hours = both.groupBy("_part", "_hour").agg(F.count("*").alias("_n"))
+    hours = hours.select("_part", "_hour", (F.sum("_n").over(Window.orderBy("_part", "_hour")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part", "_hour").orderBy("_at", user))
+    return both.join(hours, ["_part", "_hour"]).select(user, (F.col("_before") + place - 1).cast("int").alias("user_index"))
 
 
 # -- baselines and metrics ---------------------------------------------------

@@ -260,3 +260,22 @@ def test_workload_c(spark):
 def test_feature_lists():
     own = modelling.select_features(static=False)
     assert own[0] == "customer" and "age" not in own and "hr_mean" in own
+
+
+def test_time_folds_over_all_users_are_exact_quantiles(spark):
+    rng = random.Random(6)
+    minutes = [rng.choice([0, 1, 59, 60, 61, 600, 3000, rng.randint(0, 9000)]) for _ in range(101)]
+    df = spark.createDataFrame([(at(m),) for m in minutes] + [(None,)], "sensor_block_end timestamp")
+    got = [(r.sensor_block_end, r.chunk) for r in modelling.time_series_folds(df, 4).collect()]
+    edges = np.quantile(minutes, [0.2, 0.4, 0.6, 0.8])
+    assert sorted(got[:-1]) == sorted((at(m), int((m > edges).sum())) for m in minutes)
+    assert got[-1] == (None, None)
+    assert modelling.time_series_folds(df.limit(0)).count() == 0
+    assert {r.chunk for r in modelling.time_series_folds(df.where("sensor_block_end IS NOT NULL").limit(1)).collect()} == {0}
+
+
+def test_users_are_numbered_by_first_appearance(spark):
+    rows = [("b", 0), ("a", 0), ("c", 500), ("d", 61), ("c", 900)]
+    table = lambda rows: spark.createDataFrame([(c, None if m is None else at(m)) for c, m in rows], "customer string, sensor_block_end timestamp")
+    got = modelling.encode_users(table(rows), table([("z", 1), ("a", -5), ("n", None), ("e", 3)]))
+    assert {r.customer: r.user_index for r in got.collect()} == {"a": 0, "b": 1, "d": 2, "c": 3, "n": 4, "z": 5, "e": 6}
