@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, packing, quality_rules, secret_scan, sentence_pieces, simhash_dedup, suffix_dedup, token_counts, token_files
+from . import exact_dedup, hard_negatives, language_id, packing, quality_rules, secret_scan, sentence_pieces, sharding, simhash_dedup, suffix_dedup, token_counts, token_files, whitening
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_simhash_near_dedup": simhash_dedup.op9_simhash_near_dedup,
     "op10_sentence_pieces": sentence_pieces.op10_sentence_pieces,
+    "op11_sharding": sharding.op11_sharding,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-SQL = {"op7_exact_dedup": exact_dedup.OP7_SQL}
+SQL = {
+    "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op11_sharding": sharding.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
+}
