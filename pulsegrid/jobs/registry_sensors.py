@@ -174,6 +174,33 @@ def _(spark, sf):
     return gps.cluster_summary(gps.dbscan(fx.places(spark, sf).drop("cluster"), min_samples=2, min_data_points=3))
 
 
+#: All events as points 45 to 55 m apart, so that clusters grow along chains of points.
+_GRID = "52.5 + 0.0005 * (k % 10) + 0.00001 * (id % 7) AS lat, 13.4 + 0.0007 * (k // 10) + 0.00001 * (id % 5) AS lon"
+
+
+@query(
+    "g3_dbscan_labels",
+    with_tables(
+        f"""RECURSIVE p AS (SELECT customer, id, ts, {_GRID} FROM ev),
+        near AS (SELECT a.customer, a.id, a.ts, b.id AS other FROM p a JOIN p b ON a.customer = b.customer AND {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 60),
+        core AS (SELECT customer, id, ts FROM near GROUP BY ALL HAVING count(*) >= 4),
+        links AS (SELECT id, other FROM near WHERE id IN (SELECT id FROM core) AND other IN (SELECT id FROM core)),
+        reach(id, other) AS (SELECT id, other FROM links UNION SELECT r.id, l.other FROM reach r JOIN links l ON r.other = l.id),
+        begun AS (SELECT r.id, min((c.ts, c.id)) AS first FROM reach r JOIN core c ON c.id = r.other GROUP BY 1),
+        num AS (SELECT c.id, dense_rank() OVER (PARTITION BY customer ORDER BY first) - 1 AS cluster FROM core c JOIN begun USING (id)),
+        l AS (SELECT n.id, min(m.cluster) AS cluster FROM near n JOIN num m ON m.id = n.other GROUP BY 1)
+        SELECT p.customer, p.id, CAST(coalesce(c.cluster, l.cluster, -1) AS INT) AS cluster FROM p LEFT JOIN num c USING (id) LEFT JOIN l USING (id)"""
+    ).replace("WITH ev", "WITH RECURSIVE ev").replace(", RECURSIVE p", ", p"),
+)
+def _(spark, sf):
+    """Every participant by joins over many tasks, none in one task."""
+    e, id_ = fx.events(spark, sf), F.col("id")
+    lat = 52.5 + 0.0005 * (F.col("k") % 10) + 0.00001 * (id_ % 7)
+    lon = 13.4 + 0.0007 * F.floor(F.col("k") / 10) + 0.00001 * (id_ % 5)
+    points = e.select("customer", "id", F.col("ts").alias("startTimestamp"), lat.alias("Latitude"), lon.alias("Longitude"))
+    return gps.dbscan(points, 60, 4, 1, in_one_task=0).select("customer", "id", "cluster")
+
+
 _EXTRACT = _SPEED + f""", gate AS (SELECT customer FROM places GROUP BY 1 HAVING count(*) >= 5),
     moved AS (SELECT customer, ts, {_PLACE} AS place FROM sq JOIN gate USING (customer) WHERE speed IS NOT NULL AND speed * 3.6 <= 220),
     m AS (SELECT *, count(*) OVER (PARTITION BY customer) >= 5 AND count(*) OVER (PARTITION BY customer, place) >= 2 AS placed, min(ts) OVER (PARTITION BY customer, place) AS begun FROM moved),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EARTH_RADIUS_M, compose_ids, haversine, seconds_between
+from .density import spread_dbscan
+from .spread import heavy_keys, spread_join, written
+from .tracks import with_neighbours
 
 NOISE = -1
 
@@ -27,13 +32,12 @@ def data_quality_check(gps: DataFrame, min_data_points: int = 10) -> DataFrame:
 def calculate_distances_and_speeds(gps: DataFrame, aligned: bool = False) -> DataFrame:
     """Metres to the next point (last: 0), seconds since the one before (first: 0) and
     their quotient (null for 0 s).  ``aligned``: both to the point before."""
-    w = Window.partitionBy("customer").orderBy("startTimestamp")
-    other = F.lag if aligned else F.lead
-    metres = haversine("Longitude", "Latitude", other("Longitude").over(w), other("Latitude").over(w))
-    seconds = seconds_between(F.lag("startTimestamp").over(w), F.col("startTimestamp"))
-    return gps.withColumns({"distance": F.coalesce(metres, F.lit(0.0)), "time_diff": F.coalesce(seconds, F.lit(0.0))}).withColumn(
-        "speed", F.try_divide("distance", "time_diff")
-    )
+    place, side = ["Longitude", "Latitude"], "before" if aligned else "after"
+    rows = with_neighbours(gps, ["customer"], ["startTimestamp"], ["startTimestamp", *(place if aligned else [])], [] if aligned else place)
+    metres = haversine("Longitude", "Latitude", f"{side}_Longitude", f"{side}_Latitude")
+    seconds = seconds_between(F.col("before_startTimestamp"), F.col("startTimestamp"))
+    found = rows.withColumns({"distance": F.coalesce(metres, F.lit(0.0)), "time_diff": F.coalesce(seconds, F.lit(0.0))})
+    return found.withColumn("speed", F.try_divide("distance", "time_diff")).select(*gps.columns, "distance", "time_diff", "speed")
 
 
 def calculate_stationary_and_transition(df: DataFrame, speed_limit: float = 1.4, max_distance: float = 150, max_kmh: float = 220) -> DataFrame:
@@ -168,17 +172,29 @@ def density_labels(lat: np.ndarray, lon: np.ndarray, eps_m: float, min_samples:
     return labels[where]
 
 
-def dbscan(gps: DataFrame, eps_m: float = 100, min_samples: int = 10, min_data_points: int = 50, min_share: float | None = None) -> DataFrame:
+#: Participants with more points than this are clustered by joins over many tasks.
+IN_ONE_TASK = 200_000
+
+
+def large_participants(gps: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame | None:
+    """who (a struct of customer) of those with more rows; None if there are none."""
+    sizes = gps.groupBy(F.struct("customer").alias("who")).agg(F.count("*").alias("n"))
+    found = written(sizes.where(F.col("n") > in_one_task).select("who"), "large")
+    return None if found.isEmpty() else found
+
+
+def dbscan(gps: DataFrame, eps_m: float = 100, min_samples: int = 10, min_data_points: int = 50, min_share: float | None = None, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """Adds ``cluster`` per customer; customers with too few points are all noise.
 
     ``min_share``: instead of ``min_samples`` this share of the customer's points is
-    asked for (rounded down, 2 at least), for phones that send seldom.  One customer's
-    points are held by one task.
+    asked for (rounded down, 2 at least), for phones that send seldom.  A customer's
+    points are held by one task if they are ``in_one_task`` at most; those of others
+    are clustered by ``density.spread_dbscan``, with the same labels.
     """
     schema = f"{_schema(gps)}, cluster int"
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("startTimestamp", kind="stable")
+        pdf = pdf.sort_values(["startTimestamp", "Latitude", "Longitude"], kind="stable")
         known = pdf["Latitude"].notna().to_numpy() & pdf["Longitude"].notna().to_numpy()
         labels = np.full(len(pdf), NOISE)
         if known.sum() >= min_data_points:
@@ -186,7 +202,12 @@ def dbscan(gps: DataFrame, eps_m: float = 100, min_samples: int = 10, min_data_p
             labels[known] = density_labels(pdf["Latitude"].to_numpy()[known], pdf["Longitude"].to_numpy()[known], eps_m, least)
         return pdf.assign(cluster=labels.astype("int32"))
 
-    return gps.groupBy("customer").applyInPandas(label, schema)
+    large = large_participants(gps, in_one_task)
+    if large is None:
+        return gps.groupBy("customer").applyInPandas(label, schema)
+    own = written(gps, "tracks").withColumn("who", F.struct("customer"))
+    rest = own.join(large, "who", "left_anti").drop("who").groupBy("customer").applyInPandas(label, schema)
+    return rest.unionByName(spread_dbscan(own.join(large, "who", "left_semi").drop("who"), eps_m, min_samples, min_data_points, min_share))
 
 
 def _schema(df: DataFrame) -> str:
@@ -284,17 +305,23 @@ def determine_if_at_home(df: DataFrame) -> DataFrame:
     return df.withColumn("at_home", at)
 
 
-def extract_home(gps: DataFrame, min_data_points: int = 50, eps_m: float = 100, min_samples: int = 10, speed_limit: float = 1.4, max_distance: float = 150, min_nights_obs: int = 4, min_f_home: float = 0.5, min_share: float | None = None) -> DataFrame:
+def extract_home(gps: DataFrame, min_data_points: int = 50, eps_m: float = 100, min_samples: int = 10, speed_limit: float = 1.4, max_distance: float = 150, min_nights_obs: int = 4, min_f_home: float = 0.5, min_share: float | None = None, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """Quality gate, speeds, flags, clusters, home and at-home flag in turn; customers
-    are clustered once."""
+    are clustered once.  No step holds the rows of a customer with more than
+    ``in_one_task`` of them in one task."""
     for name, value in (("min_data_points", min_data_points), ("eps_m", eps_m), ("min_samples", min_samples), ("speed_limit", speed_limit), ("max_distance", max_distance)):
         if value <= 0:
             raise ValueError(f"{name} must be positive")
     if not 0 <= min_f_home <= 1:
         raise ValueError("min_f_home must lie within 0 and 1")
     moved = calculate_stationary_and_transition(calculate_distances_and_speeds(data_quality_check(gps, min_data_points)), speed_limit, max_distance)
-    placed = dbscan(moved, eps_m, min_samples, min_data_points, min_share)
-    return compose_ids(determine_if_at_home(with_home(placed, min_nights_obs, min_f_home)))
+    placed = dbscan(moved, eps_m, min_samples, min_data_points, min_share, in_one_task)
+    if large_participants(gps, in_one_task) is None:
+        return compose_ids(determine_if_at_home(with_home(placed, min_nights_obs, min_f_home)))
+    placed = written(placed, "placed").withColumn("who", F.struct("customer"))
+    homes = find_home_cluster(placed, min_nights_obs, min_f_home).select(F.struct("customer").alias("who"), "home")
+    heavy = heavy_keys(placed.groupBy("who").agg(F.count("*").alias("n")), "n")
+    return compose_ids(determine_if_at_home(spread_join(placed, homes, ["who"], heavy, ["startTimestamp"], "left").drop("who")))
 
 
 def identify_home(df: DataFrame, cluster: str = "clusterID") -> DataFrame:
@@ -314,15 +341,16 @@ def cluster_summary(places: DataFrame) -> DataFrame:
 
 def time_spent(df: DataFrame, keys: list[str]) -> DataFrame:
     """Seconds to the next point of the group; last: 0."""
-    after = F.lead("startTimestamp").over(Window.partitionBy(*keys).orderBy("startTimestamp"))
-    return df.withColumn("time_spent", F.coalesce(seconds_between(F.col("startTimestamp"), after), F.lit(0.0)))
+    rows = with_neighbours(df, keys, ["startTimestamp"], after=["startTimestamp"])
+    spent = F.coalesce(seconds_between(F.col("startTimestamp"), F.col("after_startTimestamp")), F.lit(0.0))
+    return rows.withColumn("time_spent", spent).select(*df.columns, "time_spent")
 
 
 def calculate_transition_time(gps: DataFrame, keys: list[str], speed_limit: float = 1.4) -> DataFrame:
     """Percent of a group's time at walking speed or faster; 0 without time."""
-    w = Window.partitionBy(*keys).orderBy("startTimestamp")
-    metres = haversine("Longitude", "Latitude", F.lead("Longitude").over(w), F.lead("Latitude").over(w))
-    gaps = gps.withColumns({"_s": seconds_between(F.col("startTimestamp"), F.lead("startTimestamp").over(w)), "_m": metres})
+    rows = with_neighbours(gps, keys, ["startTimestamp"], after=["startTimestamp", "Longitude", "Latitude"])
+    metres = haversine("Longitude", "Latitude", "after_Longitude", "after_Latitude")
+    gaps = rows.withColumns({"_s": seconds_between(F.col("startTimestamp"), F.col("after_startTimestamp")), "_m": metres})
     moving = F.sum(F.when((F.col("_s") > 0) & (F.col("_m") / F.nullif(F.col("_s"), F.lit(0.0)) >= speed_limit), F.col("_s")).otherwise(0.0))
     return gaps.groupBy(*keys).agg(F.coalesce(F.try_divide(moving, F.sum("_s")) * 100, F.lit(0.0)).alias("transition_time"))
 
@@ -354,16 +382,15 @@ def calculate_metrics(gps: DataFrame, keys: list[str], by: list[str] | None = No
     time count with a share of 1e-10; one point or none has no entropy.
     """
     by = by or ["Latitude", "Longitude"]
-    w = Window.partitionBy(*keys).orderBy("startTimestamp")
-    metres = haversine("Longitude", "Latitude", F.lead("Longitude").over(w), F.lead("Latitude").over(w))
-    rows = time_spent(gps, keys).withColumn("_m", F.coalesce(metres, F.lit(0.0)))
+    rows = with_neighbours(gps, keys, ["startTimestamp"], after=["startTimestamp", "Longitude", "Latitude"])
+    metres = haversine("Longitude", "Latitude", "after_Longitude", "after_Latitude")
+    spent = F.coalesce(seconds_between(F.col("startTimestamp"), F.col("after_startTimestamp")), F.lit(0.0))
+    rows = rows.withColumns({"time_spent": spent, "_m": F.coalesce(metres, F.lit(0.0))})
     points = rows.groupBy(*keys, *by).agg(F.sum("time_spent").alias("_t"), F.count("*").alias("_n"))
-    total = F.sum("_t").over(Window.partitionBy(*keys))
-    p = F.try_divide(F.col("_t"), F.nullif(total, F.lit(0.0)))
-    p = F.when(p == 0, F.lit(1e-10)).otherwise(p)
-    spread = points.withColumn("_e", -p * F.ln(p)).groupBy(*keys).agg(
-        F.when(F.sum("_n") > 1, F.sum("_e")).alias("entropy"), F.count("*").alias("_k")
-    )
+    # -sum p ln p of p = t / total, from sums alone; points without time have a share of 1e-10.
+    total, timed = F.nullif(F.sum("_t"), F.lit(0.0)), F.sum(F.when(F.col("_t") > 0, F.col("_t") * F.ln("_t")).otherwise(0.0))
+    entropy = F.ln(total) - timed / total - F.count_if(F.col("_t") == 0) * F.lit(1e-10 * math.log(1e-10))
+    spread = points.groupBy(*keys).agg(F.when(F.sum("_n") > 1, entropy).alias("entropy"), F.count("*").alias("_k"))
     placed = F.col("cluster") != NOISE
     home_time = F.sum(F.when(F.col("cluster") == F.col("home"), F.col("time_spent")).otherwise(0.0))
     share = F.coalesce(F.try_divide(home_time, F.nullif(F.sum("time_spent"), F.lit(0.0))) * 100, F.lit(0.0))
