@@ -5,20 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import apply_tz_offset, epoch_ms_to_ts, normalise_customer, with_day_hour, with_duration
 from ..operators import availability, ema, gps, intervals, modelling, relational, sensors
-from ..sources.readers import REST
-
-DISCARDED = [c.split()[0] for c in REST.split(", ")]
+from ..sources.readers import clean_epochs
 
 
 def ingest(epochs: DataFrame, roster: DataFrame, store: DataFrame | None = None, unit: str = "ms") -> DataFrame:
     """Raw records to clean, local-time ones with the roster; only rows later than the
     store's.  One projection, one scalar, one broadcast join."""
-    rows = epochs.drop(*DISCARDED).withColumns(
-        {"customer": normalise_customer("customer"), "startTimestamp": epoch_ms_to_ts("startTimestamp"), "endTimestamp": epoch_ms_to_ts("endTimestamp")}
-    )
-    rows = with_day_hour(with_duration(apply_tz_offset(rows, unit)))
+    rows = clean_epochs(epochs, unit)
     if store is not None:
         mark = store.agg(F.max("startTimestamp")).first()[0]
         rows = rows if mark is None else rows.where(F.col("startTimestamp") > F.lit(mark))
@@ -32,19 +26,11 @@ def adherence(sensor: DataFrame, bounds: DataFrame) -> DataFrame:
 
 
 def block_features(sensor: DataFrame, blocks: DataFrame, places: DataFrame) -> DataFrame:
-    """Heart rate, steps, activity and GPS features of every block, in one wide row."""
+    """Heart rate, steps, activity and GPS features of every block, in one wide row:
+    one overlap join for all sensor records, one for the GPS points."""
     near = intervals.prefilter_time_range(sensor, blocks)
-    only = lambda *types: sensors.filter_types(near, types)
-    parts = [
-        sensors.map_heart_rate_to_ema(blocks, sensors.clean_heart_rate_data(only("HeartRate"))),
-        sensors.map_steps_to_ema(blocks, sensors.clean_step_data(only("Steps"))),
-        sensors.map_activity_types_to_ema(blocks, only("ActivityType")),
-        sensors.map_gps_and_transition_to_ema(blocks, places),
-    ]
-    found = blocks
-    for part in parts:
-        found = found.join(part, sensors.BLOCK)
-    return found
+    found = blocks.join(sensors.map_readings_to_ema(blocks, near), sensors.BLOCK)
+    return found.join(sensors.map_gps_and_transition_to_ema(blocks, places), sensors.BLOCK)
 
 
 def features(sensor: DataFrame, ema_long: DataFrame, items: list[str], hours: float = 2, min_daily: int = 4, min_days: int = 7, **home) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import ACTIVITY_CODES
@@ -62,6 +62,41 @@ def _on_blocks(blocks: DataFrame, found: DataFrame, fill: dict) -> DataFrame:
     return joined.select(*BLOCK, *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in fill.items()])
 
 
+def usable_readings(sensor: DataFrame) -> DataFrame:
+    """customer, type, startTimestamp, endTimestamp, value: the heart rates and steps
+    that cleaning keeps, and all activity records, in one pass."""
+    beats = F.col("longValue").try_cast("double")
+    steps, seconds, fast = _step_rules("doubleValue", 200)
+    kind = F.col("type")
+    kept = F.when(kind == "HeartRate", beats.between(30, 220)).when(kind == "Steps", (steps >= 0) & (seconds > 0) & ~fast).when(kind == "ActivityType", True)
+    value = F.when(kind == "Steps", steps).otherwise(beats)
+    return sensor.where(kept).select("customer", "type", "startTimestamp", "endTimestamp", value.alias("value"))
+
+
+def reading_features() -> dict[str, Column]:
+    """Features of a block as aggregates over its pairs with ``usable_readings``
+    (overlap_seconds: their overlap); -1 without records of the kind."""
+    kind, v, minutes = F.col("type"), F.col("value"), F.col("overlap_seconds") / 60
+    beat, step, act = kind == "HeartRate", kind == "Steps", kind == "ActivityType"
+    total = lambda test, what: F.sum(F.when(test, what).otherwise(0.0))
+    share = F.try_divide(F.col("overlap_seconds"), seconds_between("startTimestamp", "endTimestamp"))
+    own = lambda test, found, none: F.when(F.count_if(test) > 0, found).otherwise(F.lit(none))
+    none = float(MISSING)
+    found = {"hr_mean": F.avg(F.when(beat, v)), "hr_min": F.min(F.when(beat, v)), "hr_max": F.max(F.when(beat, v)), "hr_std": F.stddev_pop(F.when(beat, v))}
+    found |= {"hr_zone_resting": total(beat & (v < 60), minutes), "hr_zone_moderate": total(beat & (v >= 60) & (v < 100), minutes), "hr_zone_vigorous": total(beat & (v >= 100), minutes)}
+    found = {n: own(beat, c, none) for n, c in found.items()}
+    found["n_steps"] = own(step, F.sum(F.when(step, v * share)).cast("long"), MISSING)
+    return found | {f"activity_{code}_minutes": own(act, total(act & (v == code), minutes), none) for code in ACTIVITY_CODES}
+
+
+def map_readings_to_ema(blocks: DataFrame, sensor: DataFrame) -> DataFrame:
+    """The heart-rate, step and activity features of every block by one overlap join."""
+    pairs = overlap_join(usable_readings(sensor), blocks.select(*BLOCK, "sensor_block_start", "sensor_block_end"))
+    features = reading_features()
+    found = pairs.groupBy(*BLOCK).agg(*[c.alias(n) for n, c in features.items()])
+    return _on_blocks(blocks, found, {n: MISSING if n == "n_steps" else float(MISSING) for n in features})
+
+
 def map_heart_rate_to_ema(blocks: DataFrame, sensor: DataFrame, compute_stats: bool = True, value: str = "longValue") -> DataFrame:
     """Mean, least, greatest and population deviation of the readings that touch a
     block, and minutes below 60, from 60 to 100, and from 100 beats on by overlap."""

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalise_customer, parse_dayfirst, parse_iso_ts
+from ..functions.scalars import apply_tz_offset, epoch_ms_to_ts, normalise_customer, parse_dayfirst, parse_iso_ts, with_day_hour, with_duration
 
 VALUES = "doubleValue double, longValue long, booleanValue boolean, dateValue string, stringValue string"
 REST = "valueType string, createdAt long, source string, trustworthiness string, medicalGrade string, generation string"
@@ -56,6 +56,13 @@ def read_epochs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EPOCHS).option("header", True).option("encoding", "ISO-8859-1").csv(path)
 
 
+def clean_epochs(epochs: DataFrame, unit: str = "ms") -> DataFrame:
+    """Raw records with normal ids, local times, duration, day and hour, as one projection."""
+    rows = epochs.drop(*[c.split()[0] for c in REST.split(", ")])
+    rows = rows.withColumns({"customer": normalise_customer("customer")} | {c: epoch_ms_to_ts(c) for c in ("startTimestamp", "endTimestamp")})
+    return with_day_hour(with_duration(apply_tz_offset(rows, unit)))
+
+
 def read_backups(spark: SparkSession, path: str) -> DataFrame:
     """Backup CSVs with ISO-8601 times; ``date`` and ``index`` from ``*_<date>_<n>.csv``."""
     name = F.col("_metadata.file_name")
@@ -116,10 +123,11 @@ def read_weather(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dataset(df: DataFrame, path: str, mode: str = "append", ts: str = "startTimestamp") -> None:
-    """Sensor store: partitioned by type and day, so that both prune; rows of a
-    customer lie together and in time order within a file."""
-    day = df.withColumn("day", F.to_date(ts))
-    day.repartition("type", "day").sortWithinPartitions("type", "day", "customer", ts).write.mode(mode).partitionBy("type", "day").parquet(path)
+    """Sensor store: partitioned by type and day, so that both prune; within a file rows
+    lie by customer and time.  The rows of a type and day go to as many tasks and files
+    as their size asks for."""
+    day = df.withColumn("day", F.to_date(ts)).hint("rebalance", "type", "day")
+    day.sortWithinPartitions("type", "day", "customer", ts).write.mode(mode).partitionBy("type", "day").parquet(path)
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:

@@ -1,15 +1,12 @@
-"""Structured Streaming forms of ingest, availability, block features and alerts."""
+"""Structured Streaming forms of availability and block features."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.availability import type_value
+from ..operators.sensors import reading_features, usable_readings
 
 
 def clean_stream(rows: DataFrame, lateness: str = "2 days") -> DataFrame:
@@ -17,20 +14,6 @@ def clean_stream(rows: DataFrame, lateness: str = "2 days") -> DataFrame:
     return rows.withWatermark("startTimestamp", lateness).dropDuplicatesWithinWatermark(["customer", "type", "startTimestamp"])
 
 
-def stream_ingest(spark: SparkSession, source: str, target: str, checkpoint: str, schema, lateness: str = "2 days"):
-    """Appends new rows of Parquet files under ``source`` to the store, once each."""
-    rows = clean_stream(spark.readStream.schema(schema).parquet(source), lateness)
-    return (
-        rows.withColumn("day", F.to_date("startTimestamp"))
-        .writeStream.format("parquet")
-        .partitionBy("type", "day")
-        .option("path", target)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def stream_hourly_availability(sensor: DataFrame, lateness: str = "2 hours") -> DataFrame:
     """Presence per customer, type and tumbling hour; append mode."""
     w = F.window("startTimestamp", "1 hour")
@@ -38,42 +21,29 @@ def stream_hourly_availability(sensor: DataFrame, lateness: str = "2 hours") ->
     return hours.select("customer", "type", F.col("window.start").alias("hour_start"), "available")
 
 
-def stream_block_features(readings: DataFrame, prompts: DataFrame, hours: int = 2, lateness: str = "1 hour") -> DataFrame:
-    """Readings in the hours before a prompt, joined as streams: both watermarks and
-    the time range bound the state.  Aggregate per block downstream."""
-    r = readings.select(F.col("customer").alias("r_customer"), F.col("startTimestamp").alias("r_time"), "longValue").withWatermark("r_time", lateness)
+def stream_block_features(readings: DataFrame, prompts: DataFrame, hours: float = 2, lateness: str = "1 hour", longest: str = "1 day") -> DataFrame:
+    """Heart-rate, step and activity features of the hours before each prompt, as
+    streams; append mode.  ``readings`` are sensor records, ``prompts`` have customer,
+    unique_blocks and sensor_block_end.
+
+    Prompts are joined with the records that overlap their block, outer, so that those
+    without any come out with -1, and a second stateful step aggregates a block.  A
+    block is told once both watermarks have passed all that could still reach it.
+    State is bounded by ``lateness``, ``hours`` and ``longest``, the duration of the
+    longest record: one that began earlier than that before a block does not reach it.
+    """
+    reach = f"INTERVAL {int(hours * 3600)} SECONDS"
+    r = usable_readings(readings).withColumnRenamed("customer", "r_customer").withWatermark("startTimestamp", lateness)
     p = prompts.select("customer", "unique_blocks", "sensor_block_end").withWatermark("sensor_block_end", lateness)
-    near = (
+    end, begin = F.col("sensor_block_end"), F.col("sensor_block_end") - F.expr(reach)
+    touches = (
         (F.col("r_customer") == F.col("customer"))
-        & (F.col("r_time") >= F.col("sensor_block_end") - F.expr(f"INTERVAL {int(hours)} HOURS"))
-        & (F.col("r_time") <= F.col("sensor_block_end"))
-    )
-    return r.join(p, near).select("customer", "unique_blocks", "sensor_block_end", "r_time", "longValue")
-
-
-ALERTS = "customer string, kind string, last_seen timestamp"
-
-
-def stream_interruptions(sensor: DataFrame, days: int = 7, lateness: str = "1 day") -> DataFrame:
-    """An alert when a customer's GPS or passive data has been silent for ``days`` of
-    event time.  State is one time per customer and kind."""
-    rows = sensor.withWatermark("startTimestamp", lateness).select(
-        "customer", F.when(F.col("type").isin("Latitude", "Longitude"), "GPS").otherwise("passive").alias("kind"), "startTimestamp"
+        & (F.col("startTimestamp") <= end)
+        & (F.col("startTimestamp") >= end - F.expr(reach) - F.expr(f"INTERVAL '{longest}'"))
+        & (F.col("endTimestamp") >= begin)
+        & (F.col("endTimestamp") >= F.col("startTimestamp"))
     )
-    span = pd.Timedelta(days=days)
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (seen,) = state.get
-            state.remove()
-            yield pd.DataFrame({"customer": [key[0]], "kind": [key[1]], "last_seen": [pd.Timestamp(seen, unit="us")]})
-            return
-        last = max(b["startTimestamp"].max() for b in batches)
-        micros = int(last.value // 1000)
-        if state.exists:
-            micros = max(micros, state.get[0])
-        state.update((micros,))
-        due = micros // 1000 + int(span.total_seconds() * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-
-    return rows.groupBy("customer", "kind").applyInPandasWithState(watch, ALERTS, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    micros = F.unix_micros(F.least("endTimestamp", "sensor_block_end")) - F.unix_micros(F.greatest(F.col("startTimestamp"), begin))
+    pairs = p.join(r, touches, "left_outer").withColumn("overlap_seconds", micros / F.lit(1_000_000.0))
+    features = [c.alias(n) for n, c in reading_features().items()]
+    return pairs.groupBy("customer", "unique_blocks", "sensor_block_end").agg(*features)

@@ -1,14 +1,15 @@
 """Readers, writers, streams and the end-to-end jobs."""
 
 import datetime
-import time
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.jobs import fixtures, pipelines
-from pulsegrid.operators import availability, sensors
+from pulsegrid.operators import availability, monitoring, relational
 from pulsegrid.sources import readers
-from pulsegrid.streaming import streams
+from pulsegrid.streaming import alerts, ingest, streams
 
 EPOCH = "customer,type,startTimestamp,endTimestamp,timezoneOffset,doubleValue,longValue,booleanValue,dateValue,stringValue,valueType,createdAt,source,trustworthiness,medicalGrade,generation\n"
 
@@ -68,47 +69,132 @@ def finished(query):
     query.stop()
 
 
-def test_streams_equal_batch(spark, sf, tmp_path):
+def test_hourly_stream_equals_batch(spark, sf, tmp_path):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     sensor = fixtures.sensor(spark, sf).unionByName(fixtures.sensor(spark, sf).limit(20))
     source = f"{tmp_path}/in"
     sensor.repartition(3).write.parquet(source)
-    q = streams.stream_ingest(spark, source, f"{tmp_path}/out", f"{tmp_path}/ck", sensor.schema, "60 days")
-    q.awaitTermination(120)
-    assert spark.read.parquet(f"{tmp_path}/out").count() == sensor.dropDuplicates(["customer", "type", "startTimestamp"]).count()
-
     stream = spark.readStream.schema(sensor.schema).parquet(source)
     hours = streams.stream_hourly_availability(stream, "60 days").writeStream.outputMode("update").format("memory").queryName("hours").start()
     finished(hours)
     batch = availability.hourly_presence(sensor).count()
     assert spark.table("hours").dropDuplicates(["customer", "type", "hour_start"]).count() == batch
 
-    beats = sensors.filter_types(sensor, ["HeartRate"]).dropDuplicates(["customer", "startTimestamp"])
-    beats.repartition(1).write.parquet(f"{tmp_path}/hr")
-    prompts = fixtures.blocks(spark, sf)
-    prompts.repartition(1).write.parquet(f"{tmp_path}/prompts")
-    joined = streams.stream_block_features(
-        spark.readStream.schema(beats.schema).parquet(f"{tmp_path}/hr"), spark.readStream.schema(prompts.schema).parquet(f"{tmp_path}/prompts"), hours=24, lateness="60 days"
-    )
-    finished(joined.writeStream.format("memory").queryName("near").start())
-    r, b = beats.alias("r"), prompts.alias("b")
-    want = r.join(b, (F.col("r.customer") == F.col("b.customer")) & F.col("r.startTimestamp").between(F.col("b.sensor_block_start"), F.col("b.sensor_block_end"))).count()
-    assert spark.table("near").count() == want
-
-
-def test_stream_interruptions(spark, tmp_path):
-    rows = lambda *x: spark.createDataFrame([(c, t, datetime.datetime(2024, 1, d)) for c, t, d in x], "customer string, type string, startTimestamp timestamp")
-    first = rows(("a", "Latitude", 1), ("b", "HeartRate", 1), ("b", "HeartRate", 2))
-    source = f"{tmp_path}/in"
-    first.coalesce(1).write.parquet(source)
-    stream = spark.readStream.schema(first.schema).parquet(source)
-    q = streams.stream_interruptions(stream).writeStream.outputMode("append").format("memory").queryName("alerts").option("checkpointLocation", f"{tmp_path}/ck").start()
-    q.processAllAvailable()
-    assert spark.table("alerts").count() == 0
-    rows(("b", "HeartRate", 8), ("c", "Steps", 20)).coalesce(1).write.mode("append").parquet(source)
-    q.processAllAvailable()
-    time.sleep(1)
-    rows(("c", "Steps", 21)).coalesce(1).write.mode("append").parquet(source)
-    finished(q)
-    got = {(r.customer, r.kind, r.last_seen.day) for r in spark.table("alerts").collect()}
-    assert got == {("a", "GPS", 1), ("b", "passive", 8)}
+
+RAW = readers.EPOCHS
+MORNING = datetime.datetime(2024, 1, 5, 8, tzinfo=datetime.timezone.utc)
+
+
+def raw_rows(spark, rows):
+    """(customer, type, minutes after the morning, value) as raw records."""
+    at = lambda m: int(MORNING.timestamp() * 1000) + 60_000 * m
+    full = [(f"{c}@x", t, at(m), at(m + 5), 0, float(v), v, *[None] * 3, *[None] * 6) for c, t, m, v in rows]
+    return spark.createDataFrame(full, RAW)
+
+
+def ingested(spark, source, target, checkpoint, roster, lateness="2 days"):
+    return ingest.stream_ingest(spark.readStream.schema(RAW).parquet(source), roster, target, checkpoint, lateness)
+
+
+def as_set(df):
+    return sorted(map(str, df.select("customer", "type", "startTimestamp", "endTimestamp", "start_end", "longValue", "status").collect()))
+
+
+def test_killed_ingest_goes_on_where_it_was(spark, tmp_path, monkeypatch):
+    source, target, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "ck"))
+    roster = spark.createDataFrame([("aaaa", "s"), ("bbbb", "t"), ("idle", "u")], "customer string, status string")
+    parts = [[("aaaa", "Steps", m, m) for m in range(0, 60, 5)] + [("gone", "Steps", 1, 1), ("aaaa", None, 3, 3)],
+             [("aaaa", "Steps", m, m) for m in range(30, 90, 5)] + [("bbbb", "HeartRate", 10, 9), ("bbbb", "HeartRate", 10, 8), ("aaaa", None, 3, 3)]]
+    raw_rows(spark, parts[0]).coalesce(1).write.parquet(source)
+    ingested(spark, source, target, checkpoint, roster).awaitTermination()
+    raw_rows(spark, parts[1]).coalesce(1).write.mode("append").parquet(source)
+    with monkeypatch.context() as m:  # ends after the store is written, before the batch is closed
+        m.setattr(ingest, "close_batch", lambda *a: 1 / 0)
+        with pytest.raises(Exception):
+            ingested(spark, source, target, checkpoint, roster).awaitTermination()
+    half = ingest.read_store(spark, target)
+    assert half.count() == 13 and half.where("batch > 0").count() == 0
+    ingested(spark, source, target, checkpoint, roster).awaitTermination()
+    everything = raw_rows(spark, parts[0] + parts[1])
+    want = pipelines.ingest(everything, roster).where("startTimestamp is not null")
+    want = relational.dedupe(want, ingest.KEY, ["longValue"])
+    assert as_set(ingest.read_store(spark, target)) == as_set(want)
+    done = {r.batch: (r.stored, r.repeated, r.late) for r in ingest.read_done(spark, target).collect()}
+    assert done == {0: (13, 0, 0), 1: (7, 8, 0)}
+
+
+def test_late_records_are_kept_aside(spark, tmp_path):
+    source, target, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "ck"))
+    roster = spark.createDataFrame([("aaaa", "s")], "customer string, status string")
+    for rows in ([("aaaa", "Steps", 500, 1)], [("aaaa", "Steps", 0, 2), ("aaaa", "Steps", 0, 3), ("aaaa", "Steps", 400, 4)], []):
+        raw_rows(spark, rows).coalesce(1).write.mode("append").parquet(source)
+        ingested(spark, source, target, checkpoint, roster, "2 hours").awaitTermination()
+    assert sorted(r.longValue for r in ingest.read_store(spark, target).collect()) == [1, 4]
+    assert sorted(r.longValue for r in ingest.read_late(spark, target).collect()) == [2, 3]
+
+
+def test_store_of_nothing(spark, tmp_path):
+    source, target = f"{tmp_path}/in", f"{tmp_path}/out"
+    raw_rows(spark, []).coalesce(1).write.parquet(source)
+    ingested(spark, source, target, f"{tmp_path}/ck", spark.createDataFrame([("aaaa", "s")], "customer string, status string")).awaitTermination()
+    assert ingest.read_store(spark, target).count() == 0 and ingest.read_late(spark, target).count() == 0
+
+
+def test_a_type_and_day_takes_several_files(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("cast(id % 50 as string) customer", "'Steps' type", "timestamp'2024-01-05' + make_interval(0, 0, 0, 0, 0, 0, id % 80000) startTimestamp", "uuid() note")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128k")
+    try:
+        readers.write_dataset(rows.repartition(8), f"{tmp_path}/store")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", before)
+    back = readers.read_dataset(spark, f"{tmp_path}/store")
+    assert back.count() == 40_000 and len(back.inputFiles()) > 2
+
+
+READING = "customer string, type string, startTimestamp timestamp, endTimestamp timestamp, doubleValue double, longValue long"
+
+
+def test_block_stream_tells_blocks_without_readings(spark, tmp_path):
+    t = lambda h, m=0: datetime.datetime(2024, 1, 5, h, m)
+    readings = [("a", "HeartRate", t(9), t(9, 10), None, 50), ("a", "HeartRate", t(9, 50), t(10, 10), None, 70), ("a", "HeartRate", t(5), t(5, 1), None, 90), ("a", "Steps", t(7, 30), t(8, 30), 60.0, None), ("b", "HeartRate", t(9), t(9), None, 300)]
+    prompts = [("a", "a1", t(10)), ("b", "b1", t(10)), ("c", "c1", t(11))]
+    parts = [(readings[:3], prompts[:2]), (readings[3:], prompts[2:]), ([("z", "HeartRate", t(23), t(23), None, 60)], [("z", "z1", t(23))])]
+    for i, (r, p) in enumerate(parts):
+        spark.createDataFrame(r, READING).coalesce(1).write.mode("append").parquet(f"{tmp_path}/r")
+        spark.createDataFrame(p, "customer string, unique_blocks string, sensor_block_end timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+        read = lambda n, s: spark.readStream.schema(s).parquet(f"{tmp_path}/{n}")
+        found = streams.stream_block_features(read("r", READING), read("p", "customer string, unique_blocks string, sensor_block_end timestamp"), 2, "4 hours", "2 hours")
+        found.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    got = {r.unique_blocks: r for r in spark.read.schema(found.schema).parquet(f"{tmp_path}/out").collect()}
+    assert set(got) == {"a1", "b1", "c1"}
+    assert (got["a1"].hr_mean, got["a1"].hr_zone_resting, got["a1"].hr_zone_moderate, got["a1"].n_steps) == (60, 10, 10, 30)
+    assert (got["b1"].hr_mean, got["b1"].n_steps, got["c1"].hr_mean, got["c1"].activity_102_minutes) == (-1, -1, -1, -1)
+
+
+def test_alerts_equal_the_batch_after_every_run(spark, tmp_path):
+    rng = random.Random(3)
+    schema = "customer string, type string, startTimestamp timestamp"
+    people = spark.createDataFrame([(f"c{i}", f"F{i}", "Erhebung_1_aktiv" if i % 5 else "Dropout") for i in range(14)], "customer string, for_id string, status string")
+    at, fed, told, ended = datetime.datetime(2024, 1, 1), [], set(), set()
+    for _ in range(5):
+        at += datetime.timedelta(days=4)
+        rows = [(f"c{rng.randrange(16)}", rng.choice(["Latitude", "HeartRate", "Steps"]), at - datetime.timedelta(hours=rng.randrange(96))) for _ in range(14)]
+        rows = [r for r in rows if r[0] != "c1"] + [("c15", "Latitude", at), ("c1", "Latitude", at)]
+        rows += [("c1", "HeartRate", at)] if not fed else []  # a watch that was worn at first
+        fed += rows
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = alerts.stream_interruptions(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), people, 3, "1 day", no_watch=("F3",), no_gps=("F4",))
+        log = lambda df, batch: df.write.mode("overwrite").parquet(f"{tmp_path}/log/batch={batch}")
+        with alerts.rocks(spark):
+            stream.writeStream.foreachBatch(log).outputMode("update").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+        changes = spark.read.schema(alerts.CHANGES).parquet(f"{tmp_path}/log")
+        got = {(r.customer, r.for_id, r.category) for r in alerts.current_alerts(changes).collect()}
+        clock = (max(r[2] for r in fed) - datetime.timedelta(days=1)).replace(hour=0)
+        sensor = spark.createDataFrame(fed, schema)
+        table = people.where("status != 'Dropout'").join(availability.last_seen(sensor, ["Latitude"], "last_day_GPS"), "customer", "left").join(availability.last_seen(sensor, ["HeartRate"], "last_day_passive"), "customer", "left")
+        want = monitoring.interruptions(table, clock - datetime.timedelta(days=3), ["F3"], ["F4"])
+        assert got == {tuple(r) for r in want.collect()}
+        told |= {c for _, _, c in got}
+        ended |= {r.customer for r in changes.where("category is null").collect()}
+    assert told == {"no_pd", "no_gps", "no_gpspd", "no_gps_at_all"} and ended
