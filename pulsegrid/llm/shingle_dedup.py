@@ -9,16 +9,15 @@ bands with a chance of 0.672^40, about 1 in 8 million.
 
 Components are the same whether all candidates are verified or only enough to
 connect them, so each band's members first meet its best connected member alone: a
-large group of near copies costs pairs in proportion to its size.  Only members that
-are still in different components are compared with each other, by sketches of 4
-bits of every min-hash: a pair at 0.8 agrees in 162 of 200 with a deviation of 5.5,
-so fewer than AGREE are no candidates (1 pair in 300,000 at 0.8 exactly).  Texts with
-such members have finer sketches of 1,024 min-hashes, where a pair at 0.8 agrees in 832
-with a deviation of 12.5, and one at 0.7 passes in 1 of 400 cases.  In a band of
-more than GROUP such members (a passage that many texts share) only those are compared
-that share a second band of this kind, as a pair at 0.8 shares a single band with a
-chance of 1 in 400,000.  What is left grows with the square of a group only where many
-texts are all nearly 0.8 alike and none is near.
+large group of near copies costs pairs in proportion to its size.  Members of bands
+that are then still in different components are compared by an exact prefix filter,
+whatever the size of the band: shingles are ordered by how many of these texts have
+them, rarest first, those within one component before all others.  Of a pair at 0.8
+the smaller text (n shingles) has one of its first n / 9 + 1 among the first n / 5 + 1
+of the larger one, at places that leave room for the overlap asked for.  Texts that
+share a passage but are not near have rarer shingles of their own to fill these
+places, so they make no pairs.  No pair is passed over: what shares a band is
+compared by its shingles, not by samples of them.
 """
 
 from __future__ import annotations
@@ -38,13 +37,6 @@ from .simhash_dedup import text_hash
 
 #: Words of a shingle, least similarity as a fraction, bands and min-hashes of a band.
 SHINGLE, LEAST, BANDS, ROWS = 5, (4, 5), 40, 5
-#: Min-hashes in which sketches of candidates agree, and longs of a sketch.
-AGREE, LONGS = 137, -(-BANDS * ROWS // 16)
-#: The same of the finer sketches.
-FINE, FINE_AGREE = 1024, 776
-#: Members of a band that are compared with each other outright: at some 10 ns a
-#: comparison, a member costs no more than a twentieth of its min-hashes.
-GROUP = 2_000
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _RNG = np.random.default_rng(42)
@@ -52,11 +44,9 @@ _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | 1).astype(np.uint32)[
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, None]
 _ODD = _RNG.integers(0, 1 << 63, max(SHINGLE, ROWS), np.uint64) * 2 + 1
 _BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
-_FINE_A = (_RNG.integers(0, 1 << 32, FINE, np.uint64) | 1).astype(np.uint32)[:, None]
-_FINE_B = _RNG.integers(0, 1 << 32, FINE, np.uint64).astype(np.uint32)[:, None]
 #: Shingles that are min-hashed at once.
 _CHUNK = 512
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("sketch", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -89,37 +79,29 @@ def _shingle_hashes(words: list[bytes]) -> np.ndarray:
 def _least(own: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Min-hashes of a set of hashes."""
     high = (own >> np.uint64(32)).astype(np.uint32)
-    least, chunk = np.full(len(a), 0xFFFFFFFF, np.uint32), _CHUNK * BANDS * ROWS // len(a)
-    for at in range(0, len(high), chunk):
-        np.minimum(least, (high[at : at + chunk] * a + b).min(1), out=least)
+    least = np.full(len(a), 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(high), _CHUNK):
+        np.minimum(least, (high[at : at + _CHUNK] * a + b).min(1), out=least)
     return least
 
 
-def _sketch(least: np.ndarray) -> np.ndarray:
-    """4 bits of every min-hash, well mixed (the least values have uneven ones)."""
-    nibbles = np.zeros(-(-len(least) // 16) * 16, np.uint64)
-    nibbles[: len(least)] = (least * np.uint32(0x9E3779B1)) >> np.uint32(28)
-    return (nibbles.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
-
-
-def signature(text: str) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Number of distinct shingles, SimHash fingerprint, the sketch, and the bands' keys."""
+def signature(text: str) -> tuple[int, int, np.ndarray]:
+    """Number of distinct shingles, SimHash fingerprint, and the bands' keys."""
     words = _words(text)
     hashes = _shingle_hashes(words)
     own, fp = np.unique(hashes), simhash_dedup.majority(hashes) if words else 0
     least = _least(own, _A, _B)
     keys = (least.reshape(BANDS, ROWS) * _ODD[:ROWS]).sum(1, dtype=np.uint64)
-    return len(own), fp - (fp >> 63 << 64), _sketch(least), _mixed(_mixed(keys) + _BAND).view(np.int64)
-
-
-def fine_sketch(text: str) -> np.ndarray:
-    return _sketch(_least(np.unique(_shingle_hashes(_words(text))), _FINE_A, _FINE_B))
+    return len(own), fp - (fp >> 63 << 64), _mixed(_mixed(keys) + _BAND).view(np.int64)
 
 
-def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text_hash and the hashes of the distinct shingles."""
     for batch in batches:
-        fine = _lists([fine_sketch(t.as_py()) for t in batch.column(1)], FINE // 16)
-        yield pa.RecordBatch.from_arrays([batch.column(0), fine], ["text_hash", "fine"])
+        own = [np.unique(_shingle_hashes(_words(t.as_py()))).view(np.int64) for t in batch.column(1)]
+        ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["text_hash", "shingles"])
 
 
 def _lists(rows: list[np.ndarray], width: int) -> pa.Array:
@@ -129,14 +111,13 @@ def _lists(rows: list[np.ndarray], width: int) -> pa.Array:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, fps, sketches, keys = [], [], [], []
+        counts, fps, keys = [], [], []
         for text in batch.column(2):
-            n, fp, sketch, bands = signature(text.as_py())
-            sketches.append(sketch)
+            n, fp, bands = signature(text.as_py())
             counts.append(n)
             fps.append(fp)
             keys.append(bands)
-        yield common.to_batch(_SIGNED, [batch.column(0), batch.column(1), counts, fps, _lists(sketches, LONGS), _lists(keys, BANDS)])
+        yield common.to_batch(_SIGNED, [batch.column(0), batch.column(1), counts, fps, _lists(keys, BANDS)])
 
 
 def near(a: set[bytes], b: set[bytes]) -> bool:
@@ -182,51 +163,48 @@ def _by_fingerprint(signed: DataFrame) -> DataFrame:
     return same.unionByName(close.join(u, "u").join(v, "v").select("a", "b"))
 
 
-def _differ(a, b):
-    """Groups of 4 bits that differ."""
-    x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftright(x, 1))
-    return F.bit_count(x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
-
-
-def _agree(one: list[str], other: list[str]):
-    """Min-hashes whose bits in two sketches are equal."""
-    differ = F.lit(0)
-    for a, b in zip(one, other):
-        differ = differ + _differ(F.col(a), F.col(b))
-    return F.lit(BANDS * ROWS) - differ
-
-
-def _agree_finely(one: str, other: str):
-    return F.lit(FINE) - F.aggregate(F.zip_with(one, other, _differ), F.lit(0), lambda a, x: a + x)
-
-
-def _pairs(named: DataFrame, sketches: DataFrame, once: bool = True) -> DataFrame:
-    """a, b: members of one key in different components, of similar sizes and sketches;
-    with ``once`` members of several keys (BANDS at most) meet in one of them alone."""
-    one, two = ([f"{x}{i}" for i in range(LONGS)] for x in ("s", "t"))
-    short = F.shiftright("key", 32).cast("int")
-    keys = named.groupBy("text_hash").agg(F.collect_set(short if once else F.lit(None).cast("int")).alias("keys"))
-    held = named.join(keys, "text_hash").join(sketches, "text_hash")
-    held = common.stored(held.select("key", "text_hash", "n", "root", "keys", "fine", *[F.col("sketch")[i].alias(c) for i, c in enumerate(one)]), "near-sketches")
-    other = held.toDF("key", "b", "m", "other", "others", "finer", *two)
-    apart = (F.col("text_hash") < F.col("b")) & (F.col("root") != F.col("other"))
-    here = F.array_min(F.array_intersect("keys", "others")) == F.shiftright(held["key"], 32).cast("int")
-    close = apart & _similar_sizes("n", "m") & (_agree(one, two) >= AGREE)
-    finely = _agree_finely("fine", "finer") >= FINE_AGREE  # the dearest comes last
-    met = held.join(other, (held["key"] == other["key"]) & (close & here & finely if once else close & finely))
-    return met.select(F.col("text_hash").alias("a"), "b").distinct()
-
-
-def _mixed_keys(named: DataFrame) -> DataFrame:
-    """key, size: keys with members in different components."""
-    return named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
-
-
-def links(rows: DataFrame, signed: DataFrame, group: int = GROUP) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """a, b: all pairs of ``texts`` (text_hash, n, root) that may be near and have
+    different roots.  ``rows``: text_hash, text."""
+    least, of = LEAST
+    asked = common.small(texts.select("text_hash"))
+    own = rows.join(asked, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text")).mapInArrow(_shingled, "text_hash long, shingles array<long>")
+    held = common.stored(own.join(common.small(texts), "text_hash").select("text_hash", "n", "root", F.explode("shingles").alias("shingle")), "near-shingles")
+    # A pair of two components shares only shingles that both have.
+    shared = held.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low < high")
+    ranked = held.join(shared.select("shingle", "size"), "shingle").groupBy("text_hash", "n", "root")
+    ranked = ranked.agg(F.array_sort(F.collect_list(F.struct("size", "shingle"))).alias("held"))
+    before = F.col("n") - F.size("held")  # shingles that come first: of one component alone
+    n = F.col("n")
+    probed, indexed = (n - F.ceil(n * a / b) + 1 for a, b in ((least, of), (2 * least, least + of)))
+    first = F.slice("held", F.lit(1), F.greatest(F.lit(0), probed - before).cast("int"))
+    entries = ranked.select("text_hash", "n", "root", before.alias("before"), indexed.alias("indexed"), F.posexplode(first).alias("at", "entry"))
+    place = F.col("before") + F.col("at")
+    entries = entries.select("text_hash", "n", "root", "entry.shingle", place.alias("place"), (place < F.col("indexed")).alias("index"))
+    entries = common.stored(entries, "near-prefixes")
+    # Components that meet at a shingle come first, so that members of one component,
+    # however many, are never paired with each other.
+    ends = entries.groupBy("shingle", "root").agg(F.max("index").alias("index"))
+    one, two = ends.where("index").select("shingle", F.col("root").alias("left")), ends.select("shingle", F.col("root").alias("right"))
+    meet = one.join(two, "shingle").where("left != right")
+    small = entries.where("index").select("shingle", F.col("text_hash").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("left"), F.col("place").alias("at_a"))
+    large = entries.select("shingle", F.col("text_hash").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("right"), F.col("place").alias("at_b"))
+    in_order = F.struct("n_a", "a") < F.struct("n_b", "b")
+    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) * (least + of) >= (F.col("n_a") + F.col("n_b")) * least
+    met = small.join(meet, ["shingle", "left"]).join(large, ["shingle", "right"]).where(in_order & room & _similar_sizes("n_a", "n_b"))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _mixed_members(named: DataFrame) -> DataFrame:
+    """text_hash, n, root: members of keys whose members are in different components."""
+    keys = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return named.join(keys, "key", "left_semi").select("text_hash", "n", "root").distinct()
+
+
+def links(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """u, v: near pairs that connect all texts that near pairs connect.
 
-    ``rows``: text_hash, text.  ``signed``: text_hash, n, fp, sketch, bands; one row a text."""
+    ``rows``: text_hash, text.  ``signed``: text_hash, n, fp, bands; one row a text."""
     each = signed.select(F.explode("bands").alias("key"), "text_hash", "n")
     shared = each.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = common.stored(each.join(shared, "key"), "near-members")
@@ -238,33 +216,27 @@ def links(rows: DataFrame, signed: DataFrame, group: int = GROUP) -> DataFrame:
     found = _verify(first, rows)
     roots = components(found).select(F.col("node").alias("text_hash"), "root")
     named = members.drop("size").join(roots, "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
-    named = common.stored(named, "near-members")
-    named = common.stored(named.join(_mixed_keys(named), "key"), "near-mixed")
-    asked = common.small(common.stored(named.select("text_hash").distinct(), "near-asked"))
-    texts = rows.join(asked, "text_hash", "left_semi").groupBy("text_hash").agg(F.min("text").alias("text"))
-    fine = common.stored(texts.mapInArrow(_fine, "text_hash long, fine array<long>"), "near-fine")
-    sketches = signed.select("text_hash", "sketch").join(fine, "text_hash")
-    rest = _pairs(named.where(F.col("size") <= group), sketches)
-    large = named.where(F.col("size") > group).drop("size")
-    if not large.isEmpty():
-        again = large.select(F.col("key").alias("second"), "text_hash")
-        double = large.join(again, "text_hash").where("key < second").select(F.xxhash64("key", "second").alias("key"), "text_hash", "n", "root")
-        double = common.stored(double, "near-doubles")
-        rest = rest.unionByName(_pairs(double.join(_mixed_keys(double), "key"), sketches, once=False)).distinct()
-    rest = common.stored(rest.join(first, ["a", "b"], "left_anti"), "near-pairs")
+    mixed = common.stored(_mixed_members(named), "near-mixed")
+    rest = common.stored(_prefix_pairs(mixed, rows).join(first, ["a", "b"], "left_anti"), "near-pairs")
     return found.unionByName(_verify(rest, rows))
 
 
-def near_rows(docs: DataFrame, group: int = GROUP) -> DataFrame:
+def near_rows(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, rows, kept: every id and text hash, how many rows have both,
     and whether it stands for its component over near pairs: the one of the smallest
     doc_id (null only where there is no other), of several texts under it that of the
-    least hash."""
+    least hash.
+
+    A null text counts as empty.  Empty texts and those of white space alone have one
+    shingle, the empty one, so that they are one group of which one row stays; texts of
+    fewer than five words are one shingle.  Texts of any length are compared whole.
+    Rows that share id and text are one row here, with their number as ``rows``.  An
+    empty table gives no rows; other columns are not read."""
     rows = common.texts(docs).select("doc_id", text_hash("text"), "text")
-    signed = common.stored(rows.mapInArrow(_signatures, "doc_id long, text_hash long, n long, fp long, sketch array<long>, bands array<long>"), "shingles")
+    signed = common.stored(rows.mapInArrow(_signatures, "doc_id long, text_hash long, n long, fp long, bands array<long>"), "shingles")
     counted = common.stored(signed.groupBy("text_hash", "doc_id").agg(F.count("*").alias("rows")), "near-rows")
-    texts = signed.groupBy("text_hash").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
-    roots = components(links(rows.select("text_hash", "text"), common.stored(texts, "near-texts"), group))
+    texts = signed.groupBy("text_hash").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    roots = components(links(rows.select("text_hash", "text"), common.stored(texts, "near-texts")))
     named = counted.join(roots.withColumnRenamed("node", "text_hash"), "text_hash", "left").withColumn("root", F.coalesce("root", "text_hash"))
     named = common.stored(named, "near-named")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")

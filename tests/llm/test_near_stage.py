@@ -67,30 +67,49 @@ def test_planted_near_copies_go(spark):
     assert sorted(r.doc_id for r in out.collect()) == wanted(rows)
 
 
-def test_large_bands(spark):
-    """Bands beyond the limit are compared by pairs of bands, and a fingerprint alone
-    links nothing: texts of one repeated shingle differ by their sets."""
+def test_shared_passages(spark):
+    """Texts that share a passage and are not near, every second with a copy at 0.8 to
+    0.9, and texts of one repeated shingle, which differ by their sets."""
     rng = random.Random(12)
     word = lambda: f"{rng.choice(data.WORDS)}{rng.randrange(500)}"
     passage = [word() for _ in range(150)]
     texts = []
-    for _ in range(12):  # share a passage; every second has a copy at 0.8 to 0.9
+    for _ in range(12):
         own = passage + [word() for _ in range(90)]
         texts += [" ".join(own), " ".join(own[:-12] + [word() for _ in range(12)])]
     texts += [("a b c d e " * 60) + " ".join(word() for _ in range(8)) for _ in range(3)]
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
-    near = shingle_dedup.near_rows(spark.createDataFrame(rows, data.SCHEMA), group=3)
+    near = shingle_dedup.near_rows(spark.createDataFrame(rows, data.SCHEMA))
     assert sorted(r.doc_id for r in near.where("kept").collect()) == wanted(rows)
 
 
-def test_agreement_of_sketches(spark):
-    rng = random.Random(2)
-    longs = shingle_dedup.LONGS
-    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(2 * longs)] for _ in range(20)] + [[5] * (2 * longs)]
-    names = [[f"{x}{i}" for i in range(longs)] for x in "st"]
-    got = [r[0] for r in spark.createDataFrame(rows, ", ".join(f"{c} long" for c in sum(names, []))).select(shingle_dedup._agree(*names)).collect()]
-    nibbles = lambda xs: [x >> i & 15 for x in xs for i in range(0, 64, 4)]
-    assert got == [200 - sum(a != b for a, b in zip(nibbles(r[:longs]), nibbles(r[longs:]))) for r in rows]
+def test_prefixes_miss_no_pair(spark):
+    """Every pair at 0.8 or more of different components, whatever the components are."""
+    rng = random.Random(5)
+    pool = [[str(rng.randrange(60)) for _ in range(rng.randrange(20, 40))] for _ in range(6)]
+    texts = set()
+    for _ in range(200):
+        words = rng.choice(pool)[:]
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = str(rng.randrange(60))
+        texts.add(" ".join(words[: len(words) - rng.randrange(4)]))
+    texts = sorted(texts)
+    size = [shingle_dedup.signature(t)[0] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "text_hash long, text string")
+    for roots in ([i for i in range(len(texts))], [rng.randrange(5) for _ in texts]):
+        named = spark.createDataFrame(list(zip(range(len(texts)), size, roots)), "text_hash long, n long, root long")
+        got = {(r.a, r.b) for r in shingle_dedup._prefix_pairs(named, rows).collect()}
+        high = {(i, j) for j in range(len(texts)) for i in range(j) if roots[i] != roots[j] and similarity(texts[i], texts[j]) >= 0.8}
+        assert len(high) > 50 and high <= got and all(roots[a] != roots[b] for a, b in got)
+
+
+def test_templates_make_no_pairs(spark):
+    """Texts of 220 words that share 180 of them: 0.69, so none is near."""
+    rng = random.Random(6)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(180))
+    rows = spark.createDataFrame([(i, passage + "".join(f" own{rng.randrange(10**9)}" for _ in range(40))) for i in range(300)], "text_hash long, text string")
+    named = spark.createDataFrame([(i, 216, i) for i in range(300)], "text_hash long, n long, root long")
+    assert shingle_dedup._prefix_pairs(named, rows).count() == 0
 
 
 def test_near_of_nothing(spark):
@@ -105,9 +124,4 @@ def test_bands_meet_at_the_limit():
             copy = [str(rng.random()) for _ in range(n // 9)] + words[n // 9 :]
             assert similarity(" ".join(words), " ".join(copy)) >= 0.8
             a, b = (shingle_dedup.signature(" ".join(x)) for x in (words, copy))
-            assert a[0] == b[0] == n and (a[3] == b[3]).any()
-            nibbles = [[x >> i & 15 for x in map(int, s[2]) for i in range(0, 64, 4)][:200] for s in (a, b)]
-            assert sum(x == y for x, y in zip(*nibbles)) >= shingle_dedup.AGREE
-            fine = (shingle_dedup.fine_sketch(" ".join(x)) for x in (words, copy))
-            nibbles = [[x >> i & 15 for x in map(int, f) for i in range(0, 64, 4)] for f in fine]
-            assert sum(x == y for x, y in zip(*nibbles)) >= shingle_dedup.FINE_AGREE
+            assert a[0] == b[0] == n and (a[2] == b[2]).any()
