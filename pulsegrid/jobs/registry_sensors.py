@@ -219,10 +219,25 @@ def _(spark, sf):
     return df.select("customer", stamp("startTimestamp").alias("at"), "cluster", "home", "at_home", "clusterID", "homeID")
 
 
-@query("g8_adaptive_kmeans", with_tables(f"SELECT customer, count(DISTINCT {_PLACE}) AS n_clusters, count(*) AS n FROM places GROUP BY 1", "places"))
+@query("g8_adaptive_kmeans", with_tables(f"m AS (SELECT *, min(ts) OVER (PARTITION BY customer, {_PLACE}) AS begun FROM places) SELECT customer, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, CAST(dense_rank() OVER (PARTITION BY customer ORDER BY begun) - 1 AS INT) AS cluster FROM m", "places"))
 def _(spark, sf):
-    df = gps.adaptive_kmeans(fx.places(spark, sf).drop("cluster"))
-    return df.groupBy("customer").agg(F.countDistinct("cluster").alias("n_clusters"), F.count("*").alias("n"))
+    return gps.adaptive_kmeans(fx.places(spark, sf).drop("cluster")).select("customer", stamp("startTimestamp").alias("at"), "cluster")
+
+
+#: Two spots 801 m apart: one centre is near enough to both only if neither has most visits.
+_SPOTS = "SELECT customer, id, ts, k % 8 < 3 AS off FROM ev"
+
+
+@query("g8_adaptive_kmeans_visits", with_tables(f"""v AS ({_SPOTS}), f AS (SELECT customer, avg(CAST(off AS INT)) AS share, {_hav('52.5', '13.4', '52.5072', '13.4')} AS d FROM v GROUP BY 1),
+    m AS (SELECT v.*, greatest(share, 1 - share) * d > 500 AND share BETWEEN 0.001 AND 0.999 AS two, min(ts) OVER (PARTITION BY customer, off) AS begun FROM v JOIN f USING (customer)),
+    r AS (SELECT *, dense_rank() OVER (PARTITION BY customer ORDER BY begun) - 1 AS number FROM m)
+    SELECT customer, id, CAST(CASE WHEN two THEN number ELSE 0 END AS INT) AS cluster FROM r"""))
+def _(spark, sf):
+    """The number of visits of a spot decides, though all its points are equal."""
+    e = fx.events(spark, sf)
+    lat = F.when(F.col("k") % 8 < 3, 52.5072).otherwise(52.5)
+    visits = e.select("customer", "id", F.col("ts").alias("startTimestamp"), lat.alias("Latitude"), F.lit(13.4).alias("Longitude"))
+    return gps.adaptive_kmeans(visits).select("customer", "id", "cluster")
 
 
 _HOME = """n AS (SELECT customer, cluster, count(*) AS n_all, count_if(hour(ts) >= 20 OR hour(ts) <= 6) AS n_night FROM places WHERE cluster <> -1 GROUP BY 1, 2),

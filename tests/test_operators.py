@@ -159,6 +159,41 @@ def test_adaptive_kmeans_stays_within_the_distance(spark):
         gps.extract_home(g, eps_m=0)
 
 
+def plain_kmeans(x, w, d_max, max_k):
+    """The same growth without bounds."""
+    c = np.average(x, axis=0, weights=w)[None]
+    own = np.zeros(len(x), int)
+    for k in range(1, max_k + 1):
+        far = gps._metres(x[:, 0], x[:, 1], c[own, 0], c[own, 1])
+        if far.max() <= d_max or k == min(max_k, len(x)):
+            return own
+        c = np.vstack([c, x[far.argmax()]])
+        own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        for _ in range(50):
+            new = np.array([np.average(x[own == i], axis=0, weights=w[own == i]) if (own == i).any() else c[i] for i in range(k + 1)])
+            moved, c = np.abs(new - c).max(), new
+            own = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+            if moved < 1e-12:
+                break
+
+
+def test_growing_kmeans_equals_the_plain_one():
+    rng = np.random.default_rng(1)
+    for d_max, max_k in ((500, 50), (1500, 50), (100, 7)):
+        x = rng.normal(0, 0.02, (300, 2)) + [52.5, 13.4]
+        w = rng.integers(1, 40, 300).astype(float)
+        same = lambda a: np.unique(a, return_index=True)[1][np.unique(a, return_inverse=True)[1]]
+        assert (same(gps.growing_kmeans(x, w, d_max, max_k)) == same(plain_kmeans(x, w, d_max, max_k))).all()
+
+
+def test_adaptive_kmeans_counts_visits_and_passes_over_gaps(spark):
+    rows = [("u", i, 52.5, 13.4) for i in range(99)] + [("u", 99, 52.508, 13.4), ("u", 100, None, 13.4), ("u", 101, float("nan"), 13.4), ("v", 0, None, None)]
+    rows += [("w", 0, 52.5, 13.4), ("w", 1, 52.508, 13.4)]
+    out = {(r.customer, r.startTimestamp): r.cluster for r in gps.adaptive_kmeans(track(spark, rows), 500).collect()}
+    assert len(out) == 105 and [out["u", at(m)] for m in (0, 50, 99, 100, 101)] == [0, 0, 1, -1, -1] and out["v", at(0)] == -1
+    assert out["w", at(0)] == out["w", at(1)] == 0  # half-way, 445 m
+
+
 def test_offsets_and_dates(spark):
     df = spark.createDataFrame([(T0, T0, 60), (T0, T0, None)], "startTimestamp timestamp, endTimestamp timestamp, timezoneOffset long")
     shift = lambda policy: [r[0] for r in P.apply_tz_offset(df, "min", policy).select("startTimestamp").collect()]
