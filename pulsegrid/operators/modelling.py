@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import safe_log1p
 from .quality import ACTIVITY
 from .sensors import MISSING
+from .tracks import tile, with_place, with_totals
 
 #: The feature groups of the models.
 SKEWED = [
@@ -60,22 +61,17 @@ def outer_user_split(df: DataFrame, ratio: float = 0.1, strata: str | None = Non
     return df.join(chosen, user, "left_anti"), df.join(chosen, user, "left_semi")
 
 
-def _place(user: str, ts: str) -> tuple[Column, Column]:
-    return F.row_number().over(Window.partitionBy(user).orderBy(ts)), F.count("*").over(Window.partitionBy(user))
-
-
 def inner_time_split(df: DataFrame, ratio: float = 0.8, user: str = "customer", ts: str = "sensor_block_end") -> DataFrame:
     """Adds ``is_train``: the first floor(n * ratio) rows of each user by time."""
-    place, n = _place(user, ts)
-    return df.withColumn("is_train", place <= F.floor(n * ratio))
+    return with_place(df, [user], [ts]).withColumn("is_train", F.col("place") <= F.floor(F.col("of") * ratio)).drop("place", "of")
 
 
 def forward_chaining_folds(df: DataFrame, n: int = 5, user: str = "customer", ts: str = "sensor_block_end") -> DataFrame:
     """Adds ``chunk``: n contiguous chunks of each user's rows by time, the first ones
     longer by one; users with fewer rows than chunks are all in chunk 0.  Fold i
     trains on chunks below i and tests on chunk i; fold 0 has nothing to train on."""
-    tile = F.ntile(n).over(Window.partitionBy(user).orderBy(ts)) - 1
-    return df.withColumn("chunk", F.when(_place(user, ts)[1] < n, 0).otherwise(tile))
+    chunk = F.when(F.col("of") < n, 0).otherwise(tile(n) - 1)
+    return with_place(df, [user], [ts]).withColumn("chunk", chunk).drop("place", "of")
 
 
 def fold(df: DataFrame, i: int) -> tuple[DataFrame, DataFrame]:
@@ -221,17 +217,16 @@ def regression_metrics(df: DataFrame, y: str, yhat: str = "prediction", keys: li
 
 def holdout_baseline(df: DataFrame, y: str, prediction: str = "prediction", share: float = 0.2, least: int = 5, user: str = "customer", ts: str = "sensor_block_end") -> DataFrame:
     """Metrics of the last floor(share * n) rows of each user with ``least`` rows."""
-    place, n = _place(user, ts)
-    rows = df.withColumns({"_i": place, "_n": n}).where((F.col("_n") >= least) & (F.col("_i") > F.col("_n") - F.floor(F.col("_n") * share)))
-    return regression_metrics(rows, y, prediction)
+    late = (F.col("of") >= least) & (F.col("place") > F.col("of") - F.floor(F.col("of") * share))
+    return regression_metrics(with_place(df, [user], [ts]).where(late), y, prediction)
 
 
 def holdout_adaptation(df: DataFrame, y: str, share: float = 0.8, user: str = "customer", ts: str = "sensor_block_end") -> DataFrame:
     """Metrics per user of predicting the rest by the mean of the first floor(share * n) rows."""
-    place, n = _place(user, ts)
-    rows = df.withColumn("_early", place <= F.floor(n * share))
-    mean = F.avg(F.when(F.col("_early"), F.col(y))).over(Window.partitionBy(user))
-    return regression_metrics(rows.withColumn("prediction", mean).where("not _early"), y, keys=[user])
+    rows = with_place(df, [user], [ts]).withColumn("_early", F.col("place") <= F.floor(F.col("of") * share))
+    early = F.when(F.col("_early"), F.col(y).cast("double"))
+    rows = with_totals(rows, [user], [ts], {"_sum": early, "_n": F.when(early.isNotNull(), 1)})
+    return regression_metrics(rows.withColumn("prediction", F.try_divide("_sum", "_n")).where("not _early"), y, keys=[user])
 
 
 # -- models ------------------------------------------------------------------

@@ -113,6 +113,29 @@ def test_neighbours_of_equal_times_agree(spark):
     assert all(follows[r.before_id] == r.id for r in got if r.before_id is not None)
 
 
+@pytest.mark.parametrize("n", [1, 3, 5, 8])
+def test_places_and_tiles_equal_the_window(spark, n):
+    rng = random.Random(n)
+    rows = [(rng.choice(["a", "b", None]), T0 + datetime.timedelta(hours=5 * (i // 3)), i) for i in range(150)] + [("c", T0, 900), ("c", None, 901)]
+    df = spark.createDataFrame(rows, "customer string, t timestamp, id long")
+    w = Window.partitionBy("customer").orderBy("t", "id")
+    want = df.withColumns({"place": F.row_number().over(w), "tile": F.ntile(n).over(w), "of": F.count("*").over(Window.partitionBy("customer")), "total": F.sum("id").over(Window.partitionBy("customer"))})
+    for segment in (None, F.col("t")):
+        got = tracks.with_totals(tracks.with_place(df, ["customer"], ["t", "id"], segment), ["customer"], ["t"], {"total": F.col("id")}).withColumn("tile", tracks.tile(n))
+        assert sorted(map(str, got.select(*[F.col(c).cast("string") for c in want.columns]).collect())) == sorted(map(str, want.select(*[F.col(c).cast("string") for c in want.columns]).collect()))
+
+
+def test_a_user_is_split_over_tasks(spark):
+    """No task holds the rows of a user who has them all."""
+    df = spark.range(4000).selectExpr("'hot' customer", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, id, 0, 0) t", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = tracks.with_place(df, ["customer"], ["t"]).withColumn("task", F.spark_partition_id())
+        assert got.groupBy("task").count().agg(F.max("count")).first()[0] < 2500 and got.where("place = id + 1 and of = 4000").count() == 4000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_spread_join_equals_join(spark, monkeypatch):
     monkeypatch.setattr(spread, "LEAST", 10)
     many = spark.createDataFrame([(i % 7 if i % 2 else 0, i) for i in range(400)], "k long, v long")
