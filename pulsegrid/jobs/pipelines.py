@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import availability, ema, gps, intervals, modelling, relational, sensors
+from ..operators import availability, ema, gps, intervals, linear, modelling, relational, sensors
 from ..sources.readers import clean_epochs
 
 
@@ -51,8 +51,10 @@ def evaluate(table: DataFrame, y: str, numbers: list[str], n_folds: int = 5, rat
     train, test = split.where("is_train"), split.where("not is_train")
     train, test, holdout = modelling.preprocess(train, [test, holdout], numbers, [], [], {})
     train = modelling.forward_chaining_folds(train, n_folds).cache()
-    fit, grid = {"linear": (modelling.fit_linear, modelling.LINEAR_GRID), "forest": (modelling.fit_forest, modelling.FOREST_GRID)}[model]
-    fitted, best, scores = modelling.grid_search(train, n_folds, fit, grid, y)
+    if model == "linear":
+        fitted, best, scores = linear.linear_grid_search(train, n_folds, modelling.LINEAR_GRID, y)
+    else:
+        fitted, best, scores = modelling.grid_search(train, n_folds, modelling.fit_forest, modelling.FOREST_GRID, y)
     said = {
         "best": best,
         "scores": scores,

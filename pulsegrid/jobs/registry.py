@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..functions import scalars as P
 from ..operators import availability as av
-from ..operators import ema, gps, intervals, modelling, monitoring, quality, relational, reliability, sensors, situations
+from ..operators import ema, gps, intervals, linear, modelling, monitoring, quality, relational, reliability, scores, sensors, situations
 from . import fixtures as fx
 from .fixtures import with_tables
 

@@ -302,18 +302,15 @@ def _(spark, sf):
     return rounded(df.withColumns({"total_distance": F.round("total_distance", 3), "normalized_entropy": F.round("normalized_entropy", 4)}))
 
 
-def _moved(name: str, keys: str) -> str:
-    rows = f"(SELECT customer, day, cluster, coalesce({_hav('lat', 'lon', 'lead(lat) OVER w', 'lead(lon) OVER w')}, 0) AS m FROM h WINDOW w AS (PARTITION BY {keys} ORDER BY ts))"
-    return f"{name} AS (SELECT {keys}, u, CASE WHEN u > 0 THEN dist ELSE 0 END AS dist FROM (SELECT {keys}, count(DISTINCT CASE WHEN cluster <> -1 THEN cluster END) AS u, sum(m) AS dist FROM {rows} GROUP BY ALL))"
+_METRICS = ("entropy", "normalized_entropy", "total_distance", "percentage_time_at_home", "num_unique_clusters", "num_total_clusters")
+_DAYS, _WHOLE = (f"SELECT * FROM ({with_tables(_metrics_sql(k).format(cols=k + ', ' + _COLS), 'places')})" for k in ("customer, day", "customer"))
 
 
-_BOTH = f"h AS (SELECT *, CAST(ts AS DATE) AS day FROM places), {_moved('dd', 'customer, day')}, {_moved('tt', 'customer')} "
-
-
-@query("a17_j13_daily_and_total", with_tables(_BOTH + "SELECT customer, strftime(day, '%Y-%m-%d') AS day, round(dd.dist, 3) AS total_distance_daily, round(tt.dist, 3) AS total_distance_total, dd.u AS num_unique_clusters_daily, tt.u AS num_unique_clusters_total FROM dd JOIN tt USING (customer)", "places"))
+@query("a17_j13_daily_and_total", f"SELECT customer, strftime(day, '%Y-%m-%d') AS day, {', '.join(f'd.{m} AS {m}_daily, t.{m} AS {m}_total' for m in _METRICS)} FROM ({_DAYS}) d JOIN ({_WHOLE}) t USING (customer)")
 def _(spark, sf):
     df = gps.daily_and_total(fx.places(spark, sf).withColumn("home", F.lit(0)))
-    return df.select("customer", F.col("day").cast("string").alias("day"), F.round("total_distance_daily", 3).alias("total_distance_daily"), F.round("total_distance_total", 3).alias("total_distance_total"), "num_unique_clusters_daily", "num_unique_clusters_total")
+    digits = {"total_distance": 3, "normalized_entropy": 4}
+    return df.select("customer", F.col("day").cast("string").alias("day"), *[F.round(f"{m}{s}", digits.get(m, 6)).alias(f"{m}{s}") for m in _METRICS for s in ("_daily", "_total")])
 
 
 @query("a18_raw_location_entropy", with_tables("""s AS (SELECT customer, min(lat) AS a0, max(lat) AS a1, min(lon) AS o0, max(lon) AS o1 FROM places GROUP BY 1),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .registry import ema, fx, modelling, query, relational, reliability, rounded, situations, stamp, with_tables
+from .registry import ema, fx, linear, modelling, query, relational, reliability, rounded, scores, situations, stamp, with_tables
 
 _NQ = "TRY_CAST(nullif(regexp_extract(questionnaire_name, '([0-9]+)', 1), '') AS DOUBLE)"
 _D = f"""d AS (SELECT *, CASE WHEN study IN (24, 25) THEN 0 WHEN study IN (33, 34) THEN 1 WHEN study IN (38, 39) THEN 2 END AS assess, {_NQ} AS nq, CAST(quest_create AS DATE) AS day,
@@ -230,11 +230,16 @@ def _split(spark, sf):
     return df.where("is_train"), df.where("not is_train")
 
 
-@query("l1_outer_user_split", with_tables("SELECT 'holdout' AS part, CAST(floor(count(DISTINCT customer) * 0.2) AS BIGINT) AS n FROM ev UNION ALL SELECT 'rest', count(DISTINCT customer) - CAST(floor(count(DISTINCT customer) * 0.2) AS BIGINT) FROM ev"))
+@query("l1_outer_user_split", with_tables("""u AS (SELECT DISTINCT customer, length(customer) AS s FROM ev), c AS (SELECT s, count(*) AS c, count(*) * 0.2::DOUBLE AS x FROM u GROUP BY 1),
+    q AS (SELECT *, floor(x) + CASE WHEN row_number() OVER (ORDER BY floor(x) - x, CAST(s AS VARCHAR)) <= floor((SELECT sum(c) FROM c) * 0.2::DOUBLE) - (SELECT sum(floor(x)) FROM c) THEN 1 ELSE 0 END AS h FROM c)
+    SELECT 'holdout' AS part, CAST(s AS INT) AS stratum, CAST(h AS BIGINT) AS n, CAST(h AS BIGINT) AS whole FROM q WHERE h > 0 UNION ALL SELECT 'rest', CAST(s AS INT), CAST(c - h AS BIGINT), CAST(c - h AS BIGINT) FROM q WHERE c > h"""))
 def _(spark, sf):
-    rest, holdout = modelling.outer_user_split(_timed(spark, sf).withColumn("s", F.length("customer")), 0.2, "s")
-    n = lambda df, part: df.agg(F.countDistinct("customer").alias("n")).select(F.lit(part).alias("part"), "n")
-    return n(rest, "rest").unionByName(n(holdout, "holdout"))
+    """Users of each stratum in both parts, and those of them whose rows are all there."""
+    df = _timed(spark, sf).withColumn("s", F.length("customer"))
+    rest, holdout = modelling.outer_user_split(df, 0.2, "s")
+    all_rows = df.groupBy("customer").agg(F.count("*").alias("all"))
+    told = lambda part, name: part.groupBy("customer", "s").agg(F.count("*").alias("own")).join(all_rows, "customer").groupBy(F.lit(name).alias("part"), F.col("s").alias("stratum")).agg(F.count("*").alias("n"), F.count_if(F.col("own") == F.col("all")).alias("whole"))
+    return told(rest, "rest").unionByName(told(holdout, "holdout"))
 
 
 @query("l2_inner_time_split", with_tables(_TRAIN + "SELECT id, i <= floor(c * 0.8) AS is_train FROM t"))
@@ -264,13 +269,19 @@ def _(spark, sf):
     return df.select("id", *[F.col(f"`{n}`") for n in names])
 
 
-@query("l6_preprocess")
+@query("l6_preprocess", with_tables(_TRAIN.rstrip() + """, r AS (SELECT id, i <= floor(c * 0.8) AS train, event_type, nullif(CAST(CASE WHEN k % 10 = 0 THEN -1 ELSE value END AS DOUBLE), -1) AS v, CAST(k AS DOUBLE) AS k FROM t),
+    m AS (SELECT *, ln(1 + greatest(coalesce(v, avg(v) FILTER (train) OVER ()), -0.999)) AS lv FROM r),
+    s AS (SELECT *, min(lv) FILTER (train) OVER () AS v0, max(lv) FILTER (train) OVER () AS v1, min(k) FILTER (train) OVER () AS k0, max(k) FILTER (train) OVER () AS k1 FROM m)
+    SELECT id, round((lv - v0) / (v1 - v0), 5) AS value, round((k - k0) / (k1 - k0), 5) AS k, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END::DOUBLE AS click, CASE WHEN event_type = 'view' THEN 1.0 ELSE 0.0 END::DOUBLE AS view FROM s WHERE NOT train"""))
 def _(spark, sf):
+    """Gaps marked by -1, a skewed and a plain number, a constant one, which goes, and flags."""
     from pyspark.ml.functions import vector_to_array
 
-    train, test = _split(spark, sf)
-    _, out = modelling.preprocess(train, [test], ["value"], ["k"], [], {"event_type": ["click", "view"]})
-    return out.select("id", F.transform(vector_to_array("features"), lambda x: F.round(x, 5)).alias("features"))
+    gaps = lambda df: df.withColumns({"value": F.when(F.col("k") % 10 == 0, -1.0).otherwise(F.col("value")), "same": F.lit(3.0)})
+    train, test = map(gaps, _split(spark, sf))
+    _, out = modelling.preprocess(train, [test], ["value"], ["k", "same"], [], {"event_type": ["click", "view"]})
+    vector = vector_to_array("features")
+    return out.select("id", *[F.round(F.get(vector, F.lit(i)), 5).alias(n) for i, n in enumerate(("value", "k", "click", "view"))])
 
 
 @query("l7_intercepts", with_tables(_TRAIN.rstrip() + ", tr AS (SELECT * FROM t WHERE i <= floor(c * 0.8)), m AS (SELECT customer, avg(value) AS m FROM tr GROUP BY 1) SELECT id, round((SELECT avg(value) FROM tr), 6) AS overall, round(coalesce(m, (SELECT avg(value) FROM tr)), 6) AS own FROM t LEFT JOIN m USING (customer) WHERE NOT i <= floor(c * 0.8)"))
@@ -310,9 +321,10 @@ def _(spark, sf):
     return rounded(df.withColumn("r2", F.round("r2", 5)))
 
 
-@query("l16_holdout_adaptation", with_tables(_TRAIN.rstrip() + ", m AS (SELECT customer, avg(value) AS p FROM t WHERE i <= floor(c * 0.8) GROUP BY 1) SELECT customer, count(*) AS n, round(avg(abs(value - p)), 6) AS mae, round(sqrt(avg(pow(value - p, 2))), 6) AS rmse FROM t JOIN m USING (customer) WHERE NOT i <= floor(c * 0.8) GROUP BY 1"))
+@query("l16_holdout_adaptation", with_tables(_TRAIN.rstrip() + ", m AS (SELECT customer, avg(value) AS p FROM t WHERE i <= floor(c * 0.8) GROUP BY 1) SELECT customer, count(*) AS n, round(avg(abs(value - p)), 6) AS mae, round(sqrt(avg(pow(value - p, 2))), 6) AS rmse, round(CASE WHEN count(*) > 1 AND var_pop(value) * count(*) > 1e-12 THEN 1 - sum(pow(value - p, 2)) / (var_pop(value) * count(*)) END, 4) AS r2 FROM t JOIN m USING (customer) WHERE NOT i <= floor(c * 0.8) GROUP BY 1"))
 def _(spark, sf):
-    return rounded(modelling.holdout_adaptation(_timed(spark, sf), "value").drop("r2"))
+    df = modelling.holdout_adaptation(_timed(spark, sf), "value")
+    return rounded(df.withColumn("r2", F.round("r2", 4)))
 
 
 def _vectors(spark, sf):
@@ -321,13 +333,28 @@ def _vectors(spark, sf):
     return modelling.preprocess(labelled[0], labelled[1:], ["value"], ["k"], [], {"event_type": ["click", "view", "error"]})
 
 
-@query("l11_l13_linear_grid_search")
+_FOLDS = "f AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY customer) < 4 THEN 0 ELSE ntile(4) OVER (PARTITION BY customer ORDER BY ts) - 1 END AS chunk, value + k AS y FROM ev)"
+_LINES = """, n AS (SELECT * FROM (VALUES (1), (2), (3), (4)) v(fold)),
+    w AS (SELECT fold, regr_slope(y, k) AS b1, regr_intercept(y, k) AS a1, sum(y * k) / sum(k * k) AS b0 FROM n JOIN f ON chunk < fold GROUP BY 1),
+    l AS (SELECT fold, 0 AS parameters, a1 AS a, b1 AS b FROM w UNION ALL SELECT fold, 1, 0.0, b0 FROM w),
+    e AS (SELECT l.fold, parameters, count(*) AS n, avg(abs(y - a - b * k)) AS mae, sqrt(avg(pow(y - a - b * k, 2))) AS rmse FROM l JOIN f ON f.chunk = l.fold GROUP BY 1, 2)"""
+
+
+@query("l11_l13_linear_grid_search", with_tables(_FOLDS + _LINES + """,
+    best AS (SELECT parameters FROM e GROUP BY 1 ORDER BY avg(mae), parameters LIMIT 1)
+    SELECT CAST(fold AS INT) AS fold, CAST(parameters AS INT) AS parameters, round(a, 5) AS intercept, round(b, 5) AS slope, n, round(mae, 5) AS mae, round(rmse, 5) AS rmse, parameters = (SELECT parameters FROM best) AS best FROM l LEFT JOIN e USING (fold, parameters)"""))
 def _(spark, sf):
-    train, test = _vectors(spark, sf)
-    chunks = modelling.forward_chaining_folds(train, 3)
-    fitted, best, _scores = modelling.grid_search(chunks, 3, modelling.fit_linear, modelling.LINEAR_GRID, "y")
-    said = modelling.regression_metrics(fitted.transform(test), "y")
-    return rounded(said.select("n", F.lit(best["fitIntercept"]).alias("intercept"), F.round("mae", 3).alias("mae")))
+    """All folds and both parameter sets from two scans; fold 4 is the fit on all rows."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = modelling.forward_chaining_folds(_timed(spark, sf).withColumn("y", F.col("value") + F.col("k")), 4)
+    rows = VectorAssembler(inputCols=["k"], outputCol="features").transform(rows)
+    models, whole = linear.fold_models(rows, "y", 4, modelling.LINEAR_GRID)
+    _, best, _scores = linear.linear_grid_search(rows, 4, modelling.LINEAR_GRID, "y")
+    told = [(f, p, float(m.intercept), float(m.coefficients[0]), best == modelling.LINEAR_GRID[p]) for (f, p), m in [*models.items(), *(((4, p), m) for p, m in enumerate(whole))]]
+    table = spark.createDataFrame(told, "fold int, parameters int, intercept double, slope double, best boolean")
+    found = table.join(linear.fold_errors(rows, "y", models), ["fold", "parameters"], "left")
+    return found.select("fold", "parameters", "n", "best", *[F.round(c, 5).alias(c) for c in ("intercept", "slope", "mae", "rmse")])
 
 
 @query("l12_forest")
@@ -344,9 +371,33 @@ def _(spark, sf):
     return rounded(modelling.regression_metrics(modelling.predict_mixed_forest(fitted, test), "y"))
 
 
+@query("l17_shrunk_intercepts", with_tables("""p AS (SELECT customer, count(*) AS n, avg(value - k) AS m, sum(pow(value - k, 2)) AS ss FROM ev GROUP BY 1),
+    b AS (SELECT *, 50.0 / (50.0 + 900.0 / n) * m AS b, 50.0 * (1 - 50.0 / (50.0 + 900.0 / n)) AS v FROM p),
+    w AS (SELECT sum(ss - 2 * b * n * m + n * (b * b + v)) / sum(n) AS sigma2, avg(b * b + v) AS tau2 FROM b)
+    SELECT customer, n, round(b, 6) AS b, round(v, 6) AS v, round(sigma2, 4) AS sigma2, round(tau2, 4) AS tau2 FROM b, w"""))
+def _(spark, sf):
+    """One round of the random intercepts, with the variances that follow."""
+    residuals = fx.events(spark, sf).withColumn("r", F.col("value") - F.col("k"))
+    users = modelling.shrunk_intercepts(residuals, "r", 900.0, 50.0)
+    after = modelling.intercept_variances(users)
+    joined = users.crossJoin(F.broadcast(after))  # one row
+    return joined.select("customer", "n", *[F.round(c, d).alias(c) for c, d in (("b", 6), ("v", 6), ("sigma2", 4), ("tau2", 4))])
+
+
+@query("l18_classification_metrics", with_tables("""s AS (SELECT CASE WHEN value > 30 THEN 1 ELSE 0 END AS y, CAST(k // 5 AS DOUBLE) AS score, CASE WHEN k > 60 THEN 1 ELSE 0 END AS q FROM ev),
+    r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS mid FROM s),
+    a AS (SELECT (sum(CASE WHEN y = 1 THEN mid END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auc FROM r),
+    f AS (SELECT c, count_if(y = c) AS own, 2.0 * count_if(y = c AND q = c) / (count_if(y = c) + count_if(q = c)) AS f1 FROM s, (VALUES (0), (1)) v(c) GROUP BY 1)
+    SELECT (SELECT count(*) FROM s) AS n, round((SELECT avg(CASE WHEN y = q THEN 1.0 ELSE 0.0 END) FROM s), 6) AS accuracy, round(sum(f1 * own) / sum(own), 6) AS f1, round((SELECT auc FROM a), 6) AS auc FROM f"""))
+def _(spark, sf):
+    e = fx.events(spark, sf)
+    given = e.select((F.col("value") > 30).cast("int").alias("y"), F.floor(F.col("k") / 5).alias("score"), (F.col("k") > 60).cast("int").alias("q"))
+    return rounded(scores.classification_metrics(given, "y", "q", "score"))
+
+
 @query("l18_affect_classifier")
 def _(spark, sf):
     train, test = _vectors(spark, sf)
-    model, _metrics = modelling.fit_affect_classifier(train, "label", numTrees=5, maxDepth=3)
-    return model.transform(test).groupBy("prediction").agg(F.count("*").alias("n"))
-
+    model, metrics = modelling.fit_affect_classifier(train, "label", numTrees=5, maxDepth=3)
+    told = model.transform(test).groupBy("prediction").agg(F.count("*").alias("n"))
+    return told.select("prediction", "n", *[F.lit(float(metrics[m])).alias(m) for m in ("accuracy", "f1", "auc")])

@@ -7,15 +7,17 @@ import math
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import Imputer, MinMaxScaler, StandardScaler, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_log1p
 from .quality import ACTIVITY
+from .scores import classification_metrics, hash_split
 from .sensors import MISSING
+from .spread import written
 from .tracks import tile, with_place, with_totals
 
 #: The feature groups of the models.
@@ -260,12 +262,26 @@ def grid_search(df: DataFrame, n_folds: int, fit, grid: list[dict], y: str):
     return fit(df, y, **best), best, list(zip(grid, scores))
 
 
+def shrunk_intercepts(residuals: DataFrame, r: str, sigma2: float = 1.0, tau2: float = 1.0, user: str = "customer") -> DataFrame:
+    """user, n, m, ss, b, v: the users' mean residuals shrunk towards 0 by their number
+    of rows (b, with its variance v), as one aggregation."""
+    per_user = residuals.groupBy(user).agg(F.count(r).alias("n"), F.avg(r).alias("m"), F.sum(F.col(r) * F.col(r)).alias("ss"))
+    shrink = F.lit(tau2) / (F.lit(tau2) + F.lit(sigma2) / F.col("n"))
+    return per_user.withColumns({"b": shrink * F.col("m"), "v": F.lit(tau2) * (1 - shrink)})
+
+
+def intercept_variances(per_user: DataFrame) -> DataFrame:
+    """sigma2, tau2: the variances of rows and of users that follow from them."""
+    sse = F.sum(F.col("ss") - 2 * F.col("b") * F.col("n") * F.col("m") + F.col("n") * (F.col("b") * F.col("b") + F.col("v")))
+    return per_user.agg((sse / F.sum("n")).alias("sigma2"), F.avg(F.col("b") * F.col("b") + F.col("v")).alias("tau2"))
+
+
 def fit_mixed_forest(train: DataFrame, y: str, iterations: int = 5, tolerance: float = 1e-3, user: str = "customer", **forest):
     """(forest, user intercepts, variances) of a random-intercept forest by EM.
 
     Each round fits a forest to y - b, shrinks the users' mean residuals to new
     intercepts b, and updates both variances; it ends early when they settle.
-    Residuals per user are one aggregation, written to the checkpoint folder.
+    Residuals per user are one aggregation, written to the shared folder each round.
     """
     sigma2, tau2 = 1.0, 1.0
     b = train.select(user).distinct().withColumn("b", F.lit(0.0))
@@ -273,16 +289,10 @@ def fit_mixed_forest(train: DataFrame, y: str, iterations: int = 5, tolerance: f
     for _ in range(iterations):
         model = fit_forest(train.join(b, user).withColumn("_target", F.col(y) - F.col("b")), "_target", **forest)
         residual = model.transform(train).withColumn("_r", F.col(y) - F.col("prediction"))
-        per_user = residual.groupBy(user).agg(F.count("*").alias("n"), F.avg("_r").alias("m"), F.sum(F.col("_r") * F.col("_r")).alias("ss"))
-        shrink = F.lit(tau2) / (F.lit(tau2) + F.lit(sigma2) / F.col("n"))
-        left = F.lit(tau2) * (1 - shrink)  # posterior variance of an intercept
-        per_user = per_user.withColumns({"b": shrink * F.col("m"), "_v": left})
-        if train.sparkSession.sparkContext.getCheckpointDir():
-            per_user = per_user.checkpoint()
-        sse = F.sum(F.col("ss") - 2 * F.col("b") * F.col("n") * F.col("m") + F.col("n") * (F.col("b") * F.col("b") + F.col("_v")))
-        row = per_user.agg((sse / F.sum("n")).alias("s2"), F.avg(F.col("b") * F.col("b") + F.col("_v")).alias("t2")).first()
-        moved = abs(row.s2 - sigma2) + abs(row.t2 - tau2)
-        sigma2, tau2, b = max(row.s2, 1e-9), max(row.t2, 1e-9), per_user.select(user, "b")
+        per_user = written(shrunk_intercepts(residual, "_r", sigma2, tau2, user), "intercepts")
+        row = intercept_variances(per_user).first()
+        moved = abs(row.sigma2 - sigma2) + abs(row.tau2 - tau2)
+        sigma2, tau2, b = max(row.sigma2, 1e-9), max(row.tau2, 1e-9), per_user.select(user, "b")
         if moved < tolerance:
             break
     return model, b, (sigma2, tau2)
@@ -296,14 +306,14 @@ def predict_mixed_forest(fitted, df: DataFrame, user: str = "customer") -> DataF
 
 
 def fit_affect_classifier(df: DataFrame, label: str, seed: int = 42, share: float = 0.8, **forest):
-    """(model, metrics): forest with balanced class weights on a seeded split."""
+    """(model, metrics): forest with balanced class weights; n, accuracy, f1 and auc on
+    the rows that a seeded hash of their columns keeps from training."""
     counts = {r[0]: r["count"] for r in df.groupBy(label).count().collect()}
     weight = F.lit(1.0)
     for value, n in counts.items():
         weight = F.when(F.col(label) == value, sum(counts.values()) / (len(counts) * n)).otherwise(weight)
-    train, test = df.withColumn("_weight", weight).randomSplit([share, 1 - share], seed)
+    own = [c for c, t in df.dtypes if t != "vector" and not t.startswith("map")]
+    train, test = hash_split(df.withColumn("_weight", weight), share, seed, own)
     model = RandomForestClassifier(featuresCol="features", labelCol=label, weightCol="_weight", seed=seed, **forest).fit(train)
-    said = model.transform(test)
-    score = lambda name: MulticlassClassificationEvaluator(labelCol=label, metricName=name).evaluate(said)
-    auc = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC").evaluate(said)
-    return model, {"accuracy": score("accuracy"), "f1": score("f1"), "auc": auc}
+    said = model.transform(test).withColumn("_score", vector_to_array("probability")[1])
+    return model, classification_metrics(said, label, score="_score").first().asDict()
