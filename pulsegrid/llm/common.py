@@ -59,6 +59,11 @@ def own_name(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
+def columns_of(df: DataFrame) -> list:
+    """All columns, whatever their names (dots, quotes)."""
+    return [F.col("`{}`".format(c.replace("`", "``"))) for c in df.columns]
+
+
 #: A key with more than one in so many rows, and LIGHT rows at least, is heavy.
 HEAVY, LIGHT = 1_000, 1_000
 #: Tasks that the rows of a heavy key are dealt to.

@@ -47,7 +47,7 @@ def _bucket(h: Column, buckets: int) -> Column:
 def _measured(docs: DataFrame) -> DataFrame:
     """doc_id, the row itself, words and the base measures but the one on word windows."""
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), F.struct(*common.columns_of(docs)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     rows = rows.select("doc_id", "row", "text", words_of(F.col("text")).alias("words"))
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x, F.lit(common.WHITE)) != "")

@@ -23,6 +23,8 @@ their mean, and the rule works on a histogram of fixed size.
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -129,15 +131,18 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, fl
     if max(map(len, text.split()), default=0) < LEAST:
         return sorted(spans), []
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
+    spans.sort()
+    starts, reach = [a for a, _, _ in spans], list(itertools.accumulate((b for _, _, b in spans), max))
+    covered = lambda start, end: (i := bisect.bisect_right(starts, start)) > 0 and reach[i - 1] >= end  # noqa: E731  by one span that begins no later
     found = []
     for m in _CANDIDATE.finditer(text):
         for start, end in _parts(m):
-            if any(a <= start and end <= b for a, _, b in spans) or not (encoding := infer_encoding(text[start:end])):
+            if covered(start, end) or not (encoding := infer_encoding(text[start:end])):
                 continue
             even, runs, serial = battery(text[start:end], encoding)
             order = min(1.0, 2 * min(runs, serial))
             found.append((start, end, even, (end - start) * min(1.0, order / ORDER) * (order >= VETO)))
-    return sorted(spans), found
+    return spans, found
 
 
 _FOUND = "spans array<struct<start:int,kind:int,end:int>>, candidates array<struct<start:int,end:int,p:double,weight:double>>"
@@ -198,7 +203,8 @@ def scan_secrets(docs: DataFrame, q: float = FALSE_SHARE) -> DataFrame:
     ``spans`` is kind:start:end by start, then kind, in code points, end exclusive;
     the battery's have kind ``random``.  A null or empty text has none; rows that
     repeat are scanned alike, and count alike for false discoveries; an empty
-    table gives no rows; other columns are not read.
+    table gives no rows; other columns are not read.  Texts of any length are scanned
+    whole, in time that follows their length and number of secrets.
     """
     found = found_spans(common.texts(docs))
     more = discoveries(found, q)
@@ -226,7 +232,7 @@ def redact_secrets(docs: DataFrame, q: float = FALSE_SHARE, mark: str = "[SECRET
 
     Texts are scanned once: rows wait with their spans in the shared folder until the
     rule is settled over all of them."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.struct(*common.columns_of(docs)).alias("row"), F.col("text").cast("string").alias("text"))
     found = found_spans(rows)
     cut = found.select("row", F.concat("spans", discoveries(found, q)).alias("spans"))
 
@@ -243,7 +249,7 @@ def redact_secrets(docs: DataFrame, q: float = FALSE_SHARE, mark: str = "[SECRET
     new = {"text": F.col("text").cast(docs.schema["text"].dataType)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("text") == F.col("row.text"), F.col("row.n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType)
-    columns = [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+    columns = [new.get(c, F.col("row.`{}`".format(c.replace("`", "``")))).alias(c) for c in docs.columns]
     return clean.unionByName(changed.select(*columns))
 
 

@@ -60,3 +60,11 @@ def test_stages(spark, tmp_path, monkeypatch):
     for r in final:
         fill[r.sequence_id] += r.length
     assert sorted(fill.values()) == spf_packs(collections.Counter(w[2] for w in want), 2048)
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark):
+    rows = [(1, "alpha beta gamma", {"a": 1}), (1, "alpha beta gamma", {"b": 2}), (2, "key Zq8vN2xLw0RtYp4sKd7GhJ3mBc6FeUaX9TiVnO1Q end", None), (None, None, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>").selectExpr("*", "1 AS `a.b`", "2 AS `c``d`", "'x' AS lang", "'s' AS source")
+    for stage in (corpus_pipeline.exact, corpus_pipeline.near, corpus_pipeline.secrets):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes and {r.doc_id for r in out.collect()} == {1, 2, None}

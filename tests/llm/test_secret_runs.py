@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import time
 
 import pytest
 
@@ -88,3 +89,16 @@ def test_redaction_keeps_columns(spark):
     out = secret_scan.redact_secrets(docs)
     assert out.schema.names == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
     assert out.count() == docs.count() and out.where("text IS NULL").count() == docs.where("text IS NULL").count()
+
+
+def test_many_secrets_in_one_text():
+    """200,000 secrets of two kinds and as many random strings, some within base spans."""
+    rng = random.Random(9)
+    words = [f"token={rng.getrandbits(64):016x} {rng.getrandbits(128):032x} {encoded(rng, 24)}" for _ in range(100_000)]
+    began = time.process_time()
+    spans, found = secret_scan.scan("\n".join(words))
+    assert time.process_time() - began < 120
+    few = "\n".join(words[:300])
+    slow, candidates = secret_scan.scan(few)
+    inside = [any(a <= c[0] and c[1] <= b for a, _, b in slow) for c in candidates]
+    assert len(spans) >= 200_000 and not any(inside) and candidates == [c for c in found if c[1] <= len(few)]
