@@ -16,7 +16,7 @@ from pulsegrid.llm import common, exact_dedup, packing, quality_rules, secret_sc
 
 def _keep(docs: DataFrame, judged: DataFrame, digest: Column) -> DataFrame:
     """One row of ``docs`` for each id (null: as a value) and text digest that ``judged``
-    (doc_id, digest, rows, kept) keeps: of rows that share both, the least by its columns.
+    (doc_id, digest, rows, kept) keeps: of rows that share both, the least by its columns (as JSON, which any type has).
 
     What goes or is there more than once is less than what stays as it is, so only that
     meets the rows; it is broadcast if it is small by its count."""
@@ -25,10 +25,11 @@ def _keep(docs: DataFrame, judged: DataFrame, digest: Column) -> DataFrame:
     marks = common.stored(marks.select(i, d, F.col("kept").alias(mark)), "marks")
     own = docs.withColumns({i: F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NO_ID)), d: digest})
     met = own.join(common.small(marks), [i, d], "left")
-    single = met.where(F.col(mark).isNull()).select(*docs.columns)
+    columns = common.columns_of(docs)
+    single = met.where(F.col(mark).isNull()).select(*columns)
     if marks.where(mark).isEmpty():
         return single
-    least = met.where(mark).groupBy(i, d).agg(F.min(F.struct(*docs.columns)).alias(row))
+    least = met.where(mark).groupBy(i, d).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(row))
     return single.unionByName(least.select(f"{row}.*"))
 
 
