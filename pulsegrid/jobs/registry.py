@@ -74,4 +74,4 @@ def _hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     return _HAV.format(a=a)
 
 
-from . import registry_scalars, registry_sensors, registry_streams, registry_study  # noqa: E402,F401  they register their queries
+from . import registry_scalars, registry_sensors, registry_streams, registry_sources, registry_study  # noqa: E402,F401  they register their queries

@@ -70,3 +70,25 @@ def calculate_data_coverage(sensor: DataFrame, roster: DataFrame, today: datetim
 
 def last_seen(df: DataFrame, types: list[str], name: str) -> DataFrame:
     return df.where(F.col("type").isin(*types)).groupBy("customer").agg(F.max("startTimestamp").alias(name))
+
+
+#: Sketches hold up to 2**K registers: 1.6 % standard error beyond a few hundred values.
+SKETCH_K = 12
+
+
+def daily_sketches(sensor: DataFrame) -> DataFrame:
+    """type, day, people: a mergeable sketch of the participants with records, per day.
+    A new day is one more row; no earlier day is read again."""
+    days = sensor.where(F.col("startTimestamp").isNotNull()).groupBy("type", F.to_date("startTimestamp").alias("day"))
+    return days.agg(F.hll_sketch_agg("customer", SKETCH_K).alias("people"))
+
+
+def participants_over_time(sketches: DataFrame, days: int) -> DataFrame:
+    """type, upto, participants, person_days: distinct participants in the ``days`` days
+    up to each day that has records of any type, and the sum of the daily numbers, from
+    sketches alone.  Estimates: within 5 % in all but 3 of 1,000 cases."""
+    ends = sketches.select(F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("back"), "type", "day", "people")
+    known = sketches.select(F.col("day").alias("upto")).distinct()
+    spread = ends.withColumn("upto", F.date_add("day", F.col("back"))).join(known, "upto")
+    daily = F.sum(F.hll_sketch_estimate("people")).alias("person_days")
+    return spread.groupBy("type", "upto").agg(F.hll_sketch_estimate(F.hll_union_agg("people")).alias("participants"), daily)

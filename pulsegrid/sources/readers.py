@@ -5,12 +5,13 @@ All schemas are explicit, so that no file is read twice to infer them.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import apply_tz_offset, epoch_ms_to_ts, normalise_customer, parse_dayfirst, parse_iso_ts, with_day_hour, with_duration
+from ..functions.scalars import apply_tz_offset, epoch_ms_to_ts, normalise_customer, parse_dayfirst, parse_iso_ts, seconds_between, with_day_hour, with_duration
 
 VALUES = "doubleValue double, longValue long, booleanValue boolean, dateValue string, stringValue string"
 REST = "valueType string, createdAt long, source string, trustworthiness string, medicalGrade string, generation string"
@@ -134,5 +135,23 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def compact_bucketed(store: DataFrame, path: str, buckets: int = 256, ts: str = "startTimestamp") -> DataFrame:
+    """The records of a store in ``buckets`` files by participant, each in time order;
+    read as a table that knows it, so that sums, windows and joins per participant need
+    no exchange and no sort.  Small files of many batches become one a bucket."""
+    spark = store.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    by_customer = store.repartition(buckets, "customer")
+    by_customer.write.bucketBy(buckets, "customer").sortBy("customer", ts).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def longest_gaps(bucketed: DataFrame, value: str = "longValue", ts: str = "startTimestamp") -> DataFrame:
+    """customer, n, mean, gap: records, their mean value and the longest time between two."""
+    before = F.lag(ts).over(Window.partitionBy("customer").orderBy(ts))
+    rows = bucketed.select("customer", value, seconds_between(before, F.col(ts)).alias("seconds"))
+    return rows.groupBy("customer").agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.max("seconds").alias("gap"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -198,3 +198,27 @@ def test_alerts_equal_the_batch_after_every_run(spark, tmp_path):
         told |= {c for _, _, c in got}
         ended |= {r.customer for r in changes.where("category is null").collect()}
     assert told == {"no_pd", "no_gps", "no_gpspd", "no_gps_at_all"} and ended
+
+
+def test_bucketed_store_needs_no_exchange(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('c', id % 40) customer", "timestamp'2024-01-05' + make_interval(0, 0, 0, 0, 0, 0, id * 7919 % 80000) startTimestamp", "id longValue")
+    held = readers.compact_bucketed(rows.repartition(5), f"{tmp_path}/buckets", 4)
+    gaps, other = readers.longest_gaps(held), held.select("customer", F.col("longValue").alias("v")).groupBy("customer").agg(F.max("v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = gaps.join(other, "customer")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, gaps.collect())) == sorted(map(str, readers.longest_gaps(rows).collect())) and joined.count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sketches_stay_within_their_bound(spark):
+    rows = spark.range(60_000).selectExpr("'Steps' type", "concat('c', id % 20000) customer", "timestamp'2024-01-01' + make_interval(0, 0, 0, id % 10, 0, 0, 0) startTimestamp")
+    days = availability.daily_sketches(rows.where("startTimestamp < '2024-01-08'"))
+    more = days.unionByName(availability.daily_sketches(rows.where("startTimestamp >= '2024-01-08'")))  # later days, added alone
+    got = {r.upto.day: r.participants for r in availability.participants_over_time(more, 3).collect()}
+    for upto in range(1, 11):
+        exact = rows.where(F.dayofmonth("startTimestamp").between(upto - 2, upto)).select("customer").distinct().count()
+        assert abs(got[upto] - exact) <= 0.05 * exact
