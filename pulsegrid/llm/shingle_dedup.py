@@ -44,8 +44,8 @@ _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | 1).astype(np.uint32)[
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, None]
 _ODD = _RNG.integers(0, 1 << 63, max(SHINGLE, ROWS), np.uint64) * 2 + 1
 _BAND = _RNG.integers(0, 1 << 63, BANDS, np.uint64)
-#: Shingles that are min-hashed at once.
-_CHUNK = 512
+#: Shingles that are min-hashed at once, and texts whose shingles a batch holds.
+_CHUNK, _TEXTS = 512, 500
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -97,7 +97,7 @@ def signature(text: str) -> tuple[int, int, np.ndarray]:
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """text_hash and the hashes of the distinct shingles."""
-    for batch in batches:
+    for batch in (b.slice(i, _TEXTS) for b in batches for i in range(0, b.num_rows, _TEXTS)):
         own = [np.unique(_shingle_hashes(_words(t.as_py()))).view(np.int64) for t in batch.column(1)]
         ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
@@ -182,11 +182,17 @@ def _prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame:
     place = F.col("before") + F.col("at")
     entries = entries.select("text_hash", "n", "root", "entry.shingle", place.alias("place"), (place < F.col("indexed")).alias("index"))
     entries = common.stored(entries, "near-prefixes")
-    # Components that meet at a shingle come first, so that members of one component,
-    # however many, are never paired with each other.
-    ends = entries.groupBy("shingle", "root").agg(F.max("index").alias("index"))
-    one, two = ends.where("index").select("shingle", F.col("root").alias("left")), ends.select("shingle", F.col("root").alias("right"))
-    meet = one.join(two, "shingle").where("left != right")
+    # Components that may have a pair at a shingle come first, so that members of one
+    # component, however many, are never paired with each other.
+    ends = entries.groupBy("shingle", "root").agg(
+        F.max("index").alias("index"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("place")).alias("rest"),
+        F.min(F.when(F.col("index"), F.col("n"))).alias("least_i"), F.max(F.when(F.col("index"), F.col("n"))).alias("most_i"), F.max(F.when(F.col("index"), F.col("n") - F.col("place"))).alias("rest_i"),
+    )
+    one = ends.where("index").select("shingle", F.col("root").alias("left"), "least_i", "most_i", "rest_i")
+    two = ends.select("shingle", F.col("root").alias("right"), "least", "most", "rest")
+    sizes = (F.col("least_i") <= F.col("most")) & (F.col("most_i") * of >= F.col("least") * least)
+    overlap = F.least("rest_i", "rest") * (least + of) >= (F.col("least_i") + F.greatest("least_i", "least")) * least
+    meet = one.join(two, "shingle").where((F.col("left") != F.col("right")) & sizes & overlap).select("shingle", "left", "right")
     small = entries.where("index").select("shingle", F.col("text_hash").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("left"), F.col("place").alias("at_a"))
     large = entries.select("shingle", F.col("text_hash").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("right"), F.col("place").alias("at_b"))
     in_order = F.struct("n_a", "a") < F.struct("n_b", "b")
