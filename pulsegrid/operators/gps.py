@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -77,29 +78,67 @@ class _Grid:
         self.members = np.split(order, self.starts[1:])
         self.of = np.empty(len(points), np.int64)
         self.of[order] = np.cumsum(new) - 1
-        ends = np.flatnonzero(np.r_[True, self.row[1:] != self.row[:-1], True]) if len(self.row) else [0]
-        self.spans = {int(self.row[i]): (i, j) for i, j in zip(ends[:-1], ends[1:])}
+        self.ends = np.r_[self.starts[1:], len(points)]
+        self.low = min(0, int(self.col.min(initial=0)))
+        self.high = int(self.col.max(initial=0)) - self.low + 1
+        self.keys = self._key(self.row, self.col)
 
     def _width(self, row):
         low = np.where(row >= 0, row, -row - 1) * self.step
         return self.step / np.cos(np.radians(np.minimum(low, 89.999)))
 
-    def around(self, cell: int) -> list[int]:
-        """Other cells that may hold a point within ``eps_m`` of one of this."""
-        row, own = int(self.row[cell]), float(self._width(self.row[cell]))
-        found: list[int] = []
-        for r in range(row - 2, row + 3):
-            if r not in self.spans:
-                continue
-            i, j = self.spans[r]
-            high = min(90.0, max(abs(r), abs(r + 1), abs(row), abs(row + 1)) * self.step)
-            reach = self.arc / max(1e-12, np.cos(np.radians(high)))
-            reach = 360.0 if reach >= 1 else 2 * np.degrees(np.arcsin(reach)) * (1 + 1e-9)
-            west, east, width = self.col[cell] * own - reach, (self.col[cell] + 1) * own + reach, float(self._width(np.int64(r)))
+    def _key(self, row, col):
+        """Orders cells by row and column; columns beyond the last are one past it."""
+        return row * (self.high + 1) + np.clip(col - self.low, 0, self.high)
+
+    def around(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (a, b) of ``cells`` and other cells that may hold points within
+        ``eps_m`` of each other, as places in ``cells`` and numbers of cells."""
+        row, own = self.row[cells], self._width(self.row[cells])
+        found = []
+        for step in range(-2, 3):
+            r = row + step
+            high = np.minimum(90.0, np.max(np.abs([r, r + 1, row, row + 1]), axis=0) * self.step)
+            sine = self.arc / np.maximum(1e-12, np.cos(np.radians(high)))
+            reach = np.where(sine >= 1, 360.0, 2 * np.degrees(np.arcsin(np.minimum(sine, 1.0))) * (1 + 1e-9))
+            west, east, width = self.col[cells] * own - reach, (self.col[cells] + 1) * own + reach, self._width(r)
             for turn in (-360.0, 0.0, 360.0):
-                low, high_ = np.searchsorted(self.col[i:j], [np.floor((west + turn) / width) - 1, np.floor((east + turn) / width) + 2])
-                found.extend(range(i + low, i + high_))
-        return sorted(set(found) - {cell})
+                first = np.floor((west + turn) / width).astype(np.int64) - 1
+                last = np.floor((east + turn) / width).astype(np.int64) + 1
+                i = np.searchsorted(self.keys, self._key(r, first))
+                j = np.searchsorted(self.keys, self._key(r, last + 1))
+                found.append(_ranges(i, np.maximum(i, j)))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        pairs = np.unique(a * len(self.row) + b)
+        a, b = pairs // max(1, len(self.row)), pairs % max(1, len(self.row))
+        return a[b != cells[a]], b[b != cells[a]]
+
+    def near(self, points: np.ndarray, asked: np.ndarray, eps_m: float, some: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j): points of ``asked`` (grouped by cell) and all points within ``eps_m``
+        of them, themselves included, some millions of candidates at a time."""
+        cells = np.unique(self.of[asked])
+        a, b = self.around(cells)
+        a, b = np.r_[a, np.arange(len(cells))], np.r_[b, cells]
+        by = np.argsort(a, kind="stable")
+        a, b = a[by], b[by]
+        begin = np.searchsorted(a, np.arange(len(cells) + 1))
+        place = np.searchsorted(cells, self.of[asked])
+        which, pair = _ranges(begin[place], begin[place + 1])  # a point and the cells around it
+        size = self.ends[b[pair]] - self.starts[b[pair]]
+        upto = np.cumsum(size)
+        cuts = np.r_[0, np.searchsorted(upto, np.arange(some, upto[-1] if len(upto) else 0, some)), len(size)]
+        for x, y in zip(cuts[:-1], cuts[1:]):
+            own, at = _ranges(self.starts[b[pair[x:y]]], self.ends[b[pair[x:y]]])
+            i, j = asked[which[x:y][own]], self.order[at]
+            close = _metres(points[i, 0], points[i, 1], points[j, 0], points[j, 1]) <= eps_m
+            yield i[close], j[close]
+
+
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, x) for every x from first[k] to before last[k]."""
+    size = last - first
+    k = np.repeat(np.arange(len(size)), size)
+    return k, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[k]
 
 
 def _reaching(a: np.ndarray, b: np.ndarray, eps_m: float) -> np.ndarray:
@@ -138,12 +177,11 @@ def density_labels(lat: np.ndarray, lon: np.ndarray, eps_m: float, min_samples:
     grid = _Grid(points, eps_m)
     full = np.add.reduceat(counts[grid.order], grid.starts) >= min_samples
     core = full[grid.of]
-    around = [grid.around(c) for c in range(len(full))]
-    within = lambda i, others: others[_metres(*points[i], points[others, 0], points[others, 1]) <= eps_m]
-    for c in np.flatnonzero(~full):
-        others = np.concatenate([grid.members[j] for j in [c, *around[c]]])
-        for i in grid.members[c]:
-            core[i] = counts[within(i, others)].sum() >= min_samples
+    sparse = np.flatnonzero(~full[grid.of])
+    reached = np.zeros(len(points))
+    for i, j in grid.near(points, sparse, eps_m):
+        reached += np.bincount(i, counts[j], len(points))
+    core[sparse] = reached[sparse] >= min_samples
     cores = [own[core[own]] for own in grid.members]
     parent = list(range(len(full)))
 
@@ -152,23 +190,21 @@ def density_labels(lat: np.ndarray, lon: np.ndarray, eps_m: float, min_samples:
             parent[c] = c = parent[parent[c]]
         return c
 
-    for c, own in enumerate(cores):
-        for j in around[c] if len(own) else ():
-            if j > c and len(cores[j]) and root(c) != root(j) and _touch(points[own], points[cores[j]], eps_m):
-                parent[root(j)] = root(c)
+    held = np.flatnonzero([len(own) for own in cores])
+    at, other = grid.around(held)
+    for c, j in zip(held[at].tolist(), other.tolist()):
+        if j > c and len(cores[j]) and root(c) != root(j) and _touch(points[cores[c]], points[cores[j]], eps_m):
+            parent[root(j)] = root(c)
     first = np.full(len(points), len(lat))
     np.minimum.at(first, where, np.arange(len(lat)))
     numbers: dict[int, int] = {}
     begun = {c: first[own].min() for c, own in enumerate(cores) if len(own)}
     for c in sorted(begun, key=begun.__getitem__):
         labels[cores[c]] = numbers.setdefault(root(c), len(numbers))
-    edge = {}
-    for c in np.flatnonzero(~full):
-        others = np.concatenate([cores[j] for j in [c, *around[c]]])
-        for i in grid.members[c][~core[grid.members[c]]] if len(others) else ():
-            edge[i] = labels[within(i, others)].min(initial=len(numbers))
-    for i, label in edge.items():
-        labels[i] = label if label < len(numbers) else NOISE
+    edge = np.full(len(points), len(numbers))
+    for i, j in grid.near(points, np.flatnonzero(~core), eps_m):
+        np.minimum.at(edge, i[core[j]], labels[j[core[j]]])
+    labels[~core] = np.where(edge < len(numbers), edge, NOISE)[~core]
     return labels[where]
 
 
