@@ -167,17 +167,20 @@ def per_user_label_inverse(df: DataFrame, prediction: str = "prediction") -> Dat
 
 
 def per_user_feature_scale(df: DataFrame, columns: list[str], strategy: str = "minmax", user: str = "customer") -> DataFrame:
-    """Features scaled within each user; constant ones become 0."""
-    w = Window.partitionBy(user)
-
-    def scaled(c: str) -> Column:
-        if strategy == "minmax":
-            low, span = F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)
-        else:
-            low, span = F.avg(c).over(w), F.stddev_pop(c).over(w)
-        return F.coalesce(F.try_divide(F.col(c) - low, F.nullif(span.cast("double"), F.lit(0.0))), F.when(F.col(c).isNotNull(), F.lit(0.0)))
-
-    return df.withColumns({c: scaled(c) for c in columns})
+    """Features scaled within each user; constant ones become 0.  A user's rows are
+    spread over tasks; what they have in common comes from totals."""
+    spread = F.pmod(F.xxhash64(*columns), F.lit(64))
+    value = {c: F.col(c).cast("double") for c in columns}
+    if strategy == "minmax":
+        rows = with_totals(df, [user], {f"{n}_{c}": (f, v) for c, v in value.items() for n, f in (("low", F.min), ("high", F.max))}, spread)
+        span = {c: F.col(f"high_{c}") - F.col(f"low_{c}") for c in columns}
+    else:  # deviations from the mean, which is known by then, so that large values keep their digits
+        rows = with_totals(df, [user], {f"{n}_{c}": (F.sum, v) for c, v in value.items() for n, v in (("sum", v), ("n", F.when(v.isNotNull(), 1)))}, spread)
+        rows = rows.withColumns({f"low_{c}": F.try_divide(f"sum_{c}", f"n_{c}") for c in columns})
+        rows = with_totals(rows, [user], {f"high_{c}": (F.sum, F.pow(v - F.col(f"low_{c}"), 2)) for c, v in value.items()}, spread)
+        span = {c: F.sqrt(F.try_divide(f"high_{c}", f"n_{c}")) for c in columns}
+    scaled = {c: F.coalesce(F.try_divide(v - F.col(f"low_{c}"), F.nullif(span[c], F.lit(0.0))), F.when(v.isNotNull(), F.lit(0.0))) for c, v in value.items()}
+    return rows.withColumns(scaled).select(*df.columns)
 
 
 def encode_users(train: DataFrame, test: DataFrame, user: str = "customer", ts: str = "sensor_block_end") -> DataFrame:
@@ -227,7 +230,7 @@ def holdout_adaptation(df: DataFrame, y: str, share: float = 0.8, user: str = "c
     """Metrics per user of predicting the rest by the mean of the first floor(share * n) rows."""
     rows = with_place(df, [user], [ts]).withColumn("_early", F.col("place") <= F.floor(F.col("of") * share))
     early = F.when(F.col("_early"), F.col(y).cast("double"))
-    rows = with_totals(rows, [user], [ts], {"_sum": early, "_n": F.when(early.isNotNull(), 1)})
+    rows = with_totals(rows, [user], {"_sum": (F.sum, early), "_n": (F.sum, F.when(early.isNotNull(), 1))}, F.to_date(ts))
     return regression_metrics(rows.withColumn("prediction", F.try_divide("_sum", "_n")).where("not _early"), y, keys=[user])
 
 

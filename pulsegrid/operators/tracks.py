@@ -63,9 +63,10 @@ def tile(n: int) -> Column:
     return F.when(F.col("place") <= split, early).otherwise(late).cast("int") + 1
 
 
-def with_totals(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], segment: Column | None = None) -> DataFrame:
-    """Adds sums (aggregates that may be added up) over each group of ``keys``."""
-    rows = df.withColumn("_part", _part(keys, order, segment))
-    parts = rows.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    whole = _along(keys).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.join(parts.select("_part", *[F.sum(n).over(whole).alias(n) for n in sums]), "_part").drop("_part")
+def with_totals(df: DataFrame, keys: list[str], totals: dict[str, tuple], segment: Column) -> DataFrame:
+    """Adds totals over each group of ``keys``: name -> (F.sum, F.min or F.max, column).
+    Segments need no order here; any column that spreads a group's rows will do."""
+    rows = df.withColumn("_part", F.struct(*keys, segment.alias("segment")))
+    parts = rows.groupBy("_part").agg(*[f(c).alias(n) for n, (f, c) in totals.items()])
+    whole = Window.partitionBy(F.struct(*[F.col("_part")[k].alias(k) for k in keys]))
+    return rows.join(parts.select("_part", *[f(n).over(whole).alias(n) for n, (f, _) in totals.items()]), "_part").drop("_part")

@@ -84,3 +84,20 @@ def test_hash_split_does_not_depend_on_partitions(spark):
     first, rest = scores.hash_split(df, 0.8, 1, ["id"])
     again, _ = scores.hash_split(df.repartition(7), 0.8, 1, ["id"])
     assert 1500 < first.count() < 1700 and first.count() + rest.count() == 2000 and first.exceptAll(again).count() == 0
+
+
+@pytest.mark.parametrize("strategy", ["minmax", "standard"])
+def test_feature_scale_equals_the_window(spark, strategy):
+    from pyspark.sql import Window
+
+    rng = random.Random(1)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, 1e9 + rng.random()]), 3, i) for i in range(80)] + [("one", 5.0, 3, 99)]
+    df = spark.createDataFrame(data, "customer string, x double, same int, id int")
+    w = Window.partitionBy("customer")
+    low, span = (F.min("x").over(w), F.max("x").over(w) - F.min("x").over(w)) if strategy == "minmax" else (F.avg("x").over(w), F.stddev_pop("x").over(w))
+    want = df.withColumn("want", F.coalesce(F.try_divide(F.col("x") - low, F.nullif(span, F.lit(0.0))), F.when(F.col("x").isNotNull(), 0.0)))
+    got = modelling.per_user_feature_scale(df, ["x", "same"], strategy)
+    assert got.columns == df.columns and {r.same for r in got.collect()} == {0.0}
+    want = {r.id: r.want for r in want.collect()}
+    for r in got.collect():
+        assert (r.x is None) == (want[r.id] is None) and (r.x is None or r.x == pytest.approx(want[r.id], abs=1e-5))
