@@ -30,6 +30,8 @@ SCALE, LABELS = 256, 10
 LIMIT = 2.0**26
 #: Rows of a tree, rows of a leaf, anchors of a block, queries that go down a tree together.
 TREE, LEAF, BLOCK, TOGETHER = 8_192, 64, 16_384, 4_096
+#: A child has one in so many of its parent's rows at least (and one row).
+SIDE = 16
 #: Share by which bounds are widened, far above rounding and far below a score's step.
 SLACK = 1e-9
 
@@ -60,9 +62,14 @@ class BallTree:
             if b - a > leaf and away.max() > 0:
                 one = own[away.argmax()]
                 other = own[((own - one) ** 2).sum(axis=1).argmax()]
-                half = (b - a) // 2
-                order[a:b] = order[a:b][np.argpartition(own @ (other - one), half)]
-                todo += [(a, a + half, node, 0), (a + half, b, node, 1)]
+                # Rows go with the nearer of two far ones, so that clusters stay whole; a
+                # side with too few rows is filled up, so that depth stays bounded.
+                along = own @ (other - one)
+                cut = int((along < (other @ other - one @ one) / 2).sum())
+                few = max(1, (b - a) // SIDE)
+                cut = min(max(cut, few), b - a - few)
+                order[a:b] = order[a:b][np.argpartition(along, cut)]
+                todo += [(a, a + cut, node, 0), (a + cut, b, node, 1)]
         self.x, self.ids, self.labels = x[order], ids[order], labels[order]
         self.centres, self.radii = np.array(centres), np.array(radii)
         self.alone = kinds  # the label, where a node has but one
@@ -119,6 +126,16 @@ class BallTree:
                 full = query[start][filled[query[start]] == k]
                 worst[full] = best_score[full, k - 1]
 
+        # Each query begins at the leaf that its bounds lead to, so that a worst is known.
+        left, right = np.array(self.left), np.array(self.right)
+        seed = np.zeros(m, np.int64)
+        while len(down := np.flatnonzero(left[seed] >= 0)):
+            one, two = left[seed[down]], right[seed[down]]
+            seed[down] = np.where(np.minimum(upper[down, one], high[down]) >= np.minimum(upper[down, two], high[down]), one, two)
+        for node in np.unique(seed):
+            if len(who := fits(int(node), np.flatnonzero(seed == node))):
+                take(int(node), who)
+
         todo = [(0, np.arange(m))]
         while todo:
             node, who = todo.pop()
@@ -126,7 +143,8 @@ class BallTree:
             if not len(who):
                 continue
             if self.left[node] < 0:
-                take(node, who)
+                if len(who := who[seed[who] != node]):
+                    take(node, who)
                 continue
             one, two = self.left[node], self.right[node]
             # What may hold higher scores (within the window) is gone through first.

@@ -218,3 +218,26 @@ def test_negatives_sql(spark, sf):
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     got = hard_negatives.op13_hard_negatives(spark, sf)
     assert Counter(map(tuple, got.collect())) == Counter(duckdb.sql(hard_negatives.OP13_SQL).fetchall())
+
+
+def test_nodes_are_left_out(monkeypatch):
+    """Of vectors in clusters most nodes lie outside the window or beneath the k-th."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32)) * 256 / 32**0.5
+    x = np.floor(centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32)) * 8).astype(np.int32)
+    labels = rng.integers(0, 10, 6000).astype(np.int32)
+    tree, scored = hard_negatives.BallTree(x, np.arange(6000), labels), []
+    plain = hard_negatives.BallTree.scores
+    monkeypatch.setattr(hard_negatives.BallTree, "scores", lambda self, q, a, b: scored.append(len(q) * (b - a)) or plain(self, q, a, b))
+    q, own = x[:60], labels[:60]
+    none = np.full(60, -(2**62))
+    query, ids, score = tree.search(q, np.arange(60), own, 5, True, none, -none)
+    first = sum(scored) / (60 * 6000)
+    s = q.astype(int) @ x.T.astype(int)
+    for i in range(60):
+        fit = sorted((-s[i, j], j) for j in np.flatnonzero((labels == own[i]) & (np.arange(6000) != i)))[:5]
+        assert list(zip(-score[query == i], ids[query == i])) == fit
+    scored.clear()
+    best = score[np.searchsorted(query, np.arange(60))]
+    tree.search(q, np.arange(60), own, 10, False, -(-95 * best // 100), 99 * best // 100)
+    assert first < 0.4 and sum(scored) / (60 * 6000) < 0.2
