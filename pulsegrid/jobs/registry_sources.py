@@ -127,14 +127,14 @@ def _(spark, sf):
     return read.select("customer", "unique_blocks", stamp("sensor_block_start").alias("b0"), stamp("sensor_block_end").alias("b1"))
 
 
-@query("s8_read_weather", with_tables("SELECT strftime(date, '%Y-%m-%d') AS date, round(t, 4) AS apparent_temperature_mean, round(s, 4) AS sunshine_duration, p AS precipitation_hours, kind FROM weather, (VALUES ('csv'), ('parquet')) v(kind)", "weather"))
+@query("s8_read_weather", with_tables("SELECT strftime(date, '%Y-%m-%d') AS date, round(t, 4) AS apparent_temperature_mean, round(s, 6) AS sunshine_duration, p AS precipitation_hours, kind FROM weather, (VALUES ('csv'), ('parquet')) v(kind)", "weather"))
 def _(spark, sf):
     """From either format; sunshine comes in seconds."""
     given = fx.weather(spark, sf).withColumn("sunshine_duration", F.col("sunshine_duration") * 3600)
     table = scratch(spark, "weather") + ".parquet"
     given.write.parquet(table)
     parts = [(kind, readers.read_weather(spark, path)) for kind, path in (("csv", _csv(given, "weather-csv")), ("parquet", table))]
-    told = [df.select(F.col("date").cast("string").alias("date"), *[F.round(c, 4).alias(c) for c in ("apparent_temperature_mean", "sunshine_duration")], "precipitation_hours", F.lit(kind).alias("kind")) for kind, df in parts]
+    told = [df.select(F.col("date").cast("string").alias("date"), F.round("apparent_temperature_mean", 4).alias("apparent_temperature_mean"), r6("sunshine_duration").alias("sunshine_duration"), "precipitation_hours", F.lit(kind).alias("kind")) for kind, df in parts]
     return told[0].unionByName(told[1])
 
 
