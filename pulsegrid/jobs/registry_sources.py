@@ -12,8 +12,10 @@ from ..sources import readers
 from . import fixtures as fx
 from . import pipelines
 from .fixtures import with_tables
-from .registry import query, r6, rounded, stamp
+from .registry import SQL, query, r6, rounded, stamp
+from .registry_sensors import _SPEED
 from .registry_streams import _LOCAL, _raw
+from .registry_study import _D
 
 
 def _csv(df: DataFrame, name: str, **options) -> str:
@@ -161,3 +163,22 @@ def _(spark, sf):
     sketches = availability.daily_sketches(fx.sensor(spark, sf))
     found = availability.participants_over_time(sketches, 7).where("upto <= DATE '2024-01-07'")
     return found.withColumn("upto", F.col("upto").cast("string"))
+
+
+_TITLES = ["panas_3"]  # prompts have one or two items each, and only those with all of them stay
+_GATED = f"""WITH ema AS ({fx.SQL['ema']}), {_D.rstrip()}, g AS (SELECT customer, day, count(DISTINCT unique_day_id) AS n FROM d GROUP BY 1, 2),
+    k AS (SELECT customer FROM g GROUP BY 1 HAVING count_if(n >= 2) >= 2), gated AS (SELECT d.* FROM d JOIN k USING (customer))"""
+_PROMPTS = f"{_GATED} SELECT customer, customer || unique_day_id AS unique_blocks, min(quest_create) - INTERVAL 24 HOUR AS b0, min(quest_create) AS b1 FROM gated GROUP BY customer, unique_day_id"
+_AFFECT = f"""{_GATED}, v AS (SELECT customer, unique_day_id, quest_title, TRY_CAST(arg_min(choice_text, (quest_create, choice_text)) AS DOUBLE) AS v FROM gated WHERE choice_text IS NOT NULL GROUP BY ALL)
+    SELECT customer, customer || unique_day_id AS unique_blocks, round(avg(v), 6) AS mean_na FROM v WHERE quest_title = '{_TITLES[0]}' AND v IS NOT NULL GROUP BY ALL"""
+_PARTS = [SQL[n].replace(fx.SQL["blocks"], _PROMPTS) for n in ("a19_heart_rate_blocks", "a20_step_blocks", "a21_activity_blocks")]
+_POINTS = with_tables(f"{_SPEED.rstrip()}, blocks AS ({_PROMPTS}), gate AS (SELECT customer FROM places GROUP BY 1 HAVING count(*) >= 5), moved AS (SELECT customer, ts FROM sq JOIN gate USING (customer) WHERE speed IS NOT NULL AND speed * 3.6 <= 220), n AS (SELECT unique_blocks, count(*) AS n FROM blocks b JOIN moved m ON m.customer = b.customer AND m.ts BETWEEN b.b0 AND b.b1 GROUP BY 1) SELECT b.customer, b.unique_blocks, coalesce(n, -1) AS \"n_GPS\" FROM blocks b LEFT JOIN n USING (unique_blocks)", "places")
+
+
+@query("features_end_to_end", f"SELECT * FROM ({_PARTS[0]})" + "".join(f" JOIN ({p}) USING (customer, unique_blocks)" for p in (*_PARTS[1:], _POINTS, f"WITH ev AS ({fx.SQL['ev']}) SELECT * FROM ({_AFFECT})")))
+def _(spark, sf):
+    """Answers and sensor records to one row a prompt: gate, blocks, home, features, affect."""
+    prompts = ema.derive_ema(fx.ema_long(spark, sf))
+    found = pipelines.features(fx.sensor(spark, sf), prompts, _TITLES, fx.BLOCK_HOURS, 2, 2, min_data_points=5, min_samples=2, min_nights_obs=1)
+    places = ["total_distance_km", "at_home_minute", "time_in_transition_minutes", "time_stationary_minutes"]
+    return rounded(found.drop("unique_day_id", "sensor_block_start", "sensor_block_end", *places))
