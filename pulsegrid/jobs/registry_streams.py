@@ -16,7 +16,7 @@ from ..operators.spread import scratch
 from ..streaming import alerts, ingest, streams
 from . import fixtures as fx
 from .fixtures import with_tables
-from .registry import SQL, query, r6, rounded
+from .registry import SQL, query, rounded
 
 
 def _fed(spark: SparkSession, name: str, parts: list[DataFrame], start) -> str:
