@@ -227,6 +227,11 @@ def dbscan(gps: DataFrame, eps_m: float = 100, min_samples: int = 10, min_data_p
     points are held by one task if they are ``in_one_task`` at most; those of others
     are clustered by ``density.spread_dbscan``, with the same labels.
     """
+    return _clustered(gps, eps_m, min_samples, min_data_points, min_share, large_participants(gps, in_one_task))
+
+
+def _clustered(gps: DataFrame, eps_m: float, min_samples: int, min_data_points: int, min_share: float | None, large: DataFrame | None) -> DataFrame:
+    """``dbscan`` with the participants that are too large for one task known."""
     schema = f"{_schema(gps)}, cluster int"
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -238,7 +243,6 @@ def dbscan(gps: DataFrame, eps_m: float = 100, min_samples: int = 10, min_data_p
             labels[known] = density_labels(pdf["Latitude"].to_numpy()[known], pdf["Longitude"].to_numpy()[known], eps_m, least)
         return pdf.assign(cluster=labels.astype("int32"))
 
-    large = large_participants(gps, in_one_task)
     if large is None:
         return gps.groupBy("customer").applyInPandas(label, schema)
     own = written(gps, "tracks").withColumn("who", F.struct("customer"))
@@ -379,8 +383,9 @@ def extract_home(gps: DataFrame, min_data_points: int = 50, eps_m: float = 100,
     if not 0 <= min_f_home <= 1:
         raise ValueError("min_f_home must lie within 0 and 1")
     moved = calculate_stationary_and_transition(calculate_distances_and_speeds(data_quality_check(gps, min_data_points)), speed_limit, max_distance)
-    placed = dbscan(moved, eps_m, min_samples, min_data_points, min_share, in_one_task)
-    if large_participants(gps, in_one_task) is None:
+    large = large_participants(gps, in_one_task)
+    placed = _clustered(moved, eps_m, min_samples, min_data_points, min_share, large)
+    if large is None:
         return compose_ids(determine_if_at_home(with_home(placed, min_nights_obs, min_f_home)))
     placed = written(placed, "placed").withColumn("who", F.struct("customer"))
     homes = find_home_cluster(placed, min_nights_obs, min_f_home).select(F.struct("customer").alias("who"), "home")
