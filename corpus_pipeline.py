@@ -16,7 +16,7 @@ from pulsegrid.llm import common, exact_dedup, packing, quality_rules, secret_sc
 
 def _keep(docs: DataFrame, judged: DataFrame, digest: Column) -> DataFrame:
     """One row of ``docs`` for each id (null: as a value) and text digest that ``judged``
-    (doc_id, digest, rows, kept) keeps: of rows that share both, the least by its columns (as JSON, which any type has).
+    (doc_id, digest, rows, kept) keeps: of rows that share both, the least by its columns (maps, which have no order, as JSON).
 
     What goes or is there more than once is less than what stays as it is, so only that
     meets the rows; it is broadcast if it is small by its count."""
@@ -29,7 +29,8 @@ def _keep(docs: DataFrame, judged: DataFrame, digest: Column) -> DataFrame:
     single = met.where(F.col(mark).isNull()).select(*columns)
     if marks.where(mark).isEmpty():
         return single
-    least = met.where(mark).groupBy(i, d).agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias(row))
+    order = F.struct(*[F.to_json(c) if "map<" in t else c for c, (_, t) in zip(columns, docs.dtypes)])
+    least = met.where(mark).groupBy(i, d).agg(F.min_by(F.struct(*columns), order).alias(row))
     return single.unionByName(least.select(f"{row}.*"))
 
 
