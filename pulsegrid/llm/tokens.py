@@ -16,7 +16,7 @@ import struct
 from collections.abc import Callable
 
 #: Words of a generation; a worker keeps two, so that frequent words are never lost.
-CACHE_WORDS = 150_000
+CACHE_WORDS = 320_000
 
 #: Bytes as the byte-level pre-tokenizer writes them: printable ones as they are,
 #: the rest in order from U+0100 on.
