@@ -151,6 +151,13 @@ def test_metrics_of_odd_groups(spark):
     assert entropy["one"] == pytest.approx(0) and entropy["two"] == pytest.approx(math.log(2))
 
 
+def test_raw_entropy_of_points_on_the_edges_of_bins(spark):
+    steps = [0, 1, 2, 5, 7, 10, 3, 9]  # tenths of the range: each but the first two has a bin of its own
+    g = track(spark, [("u", i, 52.5 + 0.06 + 0.00001 * k, 13.4) for i, k in enumerate(steps)])
+    entropy = gps.raw_location_entropy(g, ["customer"]).first().raw_entropy
+    assert entropy == pytest.approx(math.log(8) - 2 * math.log(2) / 8)
+
+
 def test_adaptive_kmeans_stays_within_the_distance(spark):
     g = track(spark, [("u", i, 52.5 + 0.02 * (i % 3), 13.4) for i in range(30)])
     out = gps.adaptive_kmeans(g, 500)
