@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import FINISHED, SHORT_VERSIONS
@@ -92,3 +92,28 @@ def participants_over_time(sketches: DataFrame, days: int) -> DataFrame:
     spread = ends.withColumn("upto", F.date_add("day", F.col("back"))).join(known, "upto")
     daily = F.sum(F.hll_sketch_estimate("people")).alias("person_days")
     return spread.groupBy("type", "upto").agg(F.hll_sketch_estimate(F.hll_union_agg("people")).alias("participants"), daily)
+
+
+def daily_participants(sensor: DataFrame) -> DataFrame:
+    """type, day, customer: each participant once for each day with records of a type.
+    A new day is more rows; no earlier day is read again."""
+    days = sensor.where(F.col("startTimestamp").isNotNull() & F.col("customer").isNotNull())
+    return days.select("type", F.to_date("startTimestamp").alias("day"), "customer").distinct()
+
+
+def exact_participants_over_time(daily: DataFrame, days: int) -> DataFrame:
+    """type, upto, participants, person_days: as ``participants_over_time``, exactly.
+
+    A participant counts from a day with records for ``days`` days, or until the next
+    such day, from which on that one counts; so a day needs only the sums of those who
+    come and go, and what is summed over days is a row for each type and day.
+    """
+    later = F.lead("day").over(Window.partitionBy("type", "customer").orderBy("day"))
+    spans = daily.withColumn("gone", F.least(F.date_add("day", days), F.coalesce(later, F.date_add("day", days))))
+    moves = F.inline(F.array(F.struct(F.col("day").alias("at"), F.lit(1).alias("n"), F.lit(1).alias("own")), F.struct(F.col("gone").alias("at"), F.lit(-1).alias("n"), F.lit(0).alias("own"))))
+    moved = spans.select("type", moves).groupBy("type", "at").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    known = daily.select(F.col("day").alias("upto")).distinct()
+    # Every type on every day that any has records: what came and went until then.
+    met = known.join(moved, F.col("at") <= F.col("upto")).groupBy("type", "upto")
+    within = F.when(F.col("at") > F.date_sub("upto", days), F.col("own")).otherwise(0)
+    return met.agg(F.sum("n").alias("participants"), F.sum(within).alias("person_days")).where("participants > 0")

@@ -222,3 +222,17 @@ def test_sketches_stay_within_their_bound(spark):
     for upto in range(1, 11):
         exact = rows.where(F.dayofmonth("startTimestamp").between(upto - 2, upto)).select("customer").distinct().count()
         assert abs(got[upto] - exact) <= 0.05 * exact
+
+
+def test_participants_over_time_are_exact(spark):
+    rows = spark.range(30_000).selectExpr("if(id % 3 = 0, 'Steps', 'HeartRate') type", "concat('c', id * 7919 % 5003) customer", "timestamp'2024-01-01' + make_interval(0, 0, 0, id * id % 19, 0, 0, 0) startTimestamp")
+    rows = rows.where("NOT (type = 'Steps' AND dayofmonth(startTimestamp) BETWEEN 8 AND 12)")  # no row where a type has nothing in the days
+    got = {(r.type, r.upto.day): (r.participants, r.person_days) for r in availability.exact_participants_over_time(availability.daily_participants(rows), 3).collect()}
+    held = [(r.type, r.startTimestamp.day, r.customer) for r in rows.collect()]
+    want = {}
+    for upto in {d for _, d, _ in held}:
+        for kind in ("Steps", "HeartRate"):
+            own = {(d, c) for t, d, c in held if t == kind and upto - 3 < d <= upto}
+            if own:
+                want[kind, upto] = (len({c for _, c in own}), len(own))
+    assert got == want
