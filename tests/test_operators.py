@@ -158,6 +158,20 @@ def test_raw_entropy_of_points_on_the_edges_of_bins(spark):
     assert entropy == pytest.approx(math.log(8) - 2 * math.log(2) / 8)
 
 
+def test_few_points_get_the_labels_of_the_grid_without_one(monkeypatch):
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        n, eps, least = int(rng.integers(1, 120)), float(rng.choice([20, 60, 100])), int(rng.integers(1, 6))
+        c = rng.integers(0, 12, n)
+        lat, lon = 52.5 + 0.0006 * (c % 4) + 1e-5 * rng.integers(0, 40, n), 13.4 + 0.0009 * (c // 4) + 1e-5 * rng.integers(0, 40, n)
+        with monkeypatch.context() as m:
+            m.setattr(gps, "FEW", 0)
+            want = gps.density_labels(lat, lon, eps, least)
+        with monkeypatch.context() as m:
+            m.setattr(gps, "_Grid", None)
+            assert (gps.density_labels(lat, lon, eps, least) == want).all()
+
+
 def test_adaptive_kmeans_stays_within_the_distance(spark):
     g = track(spark, [("u", i, 52.5 + 0.02 * (i % 3), 13.4) for i in range(30)])
     out = gps.adaptive_kmeans(g, 500)
