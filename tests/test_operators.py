@@ -180,6 +180,16 @@ def test_adaptive_kmeans_stays_within_the_distance(spark):
         gps.extract_home(g, eps_m=0)
 
 
+def test_adaptive_kmeans_hands_groups_over_as_arrow(spark):
+    g = track(spark, [("u", 9, 52.5, 13.4), ("u", 1, 52.6, 13.4), ("u", 2, 52.5, 13.4), ("v", 0, None, 13.4), ("w", 0, 52.5, 13.4)])
+    kinds = []
+    with pytest.MonkeyPatch.context() as m:
+        grouped = type(g.groupBy("customer"))
+        m.setattr(grouped, "applyInPandas", lambda *_: kinds.append("pandas"))
+        found = gps.adaptive_kmeans(g, 500)
+    assert not kinds and sorted((r.customer, r.Latitude or 0, r.cluster) for r in found.collect()) == [("u", 52.5, 1), ("u", 52.5, 1), ("u", 52.6, 0), ("v", 0, -1), ("w", 52.5, 0)]
+
+
 def plain_kmeans(x, w, d_max, max_k):
     """The same growth without bounds."""
     c = np.average(x, axis=0, weights=w)[None]
