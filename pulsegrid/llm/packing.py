@@ -74,12 +74,17 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> list[tuple[int, int, i
     return rows
 
 
+#: Ids that a worker holds as pieces before it hands them on.
+HELD_IDS = 1 << 20
+
+
 def _pieces(name: str, end_id: int, size: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokens.encoder(name), np.array([end_id], "<u4").tobytes()
         part, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         for batch in batches:
             rows: list[tuple] = []
+            held = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py()) + end
                 total = len(ids) // 4
@@ -88,6 +93,10 @@ def _pieces(name: str, end_id: int, size: int, keep_ids: bool):
                     n = len(piece) // 4
                     rows.append((doc_id, start, n, zlib.crc32(piece), total, part, seen[n], piece if keep_ids else None))
                     seen[n] += 1
+                held += total
+                if held >= HELD_IDS:
+                    yield common.to_batch(_PIECES, list(zip(*rows)))
+                    rows, held = [], 0
             yield common.to_batch(_PIECES, list(zip(*rows)) or [[]] * len(_PIECES))
 
     return run

@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -656,3 +657,17 @@ def test_heavy_keys_join_alike(spark, monkeypatch):
         monkeypatch.setattr(common, "LIGHT", light)
         got = common.joined(rows, values, ["k"], "n", F.col("id"), "left").select("k", "id", "v")
         assert sorted(map(tuple, got.collect()), key=repr) == plain
+
+
+def test_pieces_are_handed_on_before_a_batch_ends(monkeypatch):
+    import types
+
+    from pulsegrid.llm import packing
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "text": ["a b c d " * 9, "", "e f " * 40]})
+    monkeypatch.setattr(packing, "TaskContext", types.SimpleNamespace(get=lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    run = packing._pieces("word_bpe_49k.json", 1, 16, True)
+    whole = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    monkeypatch.setattr(packing, "HELD_IDS", 20)
+    parts = list(run(iter([batch])))
+    assert sum(b.num_rows > 0 for b in parts) == 2 and [r for b in parts for r in b.to_pylist()] == whole
