@@ -24,7 +24,8 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {
     b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))
 }
-_MAPPED = str.maketrans({chr(b): c for b, c in _BYTE_CHARS.items()})
+#: Letters as the byte-level pre-tokenizer writes their UTF-8 bytes.
+_MAPPED = {chr(i): "".join(_BYTE_CHARS[b] for b in chr(i).encode()) for i in range(256)}
 
 #: A word of Latin letters with closing marks (no apostrophe: it starts contractions).
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
@@ -49,8 +50,11 @@ def library(name: str):
     return tokenizer
 
 
+_LAYOUTS = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _LAYOUTS[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
 
 class WordIds(dict):
@@ -68,31 +72,31 @@ class WordIds(dict):
         self.earlier: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        if (ids := self.earlier.get(word)) is None:
+            ids = self._found(word)
+            if len(word) > 256:
+                return ids
         if len(self) >= CACHE_WORDS:
             self.earlier = dict(self)
             self.clear()
-        if (ids := self.earlier.get(word)) is not None:
-            self[word] = ids
-            return ids
-        if not (plain := _PLAIN.fullmatch(word)):
-            ids = self.whole(" " + word if self.before else word)
-        else:
-            letters, marks = plain.groups()
-            if marks:
-                if (end := self.marks.get(marks)) is None:
-                    end = self.whole(marks)
-                    if len(self.marks) < 10_000:
-                        self.marks[marks] = end
-                ids = self[letters] + end
-            else:
-                letters = letters.lower() if self.lower else letters
-                if not letters.isascii():
-                    letters = letters.encode().decode("latin-1").translate(_MAPPED)
-                ids = _packed([t.id for t in self.merge(self.before + letters)])
-        if len(word) <= 256:
-            self[word] = ids
+        self[word] = ids
         return ids
 
+    def _found(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():
+            return _packed([t.id for t in self.merge(self.before + (word.lower() if self.lower else word))])
+        if not (plain := _PLAIN.fullmatch(word)):
+            return self.whole(" " + word if self.before else word)
+        letters, marks = plain.groups()
+        if marks:
+            if (end := self.marks.get(marks)) is None:
+                end = self.whole(marks)
+                if len(self.marks) < 10_000:
+                    self.marks[marks] = end
+            return self[letters] + end
+        letters = letters.lower() if self.lower else letters
+        return _packed([t.id for t in self.merge(self.before + "".join(map(_MAPPED.__getitem__, letters)))])
+
 
 #: A space between two characters that aren't white: no id crosses it.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
