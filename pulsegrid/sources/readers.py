@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import apply_tz_offset, epoch_ms_to_ts, normalise_customer, parse_dayfirst, parse_iso_ts, seconds_between, with_day_hour, with_duration
+from ..functions.scalars import apply_tz_offset, epoch_ms_to_ts, epoch_us_to_ts, normalise_customer, parse_dayfirst, parse_iso_ts, seconds_between, with_day_hour, with_duration
 
 VALUES = "doubleValue double, longValue long, booleanValue boolean, dateValue string, stringValue string"
 REST = "valueType string, createdAt long, source string, trustworthiness string, medicalGrade string, generation string"
@@ -57,10 +57,12 @@ def read_epochs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EPOCHS).option("header", True).option("encoding", "ISO-8859-1").csv(path)
 
 
-def clean_epochs(epochs: DataFrame, unit: str = "ms") -> DataFrame:
-    """Raw records with normal ids, local times, duration, day and hour, as one projection."""
+def clean_epochs(epochs: DataFrame, unit: str = "ms", epoch: str = "ms") -> DataFrame:
+    """Raw records with normal ids, local times, duration, day and hour, as one projection.
+    ``epoch``: what their times count, ms or us; ``unit``: what their offsets count."""
+    read = {"ms": epoch_ms_to_ts, "us": epoch_us_to_ts}[epoch]
     rows = epochs.drop(*[c.split()[0] for c in REST.split(", ")])
-    rows = rows.withColumns({"customer": normalise_customer("customer")} | {c: epoch_ms_to_ts(c) for c in ("startTimestamp", "endTimestamp")})
+    rows = rows.withColumns({"customer": normalise_customer("customer")} | {c: read(c) for c in ("startTimestamp", "endTimestamp")})
     return with_day_hour(with_duration(apply_tz_offset(rows, unit)))
 
 

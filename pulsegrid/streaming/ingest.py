@@ -66,11 +66,11 @@ def store_batch(rows: DataFrame, batch: int, target: str, lateness: str) -> None
     mark = read_done(spark, target).where(F.col("batch") < batch).agg((F.max("newest") - F.expr(f"INTERVAL '{lateness}'"))).first()[0]
     rows = rows.persist()
     behind = F.lit(False) if mark is None else F.coalesce(F.col("startTimestamp") < F.lit(mark), F.lit(False))
-    span = rows.where(~behind).agg(F.count("*").alias("n"), F.min("startTimestamp").alias("low"), F.max("startTimestamp").alias("high")).first()
+    span = rows.where(~behind).agg(F.count("*").alias("n"), F.max("startTimestamp").alias("high"), *[f(F.to_date("startTimestamp")).alias(n) for n, f in (("since", F.min), ("until", F.max))]).first()
     fresh = dedupe(rows.where(~behind), KEY, [c for c, t in rows.dtypes if c not in KEY and not t.startswith("map")]).withColumn("day", F.to_date("startTimestamp"))
     held = _closed(spark, target, "store", batch)
-    if span.low is not None:  # the days of this batch alone are read
-        held = held.where(F.col("day").isNull() | F.col("day").between(span.low.date(), span.high.date()))
+    if span.since is not None:  # the days of this batch alone are read
+        held = held.where(F.col("day").isNull() | F.col("day").between(span.since, span.until))
     key = F.struct(*KEY).alias("_key")  # nulls in it are equal
     new = fresh.withColumn("_key", key).join(held.select(key), "_key", "left_anti").drop("_key").hint("rebalance", "type", "day")
     new.sortWithinPartitions("type", "day", "customer", "startTimestamp").write.mode("overwrite").partitionBy("type", "day").parquet(f"{target}/store/batch={batch}")
@@ -81,14 +81,15 @@ def store_batch(rows: DataFrame, batch: int, target: str, lateness: str) -> None
     rows.unpersist()
 
 
-def stream_ingest(epochs: DataFrame, roster: DataFrame, target: str, checkpoint: str, lateness: str = "2 days", unit: str = "ms") -> StreamingQuery:
+def stream_ingest(epochs: DataFrame, roster: DataFrame, target: str, checkpoint: str, lateness: str = "2 days", unit: str = "ms", epoch: str = "ms") -> StreamingQuery:
     """Cleans, dates and stores raw records (``readers.EPOCHS``, streaming) of the
-    people in ``roster`` below ``target``; takes all that is there, then ends.
+    people in ``roster`` below ``target``; takes all that is there, then ends.  ``epoch``
+    and ``unit`` are as for ``clean_epochs``.
 
     Result: ``read_store``, ``read_late`` and ``read_done``.  Without late records the
     store holds what ``pipelines.ingest`` gives, each key once.
     """
-    cleaned, people = clean_epochs(epochs, unit), roster.dropDuplicates(["customer"])
+    cleaned, people = clean_epochs(epochs, unit, epoch), roster.dropDuplicates(["customer"])
     spark = epochs.sparkSession
     schema = attach_roster_inner(cleaned, people).schema
     spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{target}/schema")

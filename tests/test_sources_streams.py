@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pulsegrid.jobs import fixtures, pipelines
+from pulsegrid.jobs import fixtures, pipelines, registry
 from pulsegrid.operators import availability, monitoring, relational
 from pulsegrid.sources import readers
 from pulsegrid.streaming import alerts, ingest, streams
@@ -100,6 +100,14 @@ def as_set(df):
     return sorted(map(str, df.select("customer", "type", "startTimestamp", "endTimestamp", "start_end", "longValue", "status").collect()))
 
 
+def test_times_of_one_millisecond_are_different_keys(spark, tmp_path):
+    event = "id event_id, timestamp_micros(1704456000000000 + 400 * id) ts, 1L user_id, 'view' event_type, 70D value, '{\"k\": 1}' props"
+    spark.range(4).selectExpr(*event.split(", ")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT 1L c_custkey, 1 c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    found = registry.QUERIES["x1_stream_ingest"](spark, str(tmp_path)).collect()
+    assert [(r.part, r.n, r.longs) for r in found] == [("store", 4, 360)]  # in two milliseconds
+
+
 def test_killed_ingest_goes_on_where_it_was(spark, tmp_path, monkeypatch):
     source, target, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "ck"))
     roster = spark.createDataFrame([("aaaa", "s"), ("bbbb", "t"), ("idle", "u")], "customer string, status string")
