@@ -48,6 +48,25 @@ def test_spread_dbscan_equals_the_grouped_one(spark, monkeypatch, seed, eps, lea
         assert (own.cluster.to_numpy() == want).all()
 
 
+def test_cells_beside_are_found_by_dealing_few_rows(spark):
+    """Some 26 rows a cell, all places around it, were dealt before."""
+    rng, metre = np.random.default_rng(5), 1 / 111_194.9
+    at = rng.uniform(0, 900 * metre, (400, 2)) + np.repeat([[52.5, 13.4], [-0.004, 179.999]], 200, 0)
+    at[:, 1] = (at[:, 1] + 180) % 360 - 180
+    cells = density._Cells(60)
+    points = spark.createDataFrame([("c", float(a), float(b)) for a, b in at], "customer string, lat double, lon double")
+    row, col = cells.of("lat", "lon")
+    points = points.withColumn("box", F.struct("customer", row.alias("row"), col.alias("col")))
+    grid = points.select("box").distinct().withColumn("cell", F.monotonically_increasing_id()).localCheckpoint()
+    assert cells.asked(cells.placed(grid)).count() <= 4 * grid.count()
+    pairs = [tuple(r) for r in cells.beside(grid).collect()]
+    assert len(pairs) == len(set(pairs)) and {(b, a) for a, b in pairs} == set(pairs)
+    own = [r.cell for r in points.join(grid, "box").orderBy("lat", "lon").select("cell").collect()]
+    at = at[np.lexsort((at[:, 1], at[:, 0]))]
+    metres = gps._metres(at[:, None, 0], at[:, None, 1], at[None, :, 0], at[None, :, 1])
+    assert {(own[i], own[j]) for i, j in zip(*np.nonzero(metres <= 60)) if own[i] != own[j]} <= set(pairs)
+
+
 def test_clusters_that_only_inner_points_join(spark):
     """Two cells whose outermost points are far apart and one pair of others is near."""
     metre = 1 / 111_194.9
