@@ -101,3 +101,21 @@ def test_feature_scale_equals_the_window(spark, strategy):
     want = {r.id: r.want for r in want.collect()}
     for r in got.collect():
         assert (r.x is None) == (want[r.id] is None) and (r.x is None or r.x == pytest.approx(want[r.id], abs=1e-5))
+
+
+def test_forests_read_their_input_once(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return x
+
+    rows = spark.range(200).selectExpr("concat('c', id % 8) customer", "double(id % 2) label", "double(id % 17) x", "double(id % 31) y")
+    rows = rows.withColumn("x", F.udf(counted, "double").asNondeterministic()("x"))
+    table = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    modelling.fit_mixed_forest(table, "y", 2, numTrees=2, maxDepth=2)
+    assert seen.value == 200
+    modelling.fit_affect_classifier(table, "label", numTrees=2, maxDepth=2)
+    assert seen.value == 400
