@@ -345,3 +345,12 @@ def test_users_are_numbered_by_first_appearance(spark):
     table = lambda rows: spark.createDataFrame([(c, None if m is None else at(m)) for c, m in rows], "customer string, sensor_block_end timestamp")
     got = modelling.encode_users(table(rows), table([("z", 1), ("a", -5), ("n", None), ("e", 3)]))
     assert {r.customer: r.user_index for r in got.collect()} == {"a": 0, "b": 1, "d": 2, "c": 3, "n": 4, "z": 5, "e": 6}
+
+
+def test_many_answers_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ema, "ANSWERS", 50)
+    answers = spark.range(800).selectExpr("id % 40 element", "id % 20 question").coalesce(1)
+    choice, questions = answers.distinct(), spark.range(20).selectExpr("id question", "1 questionnaire")
+    found = ema.build_ema_long(answers, choice, questions, spark.sql("SELECT 1 questionnaire, 'a' name"))
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 800 and len(tasks) > 8 and max(tasks) < 200
