@@ -15,8 +15,12 @@ import re
 import struct
 from collections.abc import Callable
 
-#: Words of a generation; a worker keeps two, so that frequent words are never lost.
-CACHE_WORDS = 320_000
+#: Bytes of a generation of words; a worker keeps two, so that frequent words are never lost.
+CACHE_BYTES = 44 << 20
+#: Bytes of an entry besides the word's characters and its ids.
+_ENTRY = 120
+#: A longer word is not kept.
+_LONGEST = 256
 
 #: Bytes as the byte-level pre-tokenizer writes them: printable ones as they are,
 #: the rest in order from U+0100 on.
@@ -62,10 +66,12 @@ class WordIds(dict):
 
     ``before`` is what the vocabulary writes for a space before the word.  A plain
     word is one piece of letters and one of marks, which need the merges alone.
+    ``room`` is what a generation may hold, in bytes about, however long the words are.
     """
 
-    def __init__(self, tokenizer, before: str, lower: bool):
+    def __init__(self, tokenizer, before: str, lower: bool, room: int):
         super().__init__()
+        self.room, self.held = room, 0
         self.before, self.lower, self.merge = before, lower, tokenizer.model.tokenize
         self.whole = lambda text: _packed(tokenizer.encode(text, add_special_tokens=False).ids)
         self.marks: dict[str, bytes] = {}
@@ -73,29 +79,34 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         if (ids := self.earlier.get(word)) is None:
-            ids = self._found(word)
-            if len(word) > 256:
+            if word.isalpha() and word.isascii():
+                ids, kept = _packed([t.id for t in self.merge(self.before + (word.lower() if self.lower else word))]), True
+            else:
+                ids, kept = self._found(word)
+            if not kept or len(word) > _LONGEST:
                 return ids
-        if len(self) >= CACHE_WORDS:
-            self.earlier = dict(self)
+        if self.held >= self.room:
+            self.earlier, self.held = dict(self), 0
             self.clear()
+        self.held += len(word) + len(ids) + _ENTRY
         self[word] = ids
         return ids
 
-    def _found(self, word: str) -> bytes:
-        if word.isalpha() and word.isascii():
-            return _packed([t.id for t in self.merge(self.before + (word.lower() if self.lower else word))])
+    def _found(self, word: str) -> tuple[bytes, bool]:
+        """Ids of a word that isn't all ASCII letters, and whether to keep them: those
+        with marks only if their letters were met before, since most come once."""
         if not (plain := _PLAIN.fullmatch(word)):
-            return self.whole(" " + word if self.before else word)
+            return self.whole(" " + word if self.before else word), True
         letters, marks = plain.groups()
         if marks:
             if (end := self.marks.get(marks)) is None:
                 end = self.whole(marks)
                 if len(self.marks) < 10_000:
                     self.marks[marks] = end
-            return self[letters] + end
+            met = letters in self or letters in self.earlier
+            return self[letters] + end, met
         letters = letters.lower() if self.lower else letters
-        return _packed([t.id for t in self.merge(self.before + "".join(map(_MAPPED.__getitem__, letters)))])
+        return _packed([t.id for t in self.merge(self.before + "".join(map(_MAPPED.__getitem__, letters)))]), True
 
 
 #: A space between two characters that aren't white: no id crosses it.
@@ -107,21 +118,24 @@ def encoder(name: str) -> Callable[[str], bytes]:
     """Text -> ids as little-endian unsigned 32-bit integers, by this worker's words."""
     tokenizer = library(name)
     if "word_bpe" in os.path.basename(name):
-        words = WordIds(tokenizer, "", True)
+        words = WordIds(tokenizer, "", True, CACHE_BYTES)
         return lambda text: b"".join(map(words.__getitem__, text.replace("\n", " ").split(" ")))
 
-    first, spaced = WordIds(tokenizer, "", False), WordIds(tokenizer, "Ġ", False)
+    # Words that begin a line are few.
+    first, spaced = WordIds(tokenizer, "", False, CACHE_BYTES // 8), WordIds(tokenizer, "Ġ", False, CACHE_BYTES)
     whole, line_end = first.whole, first.whole("\n")
 
     def encode(text: str) -> bytes:
-        if len(text.split()) != text.count(" ") + text.count("\n") + 1:
+        words, lines = text.split(), text.split("\n")
+        if len(words) != text.count(" ") + len(lines) or len(" ".join(words)) != len(text):
             # White space other than single spaces and newlines inside the text.
             head, *rest = _CUT.split(text)
             return whole(head) + b"".join(map(spaced.__getitem__, rest))
-        lines = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append(first[head] + b"".join(map(spaced.__getitem__, rest)))
-        return line_end.join(lines)
+        found, at = [], 0
+        for line in lines:
+            end = at + line.count(" ") + 1
+            found.append(first[words[at]] + b"".join(map(spaced.__getitem__, words[at + 1 : end])))
+            at = end
+        return line_end.join(found)
 
     return encode

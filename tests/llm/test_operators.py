@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import sys
 import time
 import zlib
 
@@ -232,6 +233,24 @@ def test_word_by_word_ids(name):
         assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_where_other_white_space_makes_up_for_runs_of_it(name):
+    encode, library = tokens.encoder(name), tokens.library(name)
+    for text in ("x\ty\tw\n\n\nz", "a\tb\tc   d", "a\u2003b\u2003c\n\n\nd", "\n\n\na\tb\tc\td", "a\x0bb\x0bc\n\n\n"):
+        assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_kept_words_are_bounded_in_bytes():
+    library, room = tokens.library("byte_bpe_50k.json"), 1 << 20
+    words = tokens.WordIds(library, "Ġ", False, room)
+    for i in range(8_000):
+        word = chr(97 + i % 26) * 150 + "".join(chr(97 + int(d)) for d in str(i))
+        ids = words[word]
+        assert i % 500 or np.frombuffer(ids, "<u4").tolist() == library.encode(" " + word, add_special_tokens=False).ids
+    for kept in (words, words.earlier):
+        assert 0 < sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in kept.items()) < 1.2 * room
+
+
 @pytest.mark.parametrize("width", [1, 3, 8, 11, 16, 17, 32])
 def test_bit_packing(width):
     ids = np.random.default_rng(1).integers(0, 2**width, 1001, dtype=np.uint64).astype("<u4")
