@@ -95,9 +95,10 @@ def participants_over_time(sketches: DataFrame, days: int) -> DataFrame:
 
 
 def daily_participants(sensor: DataFrame) -> DataFrame:
-    """type, day, customer: each participant once for each day with records of a type.
+    """type, day, customer: each participant once for each day with records of a type, and
+    a row without customer for records that name none.
     A new day is more rows; no earlier day is read again."""
-    days = sensor.where(F.col("startTimestamp").isNotNull() & F.col("customer").isNotNull())
+    days = sensor.where(F.col("startTimestamp").isNotNull())
     return days.select("type", F.to_date("startTimestamp").alias("day"), "customer").distinct()
 
 
@@ -106,14 +107,18 @@ def exact_participants_over_time(daily: DataFrame, days: int) -> DataFrame:
 
     A participant counts from a day with records for ``days`` days, or until the next
     such day, from which on that one counts; so a day needs only the sums of those who
-    come and go, and what is summed over days is a row for each type and day.
+    come and go, and what is summed over days is a row for each type and day.  Records
+    without customer count for nobody, but their days and types have rows.
     """
     later = F.lead("day").over(Window.partitionBy("type", "customer").orderBy("day"))
     spans = daily.withColumn("gone", F.least(F.date_add("day", days), F.coalesce(later, F.date_add("day", days))))
-    moves = F.inline(F.array(F.struct(F.col("day").alias("at"), F.lit(1).alias("n"), F.lit(1).alias("own")), F.struct(F.col("gone").alias("at"), F.lit(-1).alias("n"), F.lit(0).alias("own"))))
-    moved = spans.select("type", moves).groupBy("type", "at").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
+    named = F.col("customer").isNotNull().cast("int")
+    come = F.struct(F.col("day").alias("at"), F.lit(1).alias("seen"), named.alias("n"), named.alias("own"))
+    go = F.struct(F.col("gone").alias("at"), F.lit(-1).alias("seen"), (-named).alias("n"), F.lit(0).alias("own"))
+    moved = spans.select("type", F.inline(F.array(come, go))).groupBy("type", "at").agg(*[F.sum(c).alias(c) for c in ("seen", "n", "own")])
     known = daily.select(F.col("day").alias("upto")).distinct()
     # Every type on every day that any has records: what came and went until then.
     met = known.join(moved, F.col("at") <= F.col("upto")).groupBy("type", "upto")
     within = F.when(F.col("at") > F.date_sub("upto", days), F.col("own")).otherwise(0)
-    return met.agg(F.sum("n").alias("participants"), F.sum(within).alias("person_days")).where("participants > 0")
+    found = met.agg(F.sum("n").alias("participants"), F.sum(within).alias("person_days"), F.sum("seen").alias("seen"))
+    return found.where("seen > 0").drop("seen")

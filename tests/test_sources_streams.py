@@ -274,3 +274,23 @@ def test_participants_over_time_are_exact(spark):
             if own:
                 want[kind, upto] = (len({c for _, c in own}), len(own))
     assert got == want
+
+
+def test_participants_over_time_tell_every_day_of_the_table(spark, tmp_path):
+    rows = spark.range(400).selectExpr(
+        "id event_id", "timestamp'2024-01-01 09:00:00' + make_interval(0, 0, 0, id * id % 47, 0, 0, 0) ts", "id * 7 % 31 user_id", "if(id % 3 = 0, 'view', 'click') event_type", "1.5D value", "'{\"k\": 3}' props"
+    )
+    alone = "to_date(ts) = '2024-02-04' OR event_type = 'view' AND to_date(ts) < '2024-01-20'"  # records that name no one
+    rows = rows.withColumn("user_id", F.expr(f"if({alone}, NULL, user_id)"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    held = [({"view": "HeartRate", "click": "Steps"}[r.event_type], r.ts.date(), r.user_id) for r in rows.collect()]
+    want = set()
+    for upto in {d for _, d, _ in held}:
+        for kind in ("HeartRate", "Steps"):
+            own = {(d, c) for t, d, c in held if t == kind and 0 <= (upto - d).days < 7}
+            named = {(d, c) for d, c in own if c is not None}
+            if own:
+                want.add((kind, str(upto), len({c for _, c in named}), len(named)))
+    got = registry.QUERIES["a25_participants_over_time"](spark, str(tmp_path)).collect()
+    assert {(r.type, r.upto, r.participants, r.person_days) for r in got} == want and len(got) == len(want)
+    assert max(r.upto for r in got) > "2024-02-01" and [r for r in got if not r.participants]
